@@ -67,13 +67,14 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: flo
     m = len(sizes)
     columns = np.diag(room // sizes).astype(float)
     inverse = np.diag(1 / np.diag(columns))
-    x = inverse @ demand
-    for it in range(rounds):
+    x = demand / np.diag(columns)
+    for _ in range(rounds):
         dual = np.maximum(inverse.sum(axis=0), 0)
         value, pattern = price(dual, sizes, room)
         if x.sum() * (1 - 1 / max(value, 1)) < max(0.5, gap * x.sum()):
             break  # x.sum() / value bounds the optimum from below
-        direction = inverse @ pattern
+        used = np.flatnonzero(pattern)
+        direction = (inverse[:, used] * pattern[used]).sum(axis=1)
         ok = direction > 1e-9
         ratio = np.where(ok, x / np.where(ok, direction, 1), np.inf)
         out = int(ratio.argmin())
@@ -85,9 +86,6 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: flo
         pivot = inverse[out] / direction[out]
         inverse -= np.outer(direction, pivot)
         inverse[out] = pivot
-        if it % 200 == 199:
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ demand, 0)
     return [(columns[:, j].astype(np.int64), x[j]) for j in range(m) if x[j] > 1e-9]
 
 

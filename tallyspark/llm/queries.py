@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import packing, tokenbin
+from tallyspark.llm import media, packing, simhash, tokenbin
 
 
 def vocabulary(name: str) -> str:
@@ -20,6 +20,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -28,10 +32,16 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_records(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_media_columns": op3_media_columns,
         "op6_packing": op6_packing,
         "op7_token_binary": op7_token_binary,
+        "op8_simhash": op8_simhash,
     }
 
 
