@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import media, packing, simhash, tokenbin
+from tallyspark.llm import media, packing, simhash, substring, tokenbin
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +24,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -39,6 +43,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_media_columns": op3_media_columns,
+        "op4_substring_dedup": op4_substring_dedup,
         "op6_packing": op6_packing,
         "op7_token_binary": op7_token_binary,
         "op8_simhash": op8_simhash,
