@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import media, packing, simhash, substring, tokenbin
+from tallyspark.llm import media, packing, simhash, substring, tokenbin, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -20,6 +20,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(documents(spark, sf_dir))
 
@@ -42,6 +51,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_media_columns": op3_media_columns,
         "op4_substring_dedup": op4_substring_dedup,
         "op6_packing": op6_packing,
