@@ -57,14 +57,15 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, for every row."""
+    """(doc_id, tie, fp): the fingerprint as a signed long, for every row; tie is a
+    hash of the text that tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter(map(fingerprint, batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "tie", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 @cache
@@ -184,17 +185,34 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(compare, "u long, v long")
 
 
+def rooted(docs: DataFrame, threshold: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and (fp, root, low, n) of the distinct ones: the
+    component's root fingerprint, the smallest doc_id and the rows of the class."""
+    marked, _ = storage.stage(fingerprints(docs), "fingerprints")
+    classes, c_path = storage.stage(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "fingerprint-classes")
+    edges, e_path = storage.stage(links(classes, threshold), "fingerprint-links")
+    roots = graph.components(edges).select(F.col("vertex").alias("fp"), "root")
+    out, _ = storage.stage(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
+    storage.drop(docs.sparkSession, c_path, e_path)
+    return marked, out
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id, members) for every row of ``docs``;
     ``members`` counts the rows of the component."""
-    marked, _ = storage.stage(fingerprints(docs), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    classes, _ = storage.stage(classes, "fingerprint-classes")
-    edges, _ = storage.stage(links(classes, threshold), "fingerprint-links")
-    roots = graph.components(edges).select(F.col("vertex").alias("fp"), "root")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted, _ = storage.stage(rooted, "fingerprint-roots")
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("members"))
-    of_class = rooted.select("fp", "root").join(named, "root").select("fp", "component_id", "members")
+    marked, classes = rooted(docs, threshold)
+    named = classes.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("members"))
+    of_class = classes.select("fp", "root").join(named, "root").select("fp", "component_id", "members")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(of_class, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "members")
+
+
+def keep_one(docs: DataFrame, threshold: int = 2) -> DataFrame:
+    """One row of ``docs`` from each component, with all its columns: the smallest
+    doc_id (null only if all are), then the smallest text hash."""
+    marked, classes = rooted(docs, threshold)
+    rows = marked.withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(classes.select("fp", "root"), "fp")
+    first = rows.groupBy("root").agg(F.min(F.struct("key", "tie")).alias("x")).select(F.col("x.key").alias("__key"), F.col("x.tie").alias("__tie")).distinct()
+    own = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__tie", F.xxhash64("text"))
+    kept = own.join(first, ["__key", "__tie"]).dropDuplicates(["__key", "__tie"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

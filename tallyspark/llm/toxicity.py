@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -258,8 +259,9 @@ def keep_clean(docs: DataFrame, index: Index, limit: float = 0.5, k: int = NEIGH
     """Rows of ``docs`` that score below ``limit``, with all their columns."""
 
     @F.pandas_udf("double")
-    def of(texts):
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(index, k)
-        return texts.map(lambda t: scorer(t)[0])
+        for texts in batches:
+            yield texts.map(lambda t: scorer(t)[0]).astype("float64")
 
     return docs.where(of(F.col("text")) < limit)
