@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import chat, decontaminate, lines, media, packing, simhash, substring, tokenbin, toxicity
+from tallyspark.llm import chat, decontaminate, lines, media, packing, simhash, substring, suffix, tokenbin, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -65,6 +65,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicate(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicate(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_binary": op7_token_binary,
         "op8_simhash": op8_simhash,
         "op9_line_dedup": op9_line_dedup,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 

@@ -22,7 +22,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,8 +156,10 @@ def _split_kinds(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     return table.filter(pa.array(kind == 1)), table.filter(pa.array(kind == 0))
 
 
-def repeated_anchors(rows: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(key, tie, values): for each document its anchor hashes that another row also has."""
+def repeated_anchors(rows: DataFrame, anchors_of: Callable[[list], tuple[np.ndarray, np.ndarray]], buckets: int, within: bool = False) -> DataFrame:
+    """(key, tie, values): for each document its anchor hashes that occur again in another
+    row, or, if ``within``, anywhere.  ``anchors_of`` gives the hashes and the documents'
+    indices of a list of texts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,16 +167,17 @@ def repeated_anchors(rows: DataFrame, window: int, buckets: int) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for lo, hi in slices([t or "" for t in texts], 4_000_000):
                 keys, ties = keys_all[lo:hi], ties_all[lo:hi]
-                s = Slice(texts[lo:hi], window)
-                h, at = s.anchors()
-                doc = s.doc[at]
+                h, doc = anchors_of(texts[lo:hi])
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
                 keep = np.ones(len(h), bool)
                 keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                times = np.diff(np.append(np.flatnonzero(keep), len(h)))
                 h, doc = h[keep], doc[keep]
                 cut = groups(h)
                 many = np.diff(cut) > 1
+                if within and len(h):
+                    many |= np.maximum.reduceat(times, cut[:-1]) > 1
                 inside = np.repeat(many, np.diff(cut))
                 out = _settled(_per_doc(doc[inside], h[inside], keys, ties), buckets)
                 first = cut[:-1]
@@ -196,7 +199,7 @@ def repeated_anchors(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     return rows.select("key", "tie", "text").mapInArrow(emit, PACK).groupBy("bucket").applyInArrow(meet, REPLY)
 
 
-def _with_replies(rows: DataFrame, replies: DataFrame, how: str) -> DataFrame:
+def with_replies(rows: DataFrame, replies: DataFrame, how: str) -> DataFrame:
     listed = replies.groupBy("key", "tie").agg(F.collect_list("values").alias("replies"))
     return rows.join(listed, ["key", "tie"], how)
 
@@ -243,7 +246,7 @@ def repeated_windows(rows: DataFrame, anchors: DataFrame, window: int, buckets:
         own_at = order[key > lowest]
         return _reply_table(passed, _replies(r["key"][own_at], r["tie"][own_at], r["value"][own_at]))
 
-    joined = _with_replies(rows, anchors, "inner").select("key", "tie", "text", "replies")
+    joined = with_replies(rows, anchors, "inner").select("key", "tie", "text", "replies")
     return joined.mapInArrow(emit, PACK).groupBy("bucket").applyInArrow(meet, REPLY)
 
 
@@ -252,7 +255,13 @@ def deduplicate(docs: DataFrame, window: int = 13, keep_text: bool = False) -> D
     if window < PERIOD:
         raise ValueError(f"windows have {PERIOD} words at least")
     rows, buckets = keyed(docs), bucket_count(docs)
-    anchors, a_path = storage.stage(repeated_anchors(rows, window, buckets), "anchors")
+
+    def anchors_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
+        s = Slice(texts, window)
+        h, at = s.anchors()
+        return h, s.doc[at]
+
+    anchors, a_path = storage.stage(repeated_anchors(rows, anchors_of, buckets), "anchors")
     starts, _ = storage.stage(repeated_windows(rows, anchors, window, buckets), "windows")
     storage.drop(docs.sparkSession, a_path)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
@@ -275,4 +284,4 @@ def deduplicate(docs: DataFrame, window: int = 13, keep_text: bool = False) -> D
             arrays = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string())))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(arrays)])
 
-    return _with_replies(rows, starts, "left").select("doc_id", "text", "replies").mapInArrow(apply, schema)
+    return with_replies(rows, starts, "left").select("doc_id", "text", "replies").mapInArrow(apply, schema)
