@@ -1,0 +1,4 @@
+"""Streaming: the surveyed system names no stream, watermark or state.
+
+Checkpoint monitoring is a small ordered batch series (operators.training.plateau), so
+this package has no operator of its own."""
