@@ -60,19 +60,47 @@ def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.n
 def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 5e-4, rounds: int = 1500) -> list[tuple[np.ndarray, float]]:
     """Patterns and fractional counts of the LP  min sum x, A x >= demand.
 
-    Revised simplex over generated columns; starts from one pattern per size.  Ends
+    Revised simplex over generated columns; starts from a first-fit-decreasing plan.  Ends
     within ``gap``, or half a sequence, of the optimum, or after ``rounds`` columns
     (a feasible plan at any time, so stopping costs padding, never a piece).
     """
     m = len(sizes)
-    columns = np.diag(room // sizes).astype(float)
-    inverse = np.diag(1 / np.diag(columns))
-    x = demand / np.diag(columns)
+    # Start: each size with what smaller ones still fit, largest first (triangular).
+    columns, x, left = np.zeros((m, m)), np.zeros(m), demand.astype(float)
+    for i in range(m - 1, -1, -1):
+        columns[i, i] = room // sizes[i]
+        x[i] = left[i] / columns[i, i]
+        space = room - int(columns[i, i]) * int(sizes[i])
+        for j in range(min(i, int(np.searchsorted(sizes, space, "right"))) - 1, -1, -1):
+            a = min(space // int(sizes[j]), int(left[j] / x[i])) if x[i] > 0 else 0
+            if a > 0:
+                columns[j, i] = a
+                left[j] -= a * x[i]
+                space -= a * int(sizes[j])
+    cost = np.ones(m)  # 0 for a surplus column
+    inverse = np.linalg.inv(columns)
+    best, bound, pull = np.zeros(m), 0.0, 0.85
     for _ in range(rounds):
-        dual = np.maximum(inverse.sum(axis=0), 0)
-        value, pattern = price(dual, sizes, room)
-        if x.sum() * (1 - 1 / max(value, 1)) < max(0.5, gap * x.sum()):
-            break  # x.sum() / value bounds the optimum from below
+        dual = (cost[:, None] * inverse).sum(axis=0)
+        entering = 1.0
+        # Prices are drawn towards those of the best bound: plain duals swing.
+        for weight in (pull, 0.0):
+            prices = weight * best + (1 - weight) * np.maximum(dual, 0)
+            value, pattern = price(prices, sizes, room)
+            prices = prices / max(value, 1)
+            if (demand * prices).sum() > bound:
+                best, bound = prices, float((demand * prices).sum())
+            if (dual * pattern).sum() > 1 + 1e-9:
+                break
+        else:
+            over = int(dual.argmin())
+            if dual[over] >= -1e-9:
+                break
+            pattern, entering = np.zeros(m, np.int64), 0.0  # meeting this demand exactly costs more
+            pattern[over] = -1
+        total = float((cost * x).sum())
+        if total - bound < max(0.5, gap * total):
+            break
         used = np.flatnonzero(pattern)
         direction = (inverse[:, used] * pattern[used]).sum(axis=1)
         ok = direction > 1e-9
@@ -82,11 +110,11 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: flo
         x -= step * direction
         x[out] = step
         x = np.maximum(x, 0)
-        columns[:, out] = pattern
+        columns[:, out], cost[out] = pattern, entering
         pivot = inverse[out] / direction[out]
         inverse -= np.outer(direction, pivot)
         inverse[out] = pivot
-    return [(columns[:, j].astype(np.int64), x[j]) for j in range(m) if x[j] > 1e-9]
+    return [(columns[:, j].astype(np.int64), x[j]) for j in range(m) if x[j] > 1e-9 and cost[j]]
 
 
 def plan(histogram: dict[int, int], room: int) -> list[tuple[int, dict[int, int]]]:
