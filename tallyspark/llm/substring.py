@@ -49,7 +49,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def bucket_count(docs: DataFrame) -> int:
     """Buckets follow the input's partitions, so a bucket's size does not grow."""
-    return max(64, storage.partitions(docs.sparkSession), docs.rdd.getNumPartitions())
+    return max(64, storage.partitions(docs.sparkSession), 8 * docs.rdd.getNumPartitions())
 
 
 class Slice:
