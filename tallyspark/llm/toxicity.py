@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max index.
 
 Examples are at most ``max_examples`` labelled rows, taken in hash order.  Terms are
-words and word beginnings; of these the ones whose presence in the examples goes
+words, word beginnings, and beginnings shared by several distinct words; the ones whose presence in the examples goes
 with the label (likelihood ratio of at least ``min_ratio``, ``max_terms`` at most)
 span the vector space.  Document frequencies are counted over all documents.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 MAX_EXAMPLES, MAX_TERMS, MIN_RATIO, MIN_DF = 8192, 2048, 24.0, 5
 NEIGHBOURS, SHRINK, POWER, BLOCK = 15, 0.5, 2.0, 32
-PREFIXES = range(3, 8)
+PREFIXES, LEVELS = range(3, 8), (2, 3, 4, 6)
 _WORD = re.compile(r"\w+")
 SCORES = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
 
@@ -47,35 +47,51 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if n < len(word))] if len(word) <= 64 else []
 
 
+def of_text(words: set[str]) -> set[str]:
+    """All features of a text: its words, their beginnings, and each beginning again
+    for two, three ... distinct words that share it."""
+    shared = Counter(f for w in words for f in features(w)[1:])
+    found = {w for w in words if len(w) <= 64} | set(shared)
+    found.update(f"{f}{n}" for f, k in shared.items() if k > 1 for n in LEVELS if n <= k)
+    return found
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows never learnt from: crc32 of the id as text divisible by 5, or no id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(True))
 
 
 class _Terms(dict):
-    """word -> term numbers of its features; bounded."""
+    """word -> its features that matter to the vocabulary; bounded."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self.vocabulary = vocabulary
+        self.bases = set(vocabulary) | {f.partition("*")[0] + "*" for f in vocabulary if "*" in f}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) >= 500_000:
             self.clear()
-        v = self.vocabulary
-        value = self[word] = tuple(v[f] for f in features(word) if f in v)
+        value = self[word] = tuple(f for f in features(word) if f in self.bases)
         return value
 
 
 def term_counts(text: str | None, terms: _Terms) -> dict[int, int]:
+    """Term number -> occurrences; 1 for a beginning that several words share."""
     words = _WORD.findall((text or "").lower())
     hit = [w for w in set(words) if terms[w]]
     if not hit:
         return {}
-    times, out = Counter(words), Counter()
+    times, number = Counter(words), terms.vocabulary
+    occurrences, distinct = Counter(), Counter()
     for w in hit:
-        for t in terms[w]:
-            out[t] += times[w]
+        for f in terms[w]:
+            occurrences[f] += times[w]
+            distinct[f] += 1
+    out = {number[f]: n for f, n in occurrences.items() if f in number}
+    for f, k in distinct.items():
+        if k > 1 and f[-1] == "*":
+            out |= {number[g]: 1 for n in LEVELS if n <= k and (g := f"{f}{n}") in number}
     return out
 
 
@@ -153,8 +169,7 @@ def _select_terms(examples: DataFrame, n: int, n_toxic: int, min_ratio: float, m
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                found = {f for w in set(_WORD.findall((text or "").lower())) for f in features(w)}
-                seen[1 if toxic else 0].update(found)
+                seen[1 if toxic else 0].update(of_text(set(_WORD.findall((text or "").lower()))))
             for y, c in enumerate(seen):
                 names = list(c)
                 for i in range(0, len(names), 50_000):
