@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import chat, decontaminate, lines, media, packing, simhash, substring, suffix, tokenbin, toxicity
+from tallyspark.llm import chat, decontaminate, lines, media, packing, simhash, sql, substring, suffix, tokenbin, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.SQL}
+    return sql.oracle_sql()
