@@ -78,7 +78,11 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: flo
                 left[j] -= a * x[i]
                 space -= a * int(sizes[j])
     cost = np.ones(m)  # 0 for a surplus column
-    inverse = np.linalg.inv(columns)
+    inverse = np.zeros((m, m))
+    for i in range(m - 1, -1, -1):
+        inverse[i] = -(columns[i, i + 1 :, None] * inverse[i + 1 :]).sum(axis=0)
+        inverse[i, i] += 1
+        inverse[i] /= columns[i, i]
     best, bound, pull = np.zeros(m), 0.0, 0.85
     for _ in range(rounds):
         dual = (cost[:, None] * inverse).sum(axis=0)

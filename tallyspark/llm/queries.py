@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import chat, decontaminate, lines, media, packing, simhash, sql, substring, suffix, tokenbin, toxicity
+from tallyspark.llm import chat, decontaminate, lines, media, packing, simhash, sql, storage, substring, suffix, tokenbin, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -17,7 +17,7 @@ def vocabulary(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return storage.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,15 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def estimate(df: DataFrame) -> int:
+    """The planner's size estimate in bytes, 0 where it has none; runs nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if size > 1 << 60 else size
+
+
+def spread(df: DataFrame, part: int = 16 << 20) -> DataFrame:
+    """A table too small for a scan task per core is dealt to all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < estimate(df) < cores * part else df

@@ -50,8 +50,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def bucket_count(docs: DataFrame) -> int:
     """Buckets in proportion to the input's size, from 2 MB up to 64 MB each, so one
     bucket's rows always fit a task.  Takes the plan's estimate and runs nothing."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = 0 if size > 1 << 60 else size  # unknown to the planner
+    size = storage.estimate(docs)
     return max(64, storage.partitions(docs.sparkSession), min(size >> 21, 1024), size >> 26)
 
 
