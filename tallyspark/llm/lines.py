@@ -103,6 +103,9 @@ def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE)
     """(key, tie, removed): lists of packed line places to delete, for documents with any."""
     lines, l_path = storage.stage(line_rows(rows, min_words), "lines")
     holders = lines.groupBy("hash").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).where("first < last")
+    # As tables, both sides of the next joins are plain exchanges, so adaptive execution
+    # can split a line or a first holder that most documents meet.
+    holders, h_path = storage.stage(holders, "line-holders")
     shared = lines.join(holders, "hash")
     shared, s_path = storage.stage(shared, "shared-lines")
     named = shared.where("long")
@@ -112,9 +115,9 @@ def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE)
     few = few.select(F.posexplode("keys").alias("i", "key"), "keys").where("i > 0").select("key", F.element_at("keys", F.col("i")).alias("other"))
     ties = named.select("key", "tie").distinct()
     pairs = first_pairs.unionByName(few.distinct().join(ties, "key").select("key", "tie", "other")).distinct()
-    own = shared.groupBy("key", "tie").agg(F.collect_list(F.struct("pos", "hash", "long")).alias("own"))
+    own = shared.groupBy("key", "tie").agg(F.collect_set(F.struct("pos", "hash", "long")).alias("own"))
     own, o_path = storage.stage(own, "line-lists")
-    other = own.groupBy("key").agg(F.min(F.struct("tie", "own")).alias("x")).select(F.col("key").alias("other"), F.col("x.own").alias("theirs"))
+    other = own.select(F.col("key").alias("other"), F.col("own").alias("theirs"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +142,7 @@ def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE)
     joined = pairs.join(other, "other").join(own, ["key", "tie"]).select("key", "tie", "own", "theirs")
     gone = joined.mapInArrow(align, "key long, tie long, gone binary")
     listed, _ = storage.stage(gone.groupBy("key", "tie").agg(F.collect_list("gone").alias("removed")), "removed-lines")
-    storage.drop(rows.sparkSession, l_path, s_path, o_path)
+    storage.drop(rows.sparkSession, l_path, h_path, s_path, o_path)
     return listed
 
 
