@@ -318,7 +318,7 @@ def deduplicate(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     spark = docs.sparkSession
     rows, buckets = keyed(docs), bucket_count(docs)
     equal = rows.select("key", "tie", F.sha2("text", 256).alias("digest"))
-    copies = equal.groupBy("digest").agg(F.min("key").alias("low"))
+    copies, _ = storage.stage(equal.groupBy("digest").agg(F.min("key").alias("low")), "texts")  # a table, so the join can split a text of many copies
     copies, _ = storage.stage(equal.join(copies, "digest").where("key > low").select("key", "tie").distinct(), "copies")
     anchors, a_path = storage.stage(repeated_anchors(rows, _anchors_of, buckets, within=True), "byte-anchors")
     spans, _ = storage.stage(covered(rows, anchors.join(copies, ["key", "tie"], "left_anti"), buckets), "byte-spans")
