@@ -80,4 +80,5 @@ def estimate(df: DataFrame) -> int:
 def spread(df: DataFrame, part: int = 16 << 20) -> DataFrame:
     """A table too small for a scan task per core is dealt to all cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    part = min(part, df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return df.repartition(cores) if 0 < estimate(df) < cores * part else df
