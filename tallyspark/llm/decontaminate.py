@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -53,8 +54,21 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    return hashes(_WORD.findall((text or "").lower()), _CACHE)
+def split(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def runs(known: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the n-word stretches that hold known words only."""
+    out = known[: len(known) - n + 1].copy() if len(known) >= n else known[:0]
+    for i in range(1, n):
+        out &= known[i : i + len(out)]
+    return np.flatnonzero(out)
+
+
+def grams_at(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """gram_hashes at some places only."""
+    return gram_hashes(h[at[:, None] + np.arange(n)].ravel(), n)[::n] if len(at) else np.empty(0, np.uint64)
 
 
 class ItemIndex:
@@ -64,10 +78,13 @@ class ItemIndex:
         self.similarity, self.radius = similarity, radius
         self.ids, self.shingles, prints, self.sizes = [], [], [], []
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # words -> sequence hash -> items
+        self.words: dict[str, int] = {}  # the items' words and their hashes
         for item_id, text in items:
-            h = word_hashes(text)
+            words = split(text)
+            h = hashes(words, _CACHE)
             if not len(h):
                 continue
+            self.words.update(zip(words, h.tolist()))
             if len(h) < SHINGLE:
                 self.short[len(h)][int(gram_hashes(h, len(h))[0])].append(item_id)
                 continue
@@ -113,7 +130,10 @@ class ItemIndex:
 
     def matches(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """(item_id, similarity, start, words, distance): each item's best window."""
-        h = word_hashes(text)
+        words = split(text)
+        # Other words are 0 here: a shingle that holds one is no item's.
+        h = np.fromiter(map(self.words.get, words, repeat(0)), np.uint64, len(words))
+        known = h != 0
         best: dict[int, tuple] = {}
 
         def note(item_id: int, found: tuple) -> None:
@@ -121,13 +141,17 @@ class ItemIndex:
                 best[item_id] = found
 
         for n, sequences in self.short.items():
-            for p, s in enumerate(gram_hashes(h, n).tolist()):
+            at = runs(known, n)
+            for p, s in zip(at.tolist(), grams_at(h, at, n).tolist()):
                 for item_id in sequences.get(s, ()):
                     note(item_id, (1.0, p, n, 0))
-        if len(h) >= SHINGLE and len(self.known):
-            g = gram_hashes(h, SHINGLE)
-            hit = self.member(g)
-            if hit.any():
+        at = runs(known, SHINGLE)
+        if len(at) and len(self.known):
+            at = at[self.member(grams_at(h, at, SHINGLE))]
+            if len(at):
+                g = gram_hashes(hashes(words, _CACHE), SHINGLE)
+                hit = np.zeros(len(g), bool)
+                hit[at] = True
                 count = np.concatenate(([0], np.cumsum(hit)))
                 need = 2 * self.similarity / (1 + self.similarity)
                 done = set()
