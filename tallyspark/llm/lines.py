@@ -10,6 +10,11 @@ longest increasing run; the stretches between anchors are aligned in turn), and
 blocks, runs that are consecutive in both documents, are deleted from the later one
 if they hold a line of ``min_words`` words.
 
+One partner cannot align every line: lines cross, repeat in a document, or stand with
+several earlier holders.  So an occurrence that the alignments leave is aligned on its
+own, as a block of one line, with the first holder of its hash: every line of
+``min_words`` words that an earlier document holds goes, in any order and number.
+
 Only lines that occur in two documents travel to the alignments.  Documents are
 ordered by doc_id, null doc_ids last.  Rows with equal doc_id are not paired.  Null and
 empty texts have no lines and stay as they are.  Repeated rows give repeated, equal
@@ -25,7 +30,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -119,11 +123,17 @@ def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE)
     own, o_path = storage.stage(own, "line-lists")
     other = own.select(F.col("key").alias("other"), F.col("own").alias("theirs"))
 
+    def listed_lines(column: pa.ListArray) -> Iterator[list[tuple]]:
+        ends, flat = column.offsets.to_numpy(), column.values
+        pos, h, long = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "hash", "long"))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            order = a + np.argsort(pos[a:b])
+            yield list(zip(pos[order].tolist(), h[order].tolist(), long[order].tolist()))
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, ties, out = [], [], []
-            for i in range(batch.num_rows):
-                mine, theirs = (sorted((x["pos"], x["hash"], x["long"]) for x in batch.column(c)[i].as_py()) for c in ("own", "theirs"))
+            for i, (mine, theirs) in enumerate(zip(listed_lines(batch.column("own")), listed_lines(batch.column("theirs")))):
                 matched = patience([x[1] for x in theirs], [x[1] for x in mine])
                 block, gone = [], []
                 for k, (a, b) in enumerate(matched):
@@ -139,8 +149,16 @@ def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE)
                     out.append(np.array(gone, np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ties, pa.int64()), pa.array(out, pa.binary())], names=["key", "tie", "gone"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [np.array(x, np.uint32).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary())], names=["key", "tie", "gone"])
+
     joined = pairs.join(other, "other").join(own, ["key", "tie"]).select("key", "tie", "own", "theirs")
     gone = joined.mapInArrow(align, "key long, tie long, gone binary")
+    # What alignment left: each occurrence by its own hash.
+    alone = named.where("key > first").groupBy("key", "tie").agg(F.collect_set("pos").alias("places")).mapInArrow(pack, "key long, tie long, gone binary")
+    gone = gone.unionByName(alone)
     listed, _ = storage.stage(gone.groupBy("key", "tie").agg(F.collect_list("gone").alias("removed")), "removed-lines")
     storage.drop(rows.sparkSession, l_path, h_path, s_path, o_path)
     return listed
@@ -180,9 +198,9 @@ def rewrite(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> Da
     removed = removed_lines(keyed(docs), min_words, rare)
     cut = removed.select(F.col("key").alias("__key"), F.col("tie").alias("__tie"), F.col("removed").alias("__removed"))
 
-    @F.pandas_udf("string")
-    def without(text: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([_without(t, None if g is None else list(g))[0] for t, g in zip(text, gone)])
+    @F.arrow_udf("string")
+    def without(text: pa.Array, gone: pa.Array) -> pa.Array:
+        return pa.array([_without(t, g)[0] for t, g in zip(text.to_pylist(), gone.to_pylist())], pa.string())
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     joined = docs.join(cut, (key == F.col("__key")) & (F.xxhash64("text") == F.col("__tie")), "left")
