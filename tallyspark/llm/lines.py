@@ -1,19 +1,23 @@
 """Line dedup by pairwise alignment.
 
 A line counts by the hash of its stripped text; blank lines take no part.  Documents
-that share a line of at least ``min_words`` words are paired: every holder with the
-first holder, and, where the line is rare (``rare`` occurrences at most), also with the
+that share a line of at least ``min_words`` words, or a window of consecutive shorter
+lines that reaches them, are paired: every holder with the first holder, and, where the line is rare (``rare`` occurrences at most), also with the
 holder before it.  So copies in any number give pairs in proportion to their lines,
 never all pairs, and no shared line is passed over for being common.  Each pair's
 repeated lines are aligned by patience diff (lines unique on both sides anchor a
 longest increasing run; the stretches between anchors are aligned in turn), and aligned
 blocks, runs that are consecutive in both documents, are deleted from the later one
-if they hold a line of ``min_words`` words.
+if their lines together reach ``min_words`` words.
 
 One partner cannot align every line: lines cross, repeat in a document, or stand with
 several earlier holders.  So an occurrence that the alignments leave is aligned on its
 own, as a block of one line, with the first holder of its hash: every line of
-``min_words`` words that an earlier document holds goes, in any order and number.
+``min_words`` words that an earlier document holds goes, in any order and number.  The
+same holds for windows: the shortest from each line on and the shortest up to each line
+cover every run of lines that reaches ``min_words`` together.  In scripts written
+without spaces, two Han or kana characters or four of the South-East Asian scripts
+count as a word.
 
 Only lines that occur in two documents travel to the alignments.  Documents are
 ordered by doc_id, null doc_ids last.  Rows with equal doc_id are not paired.  Null and
@@ -25,6 +29,7 @@ results.  Empty table: no rows.  Extra columns are ignored here and kept by
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -39,6 +44,8 @@ from tallyspark.llm import storage
 from tallyspark.llm.substring import keyed
 
 MIN_WORDS, RARE = 3, 8
+_HAN = re.compile("[\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_THAI = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")  # and Lao, Burmese, Khmer
 
 
 def _unique(values: list) -> dict:
@@ -87,20 +94,65 @@ def lines_of(text: str | None) -> list[tuple[int, str]]:
     return [(i, s) for i, line in enumerate((text or "").split("\n")) if (s := line.strip())]
 
 
+def weight(line: str, most: int) -> int:
+    """The words of a stripped line, counted up to ``most``."""
+    n = min(most, len(line.split(None, most)))
+    if n < most and not line.isascii():
+        n = min(most, max(n, len(_HAN.findall(line)) // 2 + len(_THAI.findall(line)) // 4))
+    return n
+
+
+def windows(n: list[int], least: int) -> set[tuple[int, int]]:
+    """Ranges of two lines and more that reach ``least`` words: the shortest from each
+    line on and the shortest up to each line."""
+    found = set()
+    for i in range(len(n)):
+        if n[i] >= least:
+            continue
+        j, size = i + 1, n[i]
+        while size < least and j < len(n):
+            size += n[j]
+            j += 1
+        if size >= least:
+            found.add((i, j))
+        j, size = i, n[i]
+        while size < least and j > 0:
+            j -= 1
+            size += n[j]
+        if size >= least:
+            found.add((j, i + 1))
+    return found
+
+
 def line_rows(rows: DataFrame, min_words: int) -> DataFrame:
-    """(hash, key, tie, pos, long): every line that is not blank; pos counts these."""
+    """(hash, key, tie, pos, span, words): every line that is not blank, and every
+    window of several lines by the hash of their hashes; pos counts lines, and words
+    are counted up to ``min_words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[s for _, s in lines_of(t)] for t in batch.column("text").to_pylist()]
             n = [len(x) for x in found]
             flat = [s for x in found for s in x]
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat)).view(np.int64)
-            pos = np.concatenate([np.arange(k) for k in n] or [np.empty(0, np.int64)])
-            keys, ties = (np.repeat(batch.column(c).to_numpy(), n) for c in ("key", "tie"))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys), pa.array(ties), pa.array(pos.astype(np.int32)), pa.array([len(s.split(None, min_words)) >= min_words for s in flat], pa.bool_())], names=["hash", "key", "tie", "pos", "long"])
-
-    return rows.select("key", "tie", "text").mapInArrow(run, "hash long, key long, tie long, pos int, long boolean")
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
+            size = [weight(s, min_words) for s in flat]
+            pos = [p for k in n for p in range(k)]
+            span = [1] * len(flat)
+            own, joined, at = np.repeat(np.arange(len(n)), n).tolist(), [], 0
+            for d, k in enumerate(n):
+                for i, j in windows(size[at : at + k], min_words):
+                    joined.append(xxhash.xxh3_64_intdigest(h[at + i : at + j].tobytes(), j - i))
+                    pos.append(i)
+                    span.append(j - i)
+                    own.append(d)
+                at += k
+            h = np.concatenate((h, np.array(joined, np.uint64))).view(np.int64)
+            keys, ties = (batch.column(c).to_numpy()[np.array(own, np.int64)] for c in ("key", "tie"))
+            size += [min_words] * len(joined)
+            columns = (pa.array(h), pa.array(keys), pa.array(ties), pa.array(pos, pa.int32()), pa.array(span, pa.int32()), pa.array(size, pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(columns), names=["hash", "key", "tie", "pos", "span", "words"])
+
+    return rows.select("key", "tie", "text").mapInArrow(run, "hash long, key long, tie long, pos int, span int, words int")
 
 
 def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
@@ -112,23 +164,23 @@ def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE)
     holders, h_path = storage.stage(holders, "line-holders")
     shared = lines.join(holders, "hash")
     shared, s_path = storage.stage(shared, "shared-lines")
-    named = shared.where("long")
+    named = shared.where(F.col("words") >= min_words)
     first_pairs = named.where("key > first").select("key", "tie", F.col("first").alias("other"))
     # Groups of at most ``rare`` occurrences: the neighbour before each.
     few = named.where(F.col("n") <= rare).select("hash", "key").distinct().groupBy("hash").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     few = few.select(F.posexplode("keys").alias("i", "key"), "keys").where("i > 0").select("key", F.element_at("keys", F.col("i")).alias("other"))
     ties = named.select("key", "tie").distinct()
     pairs = first_pairs.unionByName(few.distinct().join(ties, "key").select("key", "tie", "other")).distinct()
-    own = shared.groupBy("key", "tie").agg(F.collect_set(F.struct("pos", "hash", "long")).alias("own"))
+    own = shared.where("span = 1").groupBy("key", "tie").agg(F.collect_set(F.struct("pos", "hash", "words")).alias("own"))
     own, o_path = storage.stage(own, "line-lists")
     other = own.select(F.col("key").alias("other"), F.col("own").alias("theirs"))
 
     def listed_lines(column: pa.ListArray) -> Iterator[list[tuple]]:
         ends, flat = column.offsets.to_numpy(), column.values
-        pos, h, long = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "hash", "long"))
+        pos, h, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "hash", "words"))
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
             order = a + np.argsort(pos[a:b])
-            yield list(zip(pos[order].tolist(), h[order].tolist(), long[order].tolist()))
+            yield list(zip(pos[order].tolist(), h[order].tolist(), size[order].tolist()))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +192,7 @@ def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE)
                     block.append(b)
                     after = matched[k + 1] if k + 1 < len(matched) else None
                     if after is None or theirs[after[0]][0] != theirs[a][0] + 1 or mine[after[1]][0] != mine[b][0] + 1:
-                        if any(mine[j][2] for j in block):
+                        if sum(mine[j][2] for j in block) >= min_words:
                             gone += [mine[j][0] for j in block]
                         block = []
                 if gone:
@@ -157,7 +209,8 @@ def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE)
     joined = pairs.join(other, "other").join(own, ["key", "tie"]).select("key", "tie", "own", "theirs")
     gone = joined.mapInArrow(align, "key long, tie long, gone binary")
     # What alignment left: each occurrence by its own hash.
-    alone = named.where("key > first").groupBy("key", "tie").agg(F.collect_set("pos").alias("places")).mapInArrow(pack, "key long, tie long, gone binary")
+    places = named.where("key > first").select("key", "tie", F.explode(F.sequence("pos", F.col("pos") + F.col("span") - 1)).alias("pos"))
+    alone = places.groupBy("key", "tie").agg(F.collect_set("pos").alias("places")).mapInArrow(pack, "key long, tie long, gone binary")
     gone = gone.unionByName(alone)
     listed, _ = storage.stage(gone.groupBy("key", "tie").agg(F.collect_list("gone").alias("removed")), "removed-lines")
     storage.drop(rows.sparkSession, l_path, h_path, s_path, o_path)

@@ -32,3 +32,30 @@ def test_frequent_repeated_and_crossing_lines(spark, kinds):
     rows = [(i, "\n".join(f"shared line number {r.randrange(kinds)}" if r.random() < 0.6 else f"an own line {r.random()}" for _ in range(r.randint(1, 14)))) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert counts(df) == removed(rows)
+
+
+def in_runs(rows):
+    """(doc_id, lines in runs of three words and more that an earlier document holds)."""
+    texts = [(d, stripped(t)) for d, t in rows]
+    out = []
+    for d, x in texts:
+        gone = set()
+        for i in range(len(x)):
+            for j in range(i + 1, len(x) + 1):
+                if sum(len(s.split()) for s in x[i:j]) >= 3 and any(e < d and any(y[k : k + j - i] == x[i:j] for k in range(len(y))) for e, y in texts):
+                    gone.update(range(i, j))
+        out.append((d, len(gone)))
+    return sorted(out)
+
+
+def test_runs_of_short_lines(spark):
+    r = random.Random(3)
+    say = lambda: " ".join(r.choice("abcd") for _ in range(r.choice((1, 1, 1, 2, 2, 3))))
+    rows = [(i, "\n".join(say() if r.random() < 0.7 else f"own {r.random()}" for _ in range(r.randint(1, 9)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert counts(df) == in_runs(rows)
+
+
+def test_scripts_without_spaces(spark):
+    rows = [(1, "今日は天気が良いです\n短い\nสวัสดีครับผมชื่อ"), (2, "別\n今日は天気が良いです"), (3, "短い\n他"), (4, "สวัสดีครับผมชื่อ\nunspacedlatin"), (5, "unspacedlatin")]
+    assert counts(spark.createDataFrame(rows, "doc_id long, text string")) == [(1, 0), (2, 1), (3, 0), (4, 1), (5, 0)]
