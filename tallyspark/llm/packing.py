@@ -8,14 +8,16 @@ improves.  The pattern counts are rounded, what rounding leaves is packed first-
 decreasing over the histogram, and the patterns' slots are dealt to the documents
 ranked within their length class.
 
-Only the histogram (at most ``capacity/grain`` classes) reaches the driver, so
-the program's size does not follow the input.  Ranks come from counts per (class,
-salt) plus a window inside one salt, so a length shared by most rows is spread.
-
-Null or empty text: a piece with the end id alone.  Empty table: no rows.
-Repeated rows get pieces of their own.  Null doc_ids rank first.  A remainder of
-a power-of-two length is packed like any other; a sequence whose content is a
-power of two needs no padding.
+Only the histogram (a row per class) reaches the driver, so the program's size does
+not follow the input.  Full sequences take no part: each is numbered where it is cut.
+Ranks of the others come from counts per (class, salt) plus a window inside one salt,
+so a length shared by most rows is spread.
+
+Null or empty text: a piece with the end id alone; such short pieces share the place of
+one class.  Very long texts: cut in their map task, a text at a time.  Empty table: no
+rows.  Repeated rows and ties get pieces of their own.  Null doc_ids rank first.  Extra
+columns are ignored, whatever their names.  A remainder of a power-of-two length is
+packed like any other; a sequence whose content is a power of two needs no padding.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import storage
-from tallyspark.llm.words import encoder, slices
+from tallyspark.llm.words import encoder, whole_texts
 
 CAPACITY, GRAIN, END = 2048, 8, 1
 SALTS = 64
@@ -151,55 +153,72 @@ def plan(histogram: dict[int, int], room: int) -> list[tuple[int, dict[int, int]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END, keep_ids: bool = False) -> DataFrame:
-    """Cut every document: (doc_id, start, length, ids_crc32, doc_tokens[, ids])."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
+    """Cut every document: (doc_id, start, length, ids_crc32, doc_tokens, own[, ids]);
+    ``own`` numbers the full pieces, uniquely."""
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, own long" + ", ids binary" * keep_ids
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, False)
+        from pyspark import TaskContext
+
+        enc, full = encoder(tokenizer, False), TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts, doc_id = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
-            for a, b in slices(texts):
+            doc_id = batch.column("doc_id").to_pylist()
+            for a, b, texts in whole_texts(batch):
                 rows = []
-                for d, ids in zip(doc_id[a:b], enc.encode(texts[a:b], end_id)):
+                for d, ids in zip(doc_id[a:b], enc.encode(texts, end_id)):
                     data = ids.astype("<u4").tobytes()
                     for s in range(0, len(ids), capacity):
-                        own = data[4 * s : 4 * (s + capacity)]
-                        rows.append((d, s, len(own) // 4, zlib.crc32(own), len(ids)) + ((own,) if keep_ids else ()))
+                        part = data[4 * s : 4 * (s + capacity)]
+                        whole = len(part) == 4 * capacity
+                        full += whole
+                        rows.append((d, s, len(part) // 4, zlib.crc32(part), len(ids), full if whole else None) + ((part,) if keep_ids else ()))
                 columns = list(zip(*rows))
-                arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(c, pa.binary()) for c in columns[5:]]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(c, pa.binary()) for c in columns[6:]], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = END, keep_ids: bool = False) -> DataFrame:
-    """Pieces with their place: sequence_id and offset (gapless from 0)."""
+    """Pieces with their place: sequence_id (unique, with gaps) and offset (gapless from 0)."""
     spark = docs.sparkSession
     cut, _ = storage.stage(pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
-    size = (F.ceil(F.col("length") / grain) * grain).cast("int")
-    cut = cut.withColumn("size", F.least(size, F.lit(capacity))).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = cut.groupBy("size", "salt").count().collect()  # classes x SALTS rows at most
-    total: Counter = Counter()
-    base = []
-    for r in sorted(counts, key=lambda r: (r["size"], r["salt"])):
-        base.append((r["size"], r["salt"], total[r["size"]]))
-        total[r["size"]] += r["count"]
-    # Slots of each pattern in each class, in rank order.
+    full, rest = cut.where("own is not null"), cut.where("own is null").drop("own")
+    # Classes: lengths rounded up to ``grain``; pieces of at most half a grain share one.
+    size = F.least(F.ceil(F.col("length") / grain) * grain, F.lit(capacity)).cast("int")
+    rest = rest.withColumn("kind", F.when(F.col("length") * 2 <= grain, F.col("length").cast("int")).otherwise(size))
+    salts = max(SALTS, storage.partitions(spark))
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    counts = rest.groupBy("kind", "salt").count()
+    base = counts.select("kind", "salt", (F.sum("count").over(Window.partitionBy("kind").orderBy("salt")) - F.col("count")).alias("base"))
+    total = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("count").alias("n")).collect()}  # a row per class
+    need: Counter = Counter()
+    classes = []  # (kind, size, first slot of the kind in its size, pieces in a slot)
+    for kind, n in sorted(total.items()):
+        each = grain // kind if kind * 2 <= grain else 1
+        of = grain if kind * 2 <= grain else kind
+        classes.append((kind, of, need[of], each))
+        need[of] += -(-n // each)
+    # Slots of each pattern in each size, in rank order.
     slots, sequence, at = [], 0, Counter()
-    for n, pattern in plan(dict(total), capacity):
+    for n, pattern in plan(dict(need), capacity):
         for s, each in pattern.items():
             slots.append((s, at[s], at[s] + n * each, sequence, each))
             at[s] += n * each
         sequence += n
-    base_df = spark.createDataFrame(base, "size int, salt int, base long")
     slot_df = spark.createDataFrame(slots, "size int, lo long, hi long, first long, each long")
-    order = [F.col(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-    inside = F.row_number().over(Window.partitionBy("size", "salt").orderBy(*order)) - 1
-    ranked = cut.join(F.broadcast(base_df), ["size", "salt"]).withColumn("rank", F.col("base") + inside)
     by_size = slot_df.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "first", "each"))).alias("slots"))
-    own = F.element_at(F.filter("slots", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"])), 1)
-    placed = ranked.join(F.broadcast(by_size), "size").withColumn("own", own)
-    placed = placed.withColumn("sequence_id", F.col("own.first") + F.floor((F.col("rank") - F.col("own.lo")) / F.col("own.each")))
+    # A row per class, with the class's patterns: bounded by capacity / grain.
+    by_kind = spark.createDataFrame(classes, "kind int, size int, from long, per long").join(by_size, "size")
+    order = [F.col(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
+    inside = F.row_number().over(Window.partitionBy("kind", "salt").orderBy(*order)) - 1
+    ranked = rest.join(base, ["kind", "salt"]).withColumn("rank", F.col("base") + inside).join(F.broadcast(by_kind), "kind")
+    ranked = ranked.withColumn("slot", F.col("from") + F.floor(F.col("rank") / F.col("per")))
+    own = F.element_at(F.filter("slots", lambda s: (s["lo"] <= F.col("slot")) & (F.col("slot") < s["hi"])), 1)
+    placed = ranked.withColumn("own", own)
+    placed = placed.withColumn("sequence_id", F.col("own.first") + F.floor((F.col("slot") - F.col("own.lo")) / F.col("own.each")))
     within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *order, "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offset = F.sum("length").over(within) - F.col("length")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"), *(["ids"] if keep_ids else []))
+    placed = placed.withColumn("offset", F.sum("length").over(within) - F.col("length"))
+    alone = full.withColumn("sequence_id", F.col("own") + sequence).withColumn("offset", F.lit(0).cast("long"))
+    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if keep_ids else [])]
+    return placed.select(*out).unionByName(alone.select(*out))

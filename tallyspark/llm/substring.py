@@ -167,7 +167,7 @@ def repeated_anchors(rows: DataFrame, anchors_of: Callable[[list], tuple[np.ndar
         for batch in batches:
             keys_all, ties_all = (batch.column(c).to_numpy() for c in ("key", "tie"))
             texts = batch.column("text").to_pylist()
-            for lo, hi in slices([t or "" for t in texts], 4_000_000):
+            for lo, hi in slices([len(t or "") for t in texts]):
                 keys, ties = keys_all[lo:hi], ties_all[lo:hi]
                 h, doc = anchors_of(texts[lo:hi])
                 order = np.lexsort((doc, h))
@@ -213,7 +213,7 @@ def repeated_windows(rows: DataFrame, anchors: DataFrame, window: int, buckets:
         for batch in batches:
             keys_all, ties_all = (batch.column(c).to_numpy() for c in ("key", "tie"))
             texts, replies = batch.column("text").to_pylist(), batch.column("replies").to_pylist()
-            for lo, hi in slices([t or "" for t in texts], 4_000_000):
+            for lo, hi in slices([len(t or "") for t in texts]):
                 keys, ties = keys_all[lo:hi], ties_all[lo:hi]
                 s = Slice(texts[lo:hi], window)
                 h, at = s.anchors()

@@ -240,7 +240,7 @@ def covered(rows: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             keys_all, ties_all = (batch.column(c).to_numpy() for c in ("key", "tie"))
             texts, replies = batch.column("text").to_pylist(), batch.column("replies").to_pylist()
-            for x, y in slices([t or "" for t in texts], 4_000_000):
+            for x, y in slices([len(t or "") for t in texts]):
                 data = Bytes(texts[x:y])
                 h, at, doc = data.anchors()
                 known = np.unique(np.frombuffer(b"".join(v for r in replies[x:y] for v in r), np.uint64))

@@ -14,8 +14,9 @@ offset.  Every task writes a file of its own name and only the names that the
 winning tasks report are used, so a lost executor or a speculative copy leaves no
 trace in the result.
 
-Null or empty text: the end id alone.  Empty table: no shard, no row.  Repeated
-rows keep a record each.  Extra columns are ignored.
+Null or empty text: the end id alone.  Very long texts: a part of their own, so a task
+holds one of them at a time.  Empty table: no shard, no row.  Repeated rows keep a
+record each.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import storage
-from tallyspark.llm.words import encoder, slices
+from tallyspark.llm.words import encoder, whole_texts
 
 MANIFEST = "part long, name string, n_docs long, n_ids long"
 RECORD = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -59,12 +60,11 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         lengths, ids, out = [], [], None
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             ids.append(batch.column("doc_id"))
-            for a, b in slices(texts):
+            for _, _, texts in whole_texts(batch):
                 if out is None:
                     out = files.open_output_stream(f"{root}/{name}.bin")
-                arrays = enc.encode(texts[a:b], end_id)
+                arrays = enc.encode(texts, end_id)
                 lengths.extend(map(len, arrays))
                 out.write(np.concatenate(arrays).tobytes())
         if out is None:

@@ -7,9 +7,10 @@ worker, so memory does not follow the input.
 from __future__ import annotations
 
 import re
-from itertools import chain, filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -71,11 +72,17 @@ def groups(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 # White space of the vocabulary files' patterns (Unicode White_Space).
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_LEADING = re.compile(f"[{_WS}]?[^{_WS}]+|[{_WS}]+(?![^{_WS}])")
-_SPLIT = re.compile(f"[{_WS}]+")
-_ODD = re.compile("[\x1c-\x1f]")
-_RARE = re.compile("[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]|  | \n|\n |\n\n\n|\\A |[ \n]\\Z")
+_WS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LEADING = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", f"[{_WS}]?[^{_WS}]+|[{_WS}]+(?![^{_WS}])"))
+# Texts in which not every space but each line break starts a unit (RE2 syntax).
+_RARE = rf"[{_WS.replace(' ', '').replace('t-', 't' + chr(92) + 'x{0b}-')}\x{{00}}]|  | \n|\n |\n\n\n|\A |[ \n]\z"
+_TAIL = ".,;:!?*#&$%|()[]{}<>/\\\"'+-=_@^~`"
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first[i], first[i] + 1, ... of every run, end to end."""
+    reach = np.cumsum(size)
+    return np.repeat(first - reach + size, size) + np.arange(reach[-1] if len(reach) else 0)
 
 
 class Encoder:
@@ -85,65 +92,119 @@ class Encoder:
     cuts, so concatenated unit ids equal the ids of the whole text.  ``spaced``
     (byte-level vocabularies): a white-space character and the run after it, or
     other white space.  Otherwise (white space dropped): a run without white space.
-    Unseen units are encoded joined by a separator that is always one token of
-    its own.  Ids are kept as bytes of ``dtype``.
+    Punctuation that ends a unit after a letter or digit is cut off where the unit is
+    new.  Units that are still unseen are encoded joined by a separator that is always
+    one token of its own.  Known units and their ids are flat arrays; at ``limit``
+    units the half that was used last stays.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 1_000_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.limit, self.cache = spaced, limit, {}
+        self.spaced, self.limit = spaced, limit
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.mark = "\n" if spaced else "0"  # holds no unit that is encoded joined
         self.joint = "\n" if spaced else " 0 "
         (self.mark_id,) = self.tokenizer.encode(self.joint, add_special_tokens=False).ids
+        self.known, self.ids = pa.array([], pa.string()), np.empty(0, self.dtype)
+        self.size, self.used, self.turn = np.empty(0, np.int64), np.empty(0, np.int64), 0
 
-    def units(self, text: str) -> list[str]:
-        """Keys of the text's units.  With ``spaced`` a plain key stands for a
-        space and the word after it, "\0" marks a unit that is spelled out."""
-        if not self.spaced:
-            return [u for u in _SPLIT.split(text) if u] if _ODD.search(text) else text.split()
-        if not text or _RARE.search(text):
-            return ["\0" + u for u in _LEADING.findall(text)]
-        units = text.replace("\n", " \n").split(" ")
-        units[0] = "\0" + units[0]
-        return units
-
-    def _spelled(self, unit: str) -> str:
+    def units(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """Keys of the texts' units end to end, and how many each text has.  With
+        ``spaced`` a plain key stands for a space and the word after it, "\0" marks a
+        unit that is spelled out."""
         if not self.spaced:
-            return unit
-        return unit[1:] if unit[0] == "\0" else unit if unit[0] == "\n" else " " + unit
-
-    def _learn(self, new: list[str]) -> None:
-        joined, single = [], []
-        for u in new:
-            (single if self.mark in u or (self.spaced and u[0] == "\0") else joined).append(u)
-        chunks = [joined[i : i + 1024] for i in range(0, len(joined), 1024)]
-        encode = self.tokenizer.encode_batch_fast
-        for chunk, e in zip(chunks, encode([self.joint.join(map(self._spelled, c)) for c in chunks], add_special_tokens=False)):
-            ids = np.array(e.ids, self.dtype)
-            cut = np.flatnonzero(ids == self.mark_id)
+            listed = pc.ascii_split_whitespace(texts)
+            return listed.flatten(), np.diff(listed.offsets.to_numpy())
+        listed = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0"), texts, ""), "\n", " \n"), " ")
+        rare = pc.match_substring_regex(texts, _RARE)
+        if pc.any(rare).as_py():
+            spelled = pa.array([["\0" + u for u in _LEADING.findall(t)] for t in texts.filter(rare).to_pylist()], pa.list_(pa.string()))
+            place = np.arange(len(texts))
+            place[rare.to_numpy(zero_copy_only=False)] = len(texts) + np.arange(len(spelled))
+            listed = pa.concat_arrays([listed, spelled]).take(pa.array(place))
+        return listed.flatten(), np.diff(listed.offsets.to_numpy())
+
+    def _tokenize(self, keys: pa.StringArray) -> np.ndarray:
+        """Add units and the ids that the library gives them; their places."""
+        alone, spelled = pc.match_substring(keys, self.mark), keys
+        if self.spaced:
+            out = pc.starts_with(keys, "\0")
+            alone = pc.or_(alone, out)
+            plain = pc.if_else(pc.starts_with(keys, "\n"), keys, pc.binary_join_element_wise(pa.scalar(" "), keys, ""))
+            spelled = pc.if_else(out, pc.utf8_slice_codeunits(keys, 1), plain)
+        joined, single = spelled.filter(pc.invert(alone)), spelled.filter(alone)
+        encode, ids, sizes = self.tokenizer.encode_batch_fast, [self.ids], [self.size]
+        chunks = [joined.slice(i, 1024).to_pylist() for i in range(0, len(joined), 1024)]
+        for chunk, e in zip(chunks, encode([self.joint.join(c) for c in chunks], add_special_tokens=False)):
+            found = np.array(e.ids, self.dtype)
+            cut = np.flatnonzero(found == self.mark_id)
             assert len(cut) == len(chunk) - 1
-            data, w = ids.tobytes(), self.dtype.itemsize
-            at = 0
-            for u, end in zip(chunk, [*(cut * w).tolist(), len(data)]):
-                self.cache[u] = data[at:end]
-                at = end + w
-        for u, e in zip(single, encode([self._spelled(u) for u in single], add_special_tokens=False)):
-            self.cache[u] = np.array(e.ids, self.dtype).tobytes()
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        """The ids of each text with ``end`` appended, as arrays of ``dtype``."""
-        cache, stop = self.cache, np.array([end], self.dtype).tobytes()
-        units = [self.units(t) for t in texts]
-        new = set(filterfalse(cache.__contains__, chain.from_iterable(units)))
-        if len(cache) + len(new) > self.limit:
-            cache.clear()
-            new = set(chain.from_iterable(units))
-        self._learn(list(new))
-        return [np.frombuffer(b"".join(map(cache.__getitem__, u)) + stop, self.dtype) for u in units]
+            ids.append(found[found != self.mark_id])
+            sizes.append(np.diff(cut, prepend=-1, append=len(found)) - 1)
+        for e in encode(single.to_pylist(), add_special_tokens=False):
+            ids.append(np.array(e.ids, self.dtype))
+            sizes.append([len(e)])
+        order, place = np.argsort(alone.to_numpy(zero_copy_only=False), kind="stable"), np.empty(len(keys), np.int64)
+        place[order] = len(self.known) + np.arange(len(keys))
+        self._add(keys.take(pa.array(order)), np.concatenate(ids), np.concatenate(sizes).astype(np.int64))
+        return place
+
+    def _add(self, keys: pa.StringArray, ids: np.ndarray, size: np.ndarray) -> None:
+        self.known, self.ids, self.size = pa.concat_arrays([self.known, keys]), ids, size
+        self.used = np.concatenate((self.used, np.full(len(size) - len(self.used), self.turn)))
+
+    def _coded(self, units: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+        """Number of each unit: its place in ``known``, or after it in the unseen ones."""
+        coded = pa.concat_arrays([self.known, units]).dictionary_encode()
+        return coded.indices.slice(len(self.known)).to_numpy(), coded.dictionary.slice(len(self.known))
+
+    def _numbers(self, units: pa.StringArray) -> np.ndarray:
+        """Places of all units in ``known``, unseen ones learnt."""
+        n, (number, new) = len(self.known), self._coded(units)
+        if not len(new):
+            return number
+        core = pc.utf8_rtrim(new, characters=_TAIL)
+        last = pc.utf8_slice_codeunits(core, -1)
+        cut = pc.and_(pc.and_(pc.less(pc.binary_length(core), pc.binary_length(new)), pc.utf8_is_alnum(last)), pc.not_equal(last, "\u0130"))  # lower case of \u0130 ends in a mark
+        whole, stem = new.filter(pc.invert(cut)), core.filter(cut)
+        tail = pa.array([("\0" * self.spaced) + u[k:] for u, k in zip(new.filter(cut).to_pylist(), pc.utf8_length(stem).to_pylist())], pa.string())
+        place, fresh = self._coded(pa.concat_arrays([whole, stem, tail]))
+        place = np.concatenate((np.arange(n), self._tokenize(fresh)))[place]
+        first = np.cumsum(self.size) - self.size
+        parts = place[len(whole) :].reshape(2, -1).T.ravel()  # stem, tail, stem, tail ...
+        added = self.size[parts].reshape(-1, 2).sum(axis=1)
+        at, both = len(self.known), np.concatenate((self.ids, self.ids[_runs(first[parts], self.size[parts])]))
+        self._add(new.filter(cut), both, np.concatenate((self.size, added)))
+        where = np.arange(n + len(new))
+        split = cut.to_numpy(zero_copy_only=False)
+        where[n:][~split], where[n:][split] = place[: len(whole)], at + np.arange(len(stem))
+        return where[number]
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
+        first = np.cumsum(self.size) - self.size
+        self.ids = self.ids[_runs(first[keep], self.size[keep])]
+        self.known, self.size, self.used = self.known.take(pa.array(keep)), self.size[keep], self.used[keep]
+
+    def encode(self, texts: pa.StringArray, end: int) -> list[np.ndarray]:
+        """The ids of each text (none null) with ``end`` appended, as arrays of ``dtype``."""
+        if len(self.known) > self.limit:
+            self._forget()
+        self.turn += 1
+        units, count = self.units(texts)
+        number = self._numbers(units)
+        self.used[number] = self.turn
+        # Each text's units and the end, spread out to their ids.
+        number = np.insert(number, np.cumsum(count), len(self.known))
+        size = np.append(self.size, 1)
+        first, ids = np.cumsum(size) - size, np.append(self.ids, np.array(end, self.dtype))
+        taken = size[number]
+        flat = ids[_runs(first[number], taken)]
+        ends = np.cumsum(taken)[np.cumsum(count + 1) - 1]
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -156,13 +217,20 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return _ENCODERS[path, spaced]
 
 
-def slices(texts: list[str], chars: int = 2_000_000):
-    """Ranges of a batch with at most ``chars`` characters, one text at least."""
+def slices(sizes, most: int = 4_000_000):
+    """Ranges of a batch with sizes of at most ``most`` together, one row at least."""
     at = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > chars:
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
             yield at, i
             at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+        size += n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def whole_texts(batch: pa.RecordBatch, most: int = 4_000_000):
+    """The texts of a batch (null: empty) with their range, in bounded parts."""
+    texts = batch.column("text").fill_null("")
+    for a, b in slices(pc.binary_length(texts).to_pylist(), most):
+        yield a, b, texts.slice(a, b - a)

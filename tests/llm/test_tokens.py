@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -29,9 +30,12 @@ def test_units_encode_like_whole_texts(name, spaced):
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(3000)]
     whole = Tokenizer.from_file(vocabulary(name))
     whole.encode_special_tokens = True
+    known = [e.ids + [5] for e in whole.encode_batch(texts, add_special_tokens=False)]
     for limit in (10**6, 50):
-        got = Encoder(vocabulary(name), spaced, limit).encode(texts, 5)
-        assert [g.tolist() for g in got] == [e.ids + [5] for e in whole.encode_batch(texts, add_special_tokens=False)]
+        encoder = Encoder(vocabulary(name), spaced, limit)
+        for at in range(0, len(texts), 700):  # later parts meet known, forgotten and new units
+            got = encoder.encode(pa.array(texts[at : at + 700], pa.string()), 5)
+            assert [g.tolist() for g in got] == known[at : at + 700]
 
 
 def test_token_files(corpus):
@@ -82,6 +86,26 @@ def test_plan_meets_demand_near_the_bound(lengths, slack):
     assert sum(n for n, _ in plan) <= slack * sum(s * n for s, n in need.items()) / 2048 + 2
 
 
+def test_very_long_texts(spark):
+    r = random.Random(11)
+    long = " ".join("".join(r.choices("abcdé,", k=r.randint(1, 9))) for _ in range(750_000))
+    rows = [(1, long), (2, "short"), (3, "x" * 30_000), (4, long[:5000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokenbin.token_records(df, vocabulary("byte_bpe_50k.json")).collect()}
+    assert got == {d: (len(i), crc(i)) for d, i in ((d, ids_of("byte_bpe_50k.json", t, 0)) for d, t in rows)}
+    packed = packing.pack(df, vocabulary("word_bpe_49k.json")).collect()
+    assert {(r["doc_id"], r["start"]): r["ids_crc32"] for r in packed} == {(d, k): crc(i[k : k + 2048]) for d, i in ((d, ids_of("word_bpe_49k.json", t, 1)) for d, t in rows) for k in range(0, len(i), 2048)}
+    full = [r["sequence_id"] for r in packed if r["length"] == 2048]
+    assert len(set(full)) == len(full) and not set(full) & {r["sequence_id"] for r in packed if r["length"] < 2048}
+
+
+def test_short_pieces_share_a_place(spark):
+    df = spark.createDataFrame([(i, "" if i % 3 else "a b") for i in range(5000)], "doc_id long, text string")
+    got = packing.pack(df, vocabulary("word_bpe_49k.json")).collect()
+    total = sum(r["length"] for r in got)
+    assert len({r["sequence_id"] for r in got}) <= total / 2048 * 1.4 + 1
+
+
 def test_empty_tables(empty):
     assert tokenbin.token_records(empty, vocabulary("byte_bpe_50k.json")).count() == 0
     assert packing.pack(empty, vocabulary("word_bpe_49k.json")).count() == 0
