@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.metrics import count_correct
+from tallyspark.functions import scalars as sc
 
 
 def weight_diff(manifest: DataFrame, key: str = "param_key") -> DataFrame:
@@ -16,21 +16,36 @@ def weight_diff(manifest: DataFrame, key: str = "param_key") -> DataFrame:
     return joined.select(key, F.coalesce("module_b", "module_a").alias("module"), F.col("before").eqNullSafe(F.col("after")).alias("identical"))
 
 
-def shingle_hashes(text: Column, n: int = 8) -> Column:
-    """Distinct hashes of the n-token runs of the text; none for shorter texts."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    runs = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " "))))
-    return F.array_distinct(F.coalesce(runs, F.array().cast("array<long>")))
+def runs(texts: DataFrame, key: str | None = None, n: int = 8) -> DataFrame:
+    """([key,] gram): every n-token run of the texts; none of shorter texts.  The words
+    stand in a projection of their own, so a text is split once, not once per run."""
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    own = [key] if key else []
+    split = texts.select(*own, words.alias("words")).where(F.size("words") >= n)
+    grams = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))
+    return split.select(*own, F.explode(grams).alias("gram"))
 
 
-def leaked(items: DataFrame, corpus: DataFrame, n: int = 8) -> DataFrame:
-    """Items that share an n-token run with the corpus or equal one of its texts:
-    a semi-join on hashes, the corpus side exploded once."""
-    grams = corpus.select(F.explode(shingle_hashes(F.col("text"), n)).alias("gram"))
-    own = items.select("item_id", F.explode(shingle_hashes(F.col("text"), n)).alias("gram"))
-    by_run = own.join(grams, "gram", "left_semi").select("item_id")
-    whole = items.select("item_id", F.trim(F.lower("text")).alias("whole")).join(corpus.select(F.trim(F.lower("text")).alias("whole")), "whole", "left_semi").select("item_id")
-    return by_run.unionByName(whole).distinct()
+#: Rows of item runs that are broadcast at most (about 100 bytes each).
+BROADCAST_ROWS = 1_000_000
+
+
+def leaked(items: DataFrame, corpus: DataFrame, n: int = 8, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Items that share an n-token run with the corpus or equal one of its texts.
+
+    The corpus' runs are filtered by the items' own runs where they are made: by
+    broadcast if the items have at most ``broadcast_rows``, else by a shuffled semi-join.
+    Runs are compared by their words.  Null texts match nothing."""
+    own = runs(items, "item_id", n)
+    whole = items.select("item_id", F.trim(F.lower("text")).alias("gram"))
+    small = own.limit(broadcast_rows + 1).count() <= broadcast_rows and items.limit(broadcast_rows + 1).count() <= broadcast_rows
+    side = F.broadcast if small else (lambda df: df)
+    found = None
+    for mine, theirs in ((own, runs(corpus, None, n)), (whole, corpus.select(F.trim(F.lower("text")).alias("gram")))):
+        hits = theirs.join(side(mine.select("gram").distinct()), "gram", "left_semi").distinct()
+        part = mine.join(hits, "gram", "left_semi").select("item_id")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
 
 
 def difficulty_matched(samples: DataFrame, tolerance: float = 0.05) -> DataFrame:
@@ -46,7 +61,7 @@ def truncation_rates(samples: DataFrame, by: list[str], cap: int = 500) -> DataF
     """Share of samples at the cap without an answer, and at the cap at all."""
     at_cap = F.col("n_tokens") >= cap
     both = at_cap & ~F.col("answered")
-    return samples.groupBy(*by).agg(F.round(F.avg(both.cast("double")), 6).alias("truncated"), F.round(F.avg(at_cap.cast("double")), 6).alias("at_cap"), F.count("*").alias("n"))
+    return samples.groupBy(*by).agg(F.avg(both.cast("double")).alias("truncated"), F.avg(at_cap.cast("double")).alias("at_cap"), F.count("*").alias("n"))
 
 
 def perception_buckets(transcribed: DataFrame) -> DataFrame:
@@ -55,11 +70,43 @@ def perception_buckets(transcribed: DataFrame) -> DataFrame:
     return transcribed.groupBy("model", "problem_id").agg((F.avg(F.col("match").cast("double")) > 0.5).alias("perceived"))
 
 
-def cell_rates(samples: DataFrame, by: list[str]) -> DataFrame:
-    return count_correct(samples, by).withColumn("rate", F.round(F.col("c") / F.col("n"), 6))
-
-
 def numbered(samples: DataFrame) -> DataFrame:
     """sample_idx within (model, condition, problem), ordered by the rows' own keys."""
     w = Window.partitionBy("model", "condition", "problem_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "n_tokens", "temperature", "correct")
     return samples.withColumn("sample_idx", F.row_number().over(w) - 1)
+
+
+def join_transcripts(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, problem, transcript): each user turn with the assistant's next one."""
+    user = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("problem"))
+    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("transcript"))
+    return user.join(said, ["conv_id", "turn"])
+
+
+def paired_rates(samples: DataFrame, a: str, b: str, by: list[str], names: tuple[str, str]) -> DataFrame:
+    """Success rates of two conditions side by side, in one aggregation; null where a
+    condition has no samples."""
+    rate = lambda c, name: F.avg(F.when(F.col("condition") == c, F.col("correct").cast("int"))).alias(name)
+    return samples.where(F.col("condition").isin(a, b)).groupBy(*by).agg(rate(a, names[0]), rate(b, names[1]))
+
+
+def lengths(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Mean, median, 95th percentile and number of the samples' token counts."""
+    p = lambda q: F.expr(f"percentile(n_tokens, {q})")
+    return samples.groupBy(*by).agg(F.avg("n_tokens").alias("mean"), p(0.5).alias("median"), p(0.95).alias("p95"), F.count("*").alias("n"))
+
+
+def transcription_accuracy(heard: DataFrame, by: list[str]) -> DataFrame:
+    """Share of exact and of normalised matches of ``heard`` against ``problem``."""
+    exact, normalized = sc.transcription_match(F.col("heard"), F.col("problem"))
+    return heard.groupBy(*by).agg(F.avg(exact.cast("int")).alias("exact"), F.avg(normalized.cast("int")).alias("normalized"), F.count("*").alias("n"))
+
+
+def spurious_rates(traces: DataFrame, reviews: DataFrame, by: list[str]) -> DataFrame:
+    """Share of reviewed correct traces whose reasoning was judged spurious."""
+    return traces.join(reviews, "sample_id").groupBy(*by).agg(F.avg((F.col("verdict") == "spurious").cast("int")).alias("spurious"), F.count("*").alias("n_reviewed"))
+
+
+def throughput(steps: DataFrame, by: list[str], seconds: str) -> DataFrame:
+    """Rows per second of the summed time; null where no time passed."""
+    return steps.groupBy(*by).agg(F.try_divide(F.count("*"), F.sum(seconds)).alias("per_second"))

@@ -1,8 +1,9 @@
-"""Deterministic paired cluster bootstrap and summaries across seeds.
+"""Deterministic paired cluster bootstrap, Bayesian intervals, summaries across seeds.
 
 A draw is a pure function of (replicate, position), taken from md5, so results do not
 depend on partitioning and can be repeated by any other engine.  Problems are drawn,
-keeping everything a problem has together; all metrics share the draws.
+keeping everything a problem has together; all metrics share the draws.  Draws are made
+in parallel, from the problems themselves.
 """
 
 from __future__ import annotations
@@ -10,36 +11,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.metrics import count_correct
+from tallyspark.sources.readers import staged
 
-def draws(n: DataFrame, replicates: int) -> DataFrame:
-    """(b, i, w): how often replicate b draws problem i; ``n`` has one row (n_problems)."""
-    b = n.select("n_problems", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    j = b.where("n_problems > 0").select("n_problems", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_problems") - 1)).alias("j"))
+BY = ["seed", "k"]
+BUCKET = 1 << 16
+
+
+def numbered(problems: DataFrame) -> DataFrame:
+    """(problem_id, i, n_problems): distinct problems numbered by their id.  Ranks are
+    taken within ranges of ids; only the ranges' sizes meet in one task."""
+    own = problems.select("problem_id").distinct().withColumn("bucket", F.floor(F.col("problem_id") / BUCKET))
+    sizes = own.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("n_problems"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("problem_id")) - 1
+    return own.withColumn("rank", rank).join(before, "bucket").select("problem_id", (F.col("before") + F.col("rank")).cast("long").alias("i"), "n_problems")
+
+
+def draws(problems: DataFrame, replicates: int) -> DataFrame:
+    """(b, i, w): how often replicate b draws problem i, of ``numbered`` problems."""
+    j = problems.select("i", "n_problems").repartition("i").select("n_problems", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     text = F.substring(F.md5(F.concat(F.col("b").cast("string"), F.lit(":"), F.col("j").cast("string"))), 1, 8)
     i = F.pmod(F.conv(text, 16, 10).cast("long"), F.col("n_problems"))
     return j.select("b", i.alias("i")).groupBy("b", "i").agg(F.count("*").alias("w"))
 
 
-def replicate_means(wide: DataFrame, metrics: list[str], replicates: int, by: str = "seed") -> DataFrame:
+def replicate_means(wide: DataFrame, metrics: list[str], replicates: int, by: list[str] | None = None) -> DataFrame:
     """Mean of each metric in each replicate, per ``by``."""
-    # One row per problem of the benchmark, however many samples there are.
-    numbered = wide.select("problem_id").distinct().withColumn("i", (F.row_number().over(Window.orderBy("problem_id")) - 1).cast("long"))
-    n = numbered.agg(F.count("*").alias("n_problems"))
-    joined = draws(n, replicates).join(numbered, "i").join(wide, "problem_id")
+    problems = numbered(wide)
+    joined = draws(problems, replicates).join(problems.select("i", "problem_id"), "i").join(wide, "problem_id")
     means = [(F.sum(F.col(m) * F.col("w")) / F.nullif(F.sum(F.when(F.col(m).isNotNull(), F.col("w"))), F.lit(0))).alias(m) for m in metrics]
-    return joined.groupBy(by, "b").agg(*means)
+    return joined.groupBy(*(by or BY), "b").agg(*means)
 
 
-def intervals(wide: DataFrame, metrics: list[str], replicates: int = 200, level: float = 0.95, by: str = "seed") -> DataFrame:
-    """(by, metric, point, lo, hi, se, n): percentile intervals of the metrics' means."""
-    reps = replicate_means(wide, metrics, replicates, by).unpivot([by, "b"], metrics, "metric", "x")
+def intervals(wide: DataFrame, metrics: list[str], replicates: int = 200, level: float = 0.95, by: list[str] | None = None) -> DataFrame:
+    """(by, metric, point, lo, hi, se, n): percentile intervals of the metrics' means.
+    ``wide`` is written once; problems, draws and points all read that table."""
+    by, wide = by or BY, staged(wide, "gains")
+    reps = replicate_means(wide, metrics, replicates, by).unpivot([*by, "b"], metrics, "metric", "x")
     a = (1 - level) / 2
-    bounds = reps.groupBy(by, "metric").agg(F.expr(f"percentile(x, {a})").alias("lo"), F.expr(f"percentile(x, {1 - a})").alias("hi"), F.stddev_samp("x").alias("se"))
-    points = wide.unpivot([by, "problem_id"], metrics, "metric", "x").groupBy(by, "metric").agg(F.avg("x").alias("point"), F.count("x").alias("n"))
-    return points.join(bounds, [by, "metric"])
+    bounds = reps.groupBy(*by, "metric").agg(F.expr(f"percentile(x, {a})").alias("lo"), F.expr(f"percentile(x, {1 - a})").alias("hi"), F.stddev_samp("x").alias("se"))
+    points = wide.unpivot([*by, "problem_id"], metrics, "metric", "x").groupBy(*by, "metric").agg(F.avg("x").alias("point"), F.count("x").alias("n"))
+    return points.join(bounds, [*by, "metric"])
+
+
+def bayes_intervals(samples: DataFrame, z: float = 1.959963984540054) -> DataFrame:
+    """(seed, condition, point, lo, hi, n): Bayesian intervals of the mean pass@1 gain.
+
+    Each cell's success rate has the Beta posterior of a uniform prior; a problem's gain
+    is the difference of two of them.  The mean over problems sums many independent
+    posteriors, so its interval is the normal one of their exact means and variances."""
+    posterior = lambda df, keys, name: count_correct(df, keys).select(
+        *keys, ((F.col("c") + 1) / (F.col("n") + 2)).alias(f"m_{name}"), ((F.col("c") + 1) * (F.col("n") - F.col("c") + 1) / ((F.col("n") + 2) * (F.col("n") + 2) * (F.col("n") + 3))).alias(f"v_{name}"))
+    rl = posterior(samples.where("model = 'rl'"), ["condition", "problem_id", "seed"], "rl")
+    base = posterior(samples.where("model = 'base'"), ["condition", "problem_id"], "base")
+    g = rl.join(base, ["condition", "problem_id"]).groupBy("seed", "condition").agg(
+        F.avg(F.col("m_rl") - F.col("m_base")).alias("point"), F.sum(F.col("v_rl") + F.col("v_base")).alias("v"), F.count("*").alias("n"))
+    half = F.lit(z) * F.sqrt("v") / F.col("n")
+    return g.select("seed", "condition", "point", (F.col("point") - half).alias("lo"), (F.col("point") + half).alias("hi"), "n")
 
 
 def across_seeds(per_seed: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean and spread of per-seed values; samples are never pooled over seeds."""
     v = F.col(value)
-    return per_seed.groupBy(*by).agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"), F.round(F.min(v), 6).alias("lo"), F.round(F.max(v), 6).alias("hi"), F.count(v).alias("n_seeds"))
+    return per_seed.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n_seeds"))

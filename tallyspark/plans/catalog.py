@@ -2,8 +2,9 @@
 
 ``Tables`` binds the evaluation tables (samples, transcriptions, checkpoints, ...) to
 columns of the driver's tables; ``S`` is the same binding in SQL.  The binding tests
-computation, it says nothing about any model.  Filters are on raw columns, so they
-reach the Parquet scan.
+computation, it says nothing about any model.  ``Tables.chosen`` filters by model and
+condition on the raw columns behind them, so that these filters reach the Parquet scan.
+Results are rounded here, never inside an operator.
 """
 
 from __future__ import annotations
@@ -33,10 +34,19 @@ class Tables:
 
     @cached_property
     def samples(self) -> DataFrame:
+        return self.chosen()
+
+    def chosen(self, model: str | None = None, conditions: str | None = None) -> DataFrame:
+        """Samples of one model ("base", "rl"), or of some conditions ("T", "DE", ...)."""
+        raw = self.lineitem
+        if model:
+            raw = raw.where("l_linestatus = 'F'" if model == "base" else "l_linestatus <> 'F'")
+        if conditions:
+            raw = raw.where(F.col("l_returnflag").isin([{"T": "A", "D": "N", "E": "R"}[c] for c in conditions]))
         model = F.when(F.col("l_linestatus") == "F", "base").otherwise("rl")
         condition = F.when(F.col("l_returnflag") == "A", "T").when(F.col("l_returnflag") == "N", "D").otherwise("E")
         family = F.when(F.col("l_partkey") % 3 == 0, "3B").when(F.col("l_partkey") % 3 == 1, "7B").otherwise("2B")
-        return self.lineitem.select(
+        return raw.select(
             F.col("l_suppkey").alias("problem_id"), model.alias("model"), condition.alias("condition"), family.alias("model_family"),
             F.when(F.col("l_linestatus") == "O", F.col("l_linenumber") % 3).alias("seed"),
             F.col("l_tax").cast("decimal(4,2)").alias("temperature"), (F.col("l_discount") >= 0.1).alias("correct"),
@@ -47,9 +57,7 @@ class Tables:
 
     @cached_property
     def transcripts(self) -> DataFrame:
-        user = self.conversations.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("problem"))
-        said = self.conversations.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("transcript"))
-        return user.join(said, ["conv_id", "turn"])
+        return controls.join_transcripts(self.conversations)
 
     @cached_property
     def checkpoints(self) -> DataFrame:
@@ -80,7 +88,7 @@ class Tables:
     @cached_property
     def transcribed(self) -> DataFrame:
         """Condition D samples with whether their transcription was right."""
-        return self.samples.where("condition = 'D'").select("model", "problem_id", "correct", (F.col("l_partkey") % 2 == 0).alias("match"))
+        return self.chosen(conditions="D").select("model", "problem_id", "correct", (F.col("l_partkey") % 2 == 0).alias("match"))
 
 
 S = """s AS (
@@ -122,15 +130,17 @@ def pairs_sql(ks: list[int], by: str = "") -> str:
         ON er.condition = eb.condition AND er.problem_id = eb.problem_id AND er.k = eb.k{f" AND er.{by} = eb.{by}" if by else ""})"""
 
 
-WIDE = """wide AS (SELECT seed, problem_id, max(d) FILTER (condition = 'T') AS dt, max(d) FILTER (condition = 'E') AS dp,
-    max(d) FILTER (condition = 'T') - max(d) FILTER (condition = 'E') AS did FROM d GROUP BY 1, 2)"""
+WIDE = """wide AS (SELECT *, dt - dd AS did_d, dt - dp AS did FROM (SELECT seed, k, problem_id, max(d) FILTER (condition = 'T') AS dt,
+    max(d) FILTER (condition = 'D') AS dd, max(d) FILTER (condition = 'E') AS dp FROM d GROUP BY 1, 2, 3))"""
 BOOT = f"""idx AS (SELECT problem_id, row_number() OVER (ORDER BY problem_id) - 1 AS i FROM (SELECT DISTINCT problem_id FROM wide)),
-  dr AS (SELECT b, j, (('0x' || substr(md5(b || ':' || j), 1, 8))::BIGINT) % (SELECT count(*) FROM idx) AS i
-         FROM range({REPLICATES}) t(b), range((SELECT count(*) FROM idx)) u(j)),
-  long AS (SELECT seed, problem_id, 'dt' AS metric, dt AS x FROM wide UNION ALL SELECT seed, problem_id, 'dp', dp FROM wide UNION ALL SELECT seed, problem_id, 'did', did FROM wide),
-  reps AS (SELECT seed, metric, b, avg(x) AS x FROM dr JOIN idx USING (i) JOIN long USING (problem_id) GROUP BY 1, 2, 3),
-  ci AS (SELECT seed, metric, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi, stddev_samp(x) AS se FROM reps GROUP BY 1, 2),
-  pt AS (SELECT seed, metric, avg(x) AS point, count(x) AS n FROM long GROUP BY 1, 2)"""
+  dr AS (SELECT b, i, count(*) AS w FROM (SELECT b, (('0x' || substr(md5(b || ':' || j), 1, 8))::BIGINT) % (SELECT count(*) FROM idx) AS i
+         FROM range({REPLICATES}) t(b), range((SELECT count(*) FROM idx)) u(j)) GROUP BY 1, 2),
+  long AS (UNPIVOT wide ON {", ".join(metrics.GAINS)} INTO NAME metric VALUE x),
+  names AS (SELECT * FROM (SELECT DISTINCT seed, k, problem_id FROM wide), (SELECT unnest({metrics.GAINS}) AS metric)),
+  own AS (SELECT * FROM names LEFT JOIN long USING (seed, k, problem_id, metric)),
+  reps AS (SELECT seed, k, metric, b, sum(x * w) / nullif(sum(w) FILTER (x IS NOT NULL), 0) AS x FROM dr JOIN idx USING (i) JOIN own USING (problem_id) GROUP BY 1, 2, 3, 4),
+  ci AS (SELECT seed, k, metric, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi, stddev_samp(x) AS se FROM reps GROUP BY 1, 2, 3),
+  pt AS (SELECT seed, k, metric, avg(x) AS point, count(x) AS n FROM own GROUP BY 1, 2, 3)"""
 
 
 def query(name: str, sql: str, *ctes: str):
@@ -150,12 +160,16 @@ def r6(c: str):
     return F.round(c, 6).alias(c)
 
 
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 # -- sources and sinks ---------------------------------------------------------
 
-@query("src_text", "SELECT doc_id AS problem_id, CASE WHEN doc_id % 5 = 0 THEN 'eval' ELSE 'train' END AS split, text, CAST(n_chars AS DOUBLE) AS answer FROM documents WHERE lang = 'en'")
+@query("src_text", "SELECT doc_id AS problem_id, CASE WHEN doc_id % 5 = 0 THEN 'eval' ELSE 'train' END AS split, text, CAST(n_chars AS DOUBLE) AS answer FROM documents")
 def _(t):
     split = F.when(F.col("doc_id") % 5 == 0, "eval").otherwise("train")
-    return t.documents.where("lang = 'en'").select(F.col("doc_id").alias("problem_id"), split.alias("split"), "text", F.col("n_chars").cast("double").alias("answer"))
+    return t.documents.select(F.col("doc_id").alias("problem_id"), split.alias("split"), "text", F.col("n_chars").cast("double").alias("answer"))
 
 
 @query("src_image", "SELECT doc_id AS problem_id, CAST(strlen(text) AS BIGINT) AS image_bytes, md5(text) AS image_md5 FROM documents")
@@ -170,9 +184,9 @@ def _(t):
     return t.part.select(F.col("p_partkey").alias("problem_id"), F.col("p_name").alias("text"), answer.alias("answer_text"), sc.normalize_number(answer).isNotNull().alias("numeric_answer"))
 
 
-@query("src_samples", "SELECT problem_id, model, condition, seed, CAST(temperature AS DOUBLE) AS temperature, n_tokens, completion FROM s WHERE model = 'rl'", S)
+@query("src_samples", "SELECT problem_id, model, condition, coalesce(seed, -1) AS seed, CAST(temperature AS DOUBLE) AS temperature, n_tokens, completion FROM s", S)
 def _(t):
-    return t.samples.where("model = 'rl'").select("problem_id", "model", "condition", "seed", F.col("temperature").cast("double").alias("temperature"), "n_tokens", "completion")
+    return t.samples.select("problem_id", "model", "condition", F.coalesce("seed", F.lit(-1)).alias("seed"), F.col("temperature").cast("double").alias("temperature"), "n_tokens", "completion")
 
 
 @query("src_transcripts", "SELECT conv_id AS problem_id, turn AS sample_idx, transcript FROM tr", TR)
@@ -203,7 +217,7 @@ def _(t):
 
 @query("snk_report", f"SELECT model, condition, k, round(avg(p), 6) AS pass_at_k, count(p) AS n_problems FROM (SELECT *, {passk()} AS p FROM nc, (SELECT unnest([1, 8]) AS k)) GROUP BY ALL", S, "nc AS (SELECT model, condition, problem_id, count(*) AS n, count(*) FILTER (correct) AS c FROM s GROUP BY ALL)")
 def _(t):
-    return readers.write_report(metrics.curve(t.samples, ["model", "condition"], SEED_KS))
+    return readers.write_report(rounded(metrics.curve(t.samples, ["model", "condition"], SEED_KS), "pass_at_k"))
 
 
 # -- scalars -------------------------------------------------------------------
@@ -281,11 +295,11 @@ DELTAS = "SELECT seed, condition, k, round(avg(d), 6) AS delta, count(d) AS n_pr
 
 @query("sc_survive", "SELECT seed, round(avg(dp) / nullif(avg(dt), 0), 4) AS survival FROM wide GROUP BY seed", S, D1, WIDE)
 def _(t):
-    wide = metrics.problem_pivot(t.samples)
+    wide = metrics.problem_pivot(t.chosen(conditions="TE"), [1])
     return wide.groupBy("seed").agg(F.round(sc.survival_ratio(F.avg("dp"), F.avg("dt")), 4).alias("survival"))
 
 
-CI_SQL = "SELECT seed, metric, round(point, 6) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi, round(se, 6) AS se, n FROM ci JOIN pt USING (seed, metric)"
+CI_SQL = "SELECT seed, k, metric, round(point, 6) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi, round(se, 6) AS se, n FROM ci JOIN pt USING (seed, k, metric)"
 OUTCOME = """SELECT seed, CASE WHEN NOT tl > 0 THEN 'no_reference_gain' WHEN ph < 0 THEN 'D' WHEN pl > 0 AND dl > 0 THEN 'C' WHEN pl > 0 AND dh < 0 THEN 'exceeds'
   WHEN pl > 0 THEN 'B' WHEN dl > 0 THEN 'A' ELSE 'noise' END AS outcome FROM (SELECT seed, max(lo) FILTER (metric = 'dt') AS tl, max(lo) FILTER (metric = 'dp') AS pl,
   max(hi) FILTER (metric = 'dp') AS ph, max(lo) FILTER (metric = 'did') AS dl, max(hi) FILTER (metric = 'did') AS dh FROM ci GROUP BY seed)"""
@@ -293,12 +307,12 @@ OUTCOME = """SELECT seed, CASE WHEN NOT tl > 0 THEN 'no_reference_gain' WHEN ph
 
 @query("sc_outcome", OUTCOME, S, D1, WIDE, BOOT)
 def _(t):
-    return gates.outcomes(metrics.problem_pivot(t.samples), REPLICATES).select("seed", "outcome")
+    return gates.outcomes(metrics.problem_pivot(t.chosen(conditions="TE"), [1]), REPLICATES).select("seed", "outcome")
 
 
 @query("sc_calib", "SELECT condition, round(avg(c / n), 6) AS base_pass1, avg(c / n) BETWEEN 0.01 AND 0.99 AS calibrated FROM nc WHERE model = 'base' GROUP BY 1", S, POOL)
 def _(t):
-    base = metrics.count_correct(t.samples.where("model = 'base'"), ["condition", "problem_id"])
+    base = metrics.count_correct(t.chosen("base"), ["condition", "problem_id"])
     p = F.avg(F.col("c") / F.col("n"))
     return base.groupBy("condition").agg(F.round(p, 6).alias("base_pass1"), sc.calibration_ok(p).alias("calibrated"))
 
@@ -318,10 +332,9 @@ def _(t):
     return t.samples.join(problems, "problem_id").groupBy("split").agg(F.count("*").alias("n"), F.count_if(right).alias("correct"))
 
 
-@query("j_pair_modality", "SELECT model, problem_id, round(avg(correct::INT) FILTER (condition = 'T'), 6) AS text_rate, round(avg(correct::INT) FILTER (condition = 'E'), 6) AS image_rate FROM s GROUP BY 1, 2", S)
+@query("j_pair_modality", "SELECT model, problem_id, round(avg(correct::INT) FILTER (condition = 'T'), 6) AS text_rate, round(avg(correct::INT) FILTER (condition = 'E'), 6) AS image_rate FROM s WHERE condition IN ('T', 'E') GROUP BY 1, 2", S)
 def _(t):
-    rate = lambda c: F.round(F.avg(F.when(F.col("condition") == c, F.col("correct").cast("int"))), 6)
-    return t.samples.groupBy("model", "problem_id").agg(rate("T").alias("text_rate"), rate("E").alias("image_rate"))
+    return rounded(controls.paired_rates(t.chosen(conditions="TE"), "T", "E", ["model", "problem_id"], ("text_rate", "image_rate")), "text_rate", "image_rate")
 
 
 @query("j_pair_model", "SELECT seed, condition, problem_id, round(d, 6) AS d FROM d", S, D1)
@@ -340,7 +353,7 @@ PB = "pb AS (SELECT model, problem_id, avg((l_partkey % 2 = 0)::INT) > 0.5 AS pe
 @query("j_perception", "SELECT s.model, condition, coalesce(perceived, false) AS perceived, count(*) AS n, count(*) FILTER (correct) AS c FROM s LEFT JOIN pb ON s.model = pb.model AND s.problem_id = pb.problem_id WHERE condition <> 'D' GROUP BY ALL", S, PB)
 def _(t):
     buckets = controls.perception_buckets(t.transcribed)
-    joined = t.samples.where("condition <> 'D'").join(buckets, ["model", "problem_id"], "left")
+    joined = t.chosen(conditions="TE").join(buckets, ["model", "problem_id"], "left")
     return metrics.count_correct(joined.withColumn("perceived", F.coalesce("perceived", F.lit(False))), ["model", "condition", "perceived"])
 
 
@@ -372,8 +385,8 @@ def _(t):
 
 @query("j_paraphrase", "SELECT a.problem_id, round(a.r, 6) AS original, round(b.r, 6) AS paraphrase FROM (SELECT problem_id, avg(correct::INT) AS r FROM s WHERE condition = 'T' GROUP BY 1) a JOIN (SELECT problem_id, avg(correct::INT) AS r FROM s WHERE condition = 'D' GROUP BY 1) b USING (problem_id)", S)
 def _(t):
-    rate = lambda c, name: t.samples.where(F.col("condition") == c).groupBy("problem_id").agg(F.round(F.avg(F.col("correct").cast("int")), 6).alias(name))
-    return rate("T", "original").join(rate("D", "paraphrase"), "problem_id")
+    both = controls.paired_rates(t.chosen(conditions="TD"), "T", "D", ["problem_id"], ("original", "paraphrase"))
+    return rounded(both.dropna(), "original", "paraphrase")
 
 
 @query("j_reviews", "SELECT doc_id AS sample_id, lang AS condition, verdict FROM documents LEFT JOIN (SELECT doc_id, CASE WHEN quality = 0 THEN 'spurious' ELSE 'sound' END AS verdict FROM labels) USING (doc_id)")
@@ -382,20 +395,19 @@ def _(t):
 
 
 DF_ = pairs_sql([1], "model_family")
-FAMILY = "fam AS (SELECT model_family, seed, condition, k, round(avg(d), 6) AS delta FROM d GROUP BY ALL)"
+FAMILY = "fam AS (SELECT model_family, seed, condition, k, avg(d) AS delta FROM d GROUP BY ALL)"
 
 
-@query("j_cross_model", "SELECT a.seed, a.condition, a.k, a.delta AS delta_3b, b.delta AS delta_7b, c.delta AS delta_2b FROM fam a JOIN fam b USING (seed, condition, k) JOIN fam c USING (seed, condition, k) WHERE a.model_family = '3B' AND b.model_family = '7B' AND c.model_family = '2B'", S, DF_, FAMILY)
+@query("j_cross_model", "SELECT a.seed, a.condition, a.k, round(a.delta, 6) AS delta_3b, round(b.delta, 6) AS delta_7b, round(c.delta, 6) AS delta_2b FROM fam a JOIN fam b USING (seed, condition, k) JOIN fam c USING (seed, condition, k) WHERE a.model_family = '3B' AND b.model_family = '7B' AND c.model_family = '2B'", S, DF_, FAMILY)
 def _(t):
-    d = metrics.deltas(t.samples, [1], ["model_family"])
+    d = rounded(metrics.deltas(t.samples, [1], ["model_family"]), "delta")
     return d.groupBy("seed", "condition", "k").pivot("model_family", ["3B", "7B", "2B"]).agg(F.first("delta")).withColumnsRenamed({"3B": "delta_3b", "7B": "delta_7b", "2B": "delta_2b"})
 
 
-@query("j_boot", "SELECT seed, b, metric, round(x, 6) AS x FROM reps", S, D1, WIDE, BOOT)
+@query("j_boot", "SELECT seed, k, b, metric, round(x, 6) AS x FROM reps WHERE x IS NOT NULL", S, DK, WIDE, BOOT)
 def _(t):
-    m = ["dt", "dp", "did"]
-    reps = stats.replicate_means(metrics.problem_pivot(t.samples), m, REPLICATES)
-    return reps.withColumn("b", F.col("b").cast("long")).unpivot(["seed", "b"], m, "metric", "x").withColumn("x", F.round("x", 6))
+    reps = stats.replicate_means(metrics.problem_pivot(t.samples, SEED_KS), metrics.GAINS, REPLICATES)
+    return rounded(reps.withColumn("b", F.col("b").cast("long")).unpivot(["seed", "k", "b"], metrics.GAINS, "metric", "x").where("x IS NOT NULL"), "x")
 
 
 # -- aggregations --------------------------------------------------------------
@@ -407,32 +419,32 @@ def _(t):
 
 @query("ag_passk", f"SELECT model, coalesce(seed, -1) AS seed, condition, k, round(avg(p), 6) AS pass_at_k, count(p) AS n_problems FROM (SELECT *, {passk()} AS p FROM nc, (SELECT unnest({SEED_KS}) AS k)) GROUP BY ALL", S, NC)
 def _(t):
-    return metrics.curve(t.samples, ["model", "seed", "condition"], SEED_KS).withColumn("seed", F.expr(SHOWN))
+    return rounded(metrics.curve(t.samples, ["model", "seed", "condition"], SEED_KS), "pass_at_k").withColumn("seed", F.expr(SHOWN))
 
 
 @query("ag_curve", f"SELECT model, condition, k, round(avg(p), 6) AS pass_at_k, count(p) AS n_problems FROM (SELECT *, {passk()} AS p FROM nc, (SELECT unnest({KS}) AS k)) GROUP BY ALL", S, POOL)
 def _(t):
-    return metrics.curve(t.samples, ["model", "condition"], KS)
+    return rounded(metrics.curve(t.samples, ["model", "condition"], KS), "pass_at_k")
 
 
 @query("ag_delta_text", DELTAS.format("WHERE condition = 'T'"), S, D1)
 def _(t):
-    return metrics.deltas(t.samples.where("condition = 'T'"), [1])
+    return rounded(metrics.deltas(t.chosen(conditions="T"), [1]), "delta")
 
 
 @query("ag_delta_pixel", DELTAS.format("WHERE condition IN ('D', 'E')"), S, D1)
 def _(t):
-    return metrics.deltas(t.samples.where("condition IN ('D', 'E')"), [1])
+    return rounded(metrics.deltas(t.chosen(conditions="DE"), [1]), "delta")
 
 
 @query("ag_delta_k", DELTAS.format(""), S, DK)
 def _(t):
-    return metrics.deltas(t.samples, SEED_KS)
+    return rounded(metrics.deltas(t.samples, SEED_KS), "delta")
 
 
 @query("ag_did", "SELECT seed, round(avg(did), 6) AS did, count(did) AS n_problems FROM wide GROUP BY 1", S, D1, WIDE)
 def _(t):
-    return metrics.problem_pivot(t.samples).groupBy("seed").agg(F.round(F.avg("did"), 6).alias("did"), F.count("did").alias("n_problems"))
+    return metrics.problem_pivot(t.chosen(conditions="TE"), [1]).groupBy("seed").agg(F.round(F.avg("did"), 6).alias("did"), F.count("did").alias("n_problems"))
 
 
 def gap_sql(a: str, b: str) -> str:
@@ -442,37 +454,60 @@ def gap_sql(a: str, b: str) -> str:
 
 
 for _name, _a, _b in (("ag_gap_td", "T", "D"), ("ag_gap_de", "D", "E"), ("ag_percep_tax", "T", "E")):
-    query(_name, gap_sql(_a, _b), S)(lambda t, a=_a, b=_b: metrics.condition_gap(t.samples, a, b, SEED_KS).withColumn("seed", F.expr(SHOWN)))
+    query(_name, gap_sql(_a, _b), S)(lambda t, a=_a, b=_b: rounded(metrics.condition_gap(t.chosen(conditions=a + b), a, b, SEED_KS), "gap").withColumn("seed", F.expr(SHOWN)))
 
 
 @query("ag_drl3", "SELECT seed, max(delta) FILTER (condition = 'T') AS delta_t, max(delta) FILTER (condition = 'D') AS delta_d, max(delta) FILTER (condition = 'E') AS delta_e FROM (SELECT seed, condition, round(avg(d), 6) AS delta FROM d GROUP BY 1, 2) GROUP BY 1", S, D1)
 def _(t):
-    d = metrics.deltas(t.samples, [1])
+    d = rounded(metrics.deltas(t.samples, [1]), "delta")
     return d.groupBy("seed").agg(*(F.max(F.when(F.col("condition") == c, F.col("delta"))).alias(f"delta_{c.lower()}") for c in "TDE"))
 
 
-@query("ag_seed", "SELECT condition, k, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, round(min(delta), 6) AS lo, round(max(delta), 6) AS hi, count(delta) AS n_seeds FROM (SELECT seed, condition, k, round(avg(d), 6) AS delta FROM d GROUP BY 1, 2, 3) GROUP BY 1, 2", S, DK)
+@query("ag_seed", "SELECT condition, k, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, round(min(delta), 6) AS lo, round(max(delta), 6) AS hi, count(delta) AS n_seeds FROM (SELECT seed, condition, k, avg(d) AS delta FROM d GROUP BY 1, 2, 3) GROUP BY 1, 2", S, DK)
+def _(t):
+    return rounded(stats.across_seeds(metrics.deltas(t.samples, SEED_KS), "delta", ["condition", "k"]), "mean", "sd", "lo", "hi")
+
+
+CI_KS = [1, 8, 64]
+DC = pairs_sql(CI_KS)
+
+
+@query("ag_ci", CI_SQL, S, DC, WIDE, BOOT)
 def _(t):
-    return stats.across_seeds(metrics.deltas(t.samples, SEED_KS), "delta", ["condition", "k"])
+    ci = stats.intervals(metrics.problem_pivot(t.samples, CI_KS), metrics.GAINS, REPLICATES)
+    return ci.select("seed", "k", "metric", r6("point"), r6("lo"), r6("hi"), r6("se"), "n")
 
 
-@query("ag_ci", CI_SQL, S, D1, WIDE, BOOT)
+@query("ag_bayes", """SELECT seed, condition, round(m, 6) AS point, round(m - 1.959963984540054 * sqrt(v) / n, 6) AS lo, round(m + 1.959963984540054 * sqrt(v) / n, 6) AS hi, n FROM (
+  SELECT r.seed, condition, avg((r.c + 1) / (r.n + 2) - (b.c + 1) / (b.n + 2)) AS m, count(*) AS n,
+         sum((r.c + 1) * (r.n - r.c + 1) / ((r.n + 2)::DOUBLE * (r.n + 2) * (r.n + 3)) + (b.c + 1) * (b.n - b.c + 1) / ((b.n + 2)::DOUBLE * (b.n + 2) * (b.n + 3))) AS v
+  FROM (SELECT * FROM nc WHERE model = 'rl') r JOIN (SELECT condition, problem_id, sum(n) AS n, sum(c) AS c FROM nc WHERE model = 'base' GROUP BY 1, 2) b USING (condition, problem_id) GROUP BY 1, 2)""", S, NC)
 def _(t):
-    ci = stats.intervals(metrics.problem_pivot(t.samples), ["dt", "dp", "did"], REPLICATES)
-    return ci.select("seed", "metric", r6("point"), r6("lo"), r6("hi"), r6("se"), "n")
+    return rounded(stats.bayes_intervals(t.samples), "point", "lo", "hi")
+
+
+@query("ag_equiv", "SELECT seed, k, metric, lo <= 0 AND hi >= 0 AS contains_zero, lo >= -0.02 AND hi <= 0.02 AS inside_margin FROM ci WHERE metric IN ('dt', 'dd', 'dp')", S, DC, WIDE, BOOT)
+def _(t):
+    return gates.equivalence(metrics.problem_pivot(t.samples, CI_KS), REPLICATES)
 
 
 D8 = pairs_sql([8])
 
 
-@query("ag_equiv", "SELECT seed, metric, lo <= 0 AND hi >= 0 AS contains_zero, lo >= -0.02 AND hi <= 0.02 AS inside_margin FROM ci WHERE metric <> 'did'", S, D8, WIDE, BOOT)
+@query("ag_sharpen_gate", "SELECT seed, k, 'sharpening' AS gate, round(greatest(abs(lo), abs(hi)), 6) AS value, 0.02::DOUBLE AS threshold, lo >= -0.02 AND hi <= 0.02 AS passed FROM ci WHERE metric = 'dt'", S, D8, WIDE, BOOT)
 def _(t):
-    return gates.equivalence(metrics.problem_pivot(t.samples, 8), REPLICATES)
+    return rounded(gates.sharpening(metrics.problem_pivot(t.chosen(conditions="T"), [8]), REPLICATES), "value")
+
+
+LARGE = [64, 256, 512]
 
 
-@query("ag_sharpen_gate", "SELECT seed, 'sharpening' AS gate, round(greatest(abs(lo), abs(hi)), 6) AS value, 0.02::DOUBLE AS threshold, lo >= -0.02 AND hi <= 0.02 AS passed FROM ci WHERE metric = 'dt'", S, D8, WIDE, BOOT)
+@query("ag_extrapolate", f"""SELECT model, condition, k, round(CASE WHEN size IS NULL THEN 1 - pow(1 - m, k) ELSE 1 - list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(0, k), lambda i: ((1 - m) * size + i) / (size + i))), lambda a, b: a * b) END, 6) AS pass_at_k, n_problems FROM (
+  SELECT *, CASE WHEN rho > 1e-9 THEN 1 / rho - 1 END AS size FROM (SELECT *, (v / nullif(m * (1 - m), 0) - w) / nullif(1 - w, 0) AS rho FROM (
+    SELECT model, condition, avg(c / n) AS m, var_pop(c / n) AS v, avg(1 / n) AS w, count(*) AS n_problems FROM nc GROUP BY 1, 2))), (SELECT unnest({LARGE}) AS k)""", S, POOL)
 def _(t):
-    return gates.sharpening(metrics.problem_pivot(t.samples, 8), REPLICATES)
+    cells = metrics.count_correct(t.samples, ["model", "condition", "problem_id"])
+    return rounded(metrics.extrapolate(cells, ["model", "condition"], LARGE), "pass_at_k")
 
 
 TRUNC = "round(avg((n_tokens >= 500 AND NOT answered)::INT), 6) AS truncated, round(avg((n_tokens >= 500)::INT), 6) AS at_cap, count(*) AS n"
@@ -480,7 +515,7 @@ TRUNC = "round(avg((n_tokens >= 500 AND NOT answered)::INT), 6) AS truncated, ro
 
 @query("ag_trunc", f"SELECT model, condition, {TRUNC} FROM s GROUP BY 1, 2", S)
 def _(t):
-    return controls.truncation_rates(t.samples, ["model", "condition"])
+    return rounded(controls.truncation_rates(t.samples, ["model", "condition"]), "truncated", "at_cap")
 
 
 @query("ag_trunc_asym", "SELECT condition, round(rl - base, 6) AS difference, round(sqrt(rl * (1 - rl) / nr + base * (1 - base) / nb), 6) AS se, (rl - base) - 1.96 * sqrt(rl * (1 - rl) / nr + base * (1 - base) / nb) > 0 AS raise_cap FROM (SELECT condition, avg(x) FILTER (model = 'rl') AS rl, avg(x) FILTER (model = 'base') AS base, count(*) FILTER (model = 'rl') AS nr, count(*) FILTER (model = 'base') AS nb FROM (SELECT *, (n_tokens >= 500)::INT AS x FROM s) GROUP BY 1)", S)
@@ -490,8 +525,7 @@ def _(t):
 
 @query("ag_length", "SELECT model, correct, round(avg(n_tokens), 6) AS mean, round(quantile_cont(n_tokens, 0.5), 6) AS median, round(quantile_cont(n_tokens, 0.95), 6) AS p95, count(*) AS n FROM s GROUP BY 1, 2", S)
 def _(t):
-    p = lambda q: F.round(F.expr(f"percentile(n_tokens, {q})"), 6)
-    return t.samples.groupBy("model", "correct").agg(F.round(F.avg("n_tokens"), 6).alias("mean"), p(0.5).alias("median"), p(0.95).alias("p95"), F.count("*").alias("n"))
+    return rounded(controls.lengths(t.samples, ["model", "correct"]), "mean", "median", "p95")
 
 
 @query("ag_phrase", "SELECT role, round(avg((contains(lower(text), 'the'))::INT), 6) AS phrase_rate, round(avg((length(trim(text)) < 20)::INT), 6) AS near_empty, count(*) AS n FROM conversations GROUP BY 1")
@@ -501,8 +535,8 @@ def _(t):
 
 @query("ag_trans_acc", f"SELECT turn % 4 AS grp, round(avg(({HEARD} = problem)::INT), 6) AS exact, round(avg(({NORM.format('(' + HEARD + ')')} = {NORM.format('problem')})::INT), 6) AS normalized, count(*) AS n FROM tr GROUP BY 1", TR)
 def _(t):
-    exact, normalized = sc.transcription_match(_heard(), F.col("problem"))
-    return t.transcripts.groupBy((F.col("turn") % 4).alias("grp")).agg(F.round(F.avg(exact.cast("int")), 6).alias("exact"), F.round(F.avg(normalized.cast("int")), 6).alias("normalized"), F.count("*").alias("n"))
+    heard = t.transcripts.select("problem", _heard().alias("heard"), (F.col("turn") % 4).alias("grp"))
+    return rounded(controls.transcription_accuracy(heard, ["grp"]), "exact", "normalized")
 
 
 @query("ag_percep", "SELECT seed, condition, perceived, round(avg(d), 6) AS delta, count(d) AS n_problems FROM d JOIN (SELECT problem_id, perceived FROM pb WHERE model = 'rl') USING (problem_id) GROUP BY 1, 2, 3", S, D1, PB)
@@ -516,23 +550,23 @@ def _(t):
 def _(t):
     numbered = controls.numbered(t.samples)
     odd = numbered.where("condition = 'T' AND (model = 'rl' OR sample_idx % 2 = 1)")
-    return metrics.deltas(odd.join(controls.difficulty_matched(numbered).select("problem_id"), "problem_id", "left_semi"), [1])
+    return rounded(metrics.deltas(odd.join(controls.difficulty_matched(numbered).select("problem_id"), "problem_id", "left_semi"), [1]), "delta")
 
 
 @query("ag_paraphrase", DELTAS.format("WHERE condition IN ('P', 'T')"), S.replace("WHEN 'N' THEN 'D'", "WHEN 'N' THEN 'P'"), D1)
 def _(t):
-    p = t.samples.withColumn("condition", F.when(F.col("condition") == "D", "P").otherwise(F.col("condition")))
-    return metrics.deltas(p.where("condition IN ('P', 'T')"), [1])
+    p = t.chosen(conditions="TD").withColumn("condition", F.when(F.col("condition") == "D", "P").otherwise(F.col("condition")))
+    return rounded(metrics.deltas(p, [1]), "delta")
 
 
 @query("ag_spurious", "SELECT lang AS condition, round(avg((quality = 0)::INT), 6) AS spurious, count(*) AS n_reviewed FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def _(t):
-    return t.correct_traces.join(t.reviews, "sample_id").groupBy("condition").agg(F.round(F.avg((F.col("verdict") == "spurious").cast("int")), 6).alias("spurious"), F.count("*").alias("n_reviewed"))
+    return rounded(controls.spurious_rates(t.correct_traces, t.reviews, ["condition"]), "spurious")
 
 
 @query("ag_headroom", f"SELECT model_family, round(p16 - p1, 6) AS headroom, round(p16, 6) AS pass16, p16 - p1 > 0.05 AND p16 > 0.02 AS passed FROM (SELECT model_family, avg({passk(k='1')}) AS p1, avg({passk(k='16')}) AS p16 FROM (SELECT model_family, problem_id, count(*) AS n, count(*) FILTER (correct) AS c FROM s WHERE model = 'base' GROUP BY ALL) GROUP BY 1)", S)
 def _(t):
-    return gates.headroom(t.samples)
+    return gates.headroom(t.chosen("base"))
 
 
 @query("ag_manip", "SELECT module, bool_and(identical) AS frozen, count(*) FILTER (NOT identical) AS n_changed, count(*) AS n_params FROM w GROUP BY 1", WD)
@@ -542,13 +576,13 @@ def _(t):
 
 @query("ag_throughput", "SELECT event_type AS run, round(count(*) / nullif(sum(value), 0), 6) AS per_second FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy(F.col("event_type").alias("run")).agg(F.round(F.try_divide(F.count("*"), F.sum("value")), 6).alias("per_second"))
+    return rounded(controls.throughput(t.events.withColumnRenamed("event_type", "run"), ["run"], "value"), "per_second")
 
 
-@query("ag_agree", "SELECT condition, count(DISTINCT sign(delta)) = 1 AS agree FROM (SELECT model_family, condition, avg(delta) AS delta FROM fam GROUP BY 1, 2) GROUP BY 1", S, DF_, FAMILY)
+@query("ag_agree", "SELECT condition, count(DISTINCT sign(round(delta, 9))) = 1 AS agree FROM (SELECT model_family, condition, avg(delta) AS delta FROM fam GROUP BY 1, 2) GROUP BY 1", S, DF_, FAMILY)
 def _(t):
     d = metrics.deltas(t.samples, [1], ["model_family"]).groupBy("model_family", "condition").agg(F.avg("delta").alias("delta"))
-    return d.groupBy("condition").agg((F.countDistinct(F.signum("delta")) == 1).alias("agree"))
+    return metrics.agreement(d, "delta", ["condition"])
 
 
 # -- windows, limits, sets -------------------------------------------------------
@@ -571,15 +605,14 @@ def _(t):
     return training.plateau(t.checkpoints).select("seed", "step", "pass1", (F.col("flat") == 1).alias("flat"), "stop")
 
 
-BT = """rates AS (SELECT model, temperature, sample_idx % 2 AS half, round(avg(correct::INT), 6) AS rate FROM num GROUP BY 1, 2, 3),
-  best AS (SELECT model, temperature FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY rate DESC, temperature) AS r FROM rates WHERE half = 0) WHERE r = 1)"""
+BT = f"""half AS (SELECT model, temperature, problem_id, sample_idx % 2 AS half, count(*) AS n, count(*) FILTER (correct) AS c FROM num GROUP BY ALL),
+  rates AS (SELECT model, temperature, half, k, round(avg(p), 9) AS rate FROM (SELECT *, {passk()} AS p FROM half, (SELECT unnest([1, 4]) AS k)) GROUP BY ALL HAVING avg(p) IS NOT NULL),
+  best AS (SELECT model, k, temperature FROM (SELECT *, row_number() OVER (PARTITION BY model, k ORDER BY rate DESC, temperature) AS r FROM rates WHERE half = 0) WHERE r = 1)"""
 
 
-@query("w_best_temp", "SELECT model, CAST(temperature AS DOUBLE) AS temperature, rate FROM rates JOIN best USING (model, temperature) WHERE half = 1", S, NUM, BT)
+@query("w_best_temp", "SELECT model, k, CAST(temperature AS DOUBLE) AS temperature, round(rate, 6) AS rate FROM rates JOIN best USING (model, k, temperature) WHERE half = 1", S, NUM, BT)
 def _(t):
-    rates = controls.numbered(t.samples).groupBy("model", "temperature", (F.col("sample_idx") % 2).alias("half")).agg(F.round(F.avg(F.col("correct").cast("int")), 6).alias("rate"))
-    best = training.best_per_group(rates.where("half = 0"), ["model"], "rate", ["temperature"]).select("model", "temperature")
-    return rates.where("half = 1").join(best, ["model", "temperature"]).select("model", F.col("temperature").cast("double").alias("temperature"), "rate")
+    return rounded(training.best_temperature(controls.numbered(t.samples), [1, 4]).withColumn("temperature", F.col("temperature").cast("double")), "rate")
 
 
 @query("w_strat_sample", "SELECT sample_id, condition FROM (SELECT doc_id AS sample_id, lang AS condition, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) AS r FROM documents) WHERE r <= 10")
@@ -589,20 +622,17 @@ def _(t):
 
 @query("l_subset", "SELECT s_suppkey AS problem_id FROM supplier ORDER BY md5(CAST(s_suppkey AS VARCHAR)), s_suppkey LIMIT 40")
 def _(t):
-    return t.supplier.select(F.col("s_suppkey").alias("problem_id")).orderBy(F.md5(F.col("problem_id").cast("string")), "problem_id").limit(40)
+    return training.subset(t.supplier.select(F.col("s_suppkey").alias("problem_id")), "problem_id", 40)
 
 
 @query("l_order_ckpt", "SELECT seed, step, pass1, row_number() OVER (PARTITION BY seed ORDER BY step) AS position FROM ck ORDER BY seed, step", CK)
 def _(t):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("seed").orderBy("step")).cast("long")
-    return t.checkpoints.withColumn("position", place).orderBy("seed", "step")
+    return training.ordered_checkpoints(t.checkpoints)
 
 
 @query("u_conditions", "SELECT condition, count(*) AS n, count(*) FILTER (correct) AS c FROM s GROUP BY 1", S)
 def _(t):
-    parts = [t.samples.where(F.col("condition") == c) for c in ("T", "D", "E")]
+    parts = [t.chosen(conditions=c) for c in "TDE"]
     union = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return metrics.count_correct(union, ["condition"])
 

@@ -10,27 +10,27 @@ from tallyspark.operators import metrics, stats
 
 
 def outcomes(wide: DataFrame, replicates: int) -> DataFrame:
-    """(seed, bounds..., outcome) from the pivot of ``metrics.problem_pivot``."""
+    """(seed, k, bounds..., outcome) from the pivot of ``metrics.problem_pivot``."""
     ci = stats.intervals(wide, ["dt", "dp", "did"], replicates)
     of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
-    bounds = ci.groupBy("seed").agg(*(of(m, c) for m in ("dt", "dp", "did") for c in ("lo", "hi")))
+    bounds = ci.groupBy("seed", "k").agg(*(of(m, c) for m in ("dt", "dp", "did") for c in ("lo", "hi")))
     pair = lambda m: (F.col(f"{m}_lo"), F.col(f"{m}_hi"))
     return bounds.withColumn("outcome", sc.outcome(pair("dt"), pair("dp"), pair("did")))
 
 
 def equivalence(wide: DataFrame, replicates: int, margin: float = 0.02) -> DataFrame:
-    """Two separate flags: the interval holds 0; it lies inside the margin."""
-    ci = stats.intervals(wide, ["dt", "dp"], replicates)
+    """Per condition's gain two separate flags: the interval holds 0; it lies inside the margin."""
+    ci = stats.intervals(wide, ["dt", "dd", "dp"], replicates)
     zero = (F.col("lo") <= 0) & (F.col("hi") >= 0)
     inside = (F.col("lo") >= -margin) & (F.col("hi") <= margin)
-    return ci.select("seed", "metric", zero.alias("contains_zero"), inside.alias("inside_margin"))
+    return ci.select("seed", "k", "metric", zero.alias("contains_zero"), inside.alias("inside_margin"))
 
 
 def sharpening(wide: DataFrame, replicates: int, margin: float = 0.02) -> DataFrame:
     """Is text-mode pass@k the same after training?"""
     ci = stats.intervals(wide, ["dt"], replicates)
     inside = (F.col("lo") >= -margin) & (F.col("hi") <= margin)
-    return ci.select("seed", F.lit("sharpening").alias("gate"), F.round(F.greatest(F.abs("lo"), F.abs("hi")), 6).alias("value"), F.lit(margin).alias("threshold"), inside.alias("passed"))
+    return ci.select("seed", "k", F.lit("sharpening").alias("gate"), F.greatest(F.abs("lo"), F.abs("hi")).alias("value"), F.lit(margin).alias("threshold"), inside.alias("passed"))
 
 
 def truncation_asymmetry(samples: DataFrame, cap: int = 500, z: float = 1.96) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,9 +12,14 @@ from pyspark.sql import functions as F
 
 from tallyspark.sources import schemas
 
+_OWN: list[str] = []
+
 
 def _load(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Parquet, or JSON, CSV (with a header) or ORC by the path's ending."""
     kind = next((k for k in ("json", "csv", "orc") if path.rstrip("/").endswith(f".{k}")), "parquet")
+    if kind == "csv" and ("map<" in schema or " binary" in schema):
+        raise ValueError("CSV holds neither maps nor binary columns; use JSON, Parquet or ORC")
     reader = spark.read.schema(schema)
     return reader.option("header", True).csv(path) if kind == "csv" else reader.format(kind).load(path)
 
@@ -53,17 +60,35 @@ def weight_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str, phase: str) -> DataFrame:
-    """(phase, param_key, digest) of one file per tensor."""
+    """(phase, param_key, digest) of one file per tensor; Spark passes over empty files."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.lit(phase).alias("phase"), F.element_at(F.split("path", "/"), -1).alias("param_key"), F.sha2("content", 256).alias("digest"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share;
+    in a temporary folder where it is unset and the master is local (removed at exit)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="tallyspark-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        root = f"file://{_OWN[0]}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder once, for plans that read it several times."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_report(df: DataFrame, path: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """Write a result table and return it as read back.  Without a path it goes to the
-    folder of spark.checkpoint.dir, or to a temporary one where that is unset."""
+    """Write a result table and return it as read back; without a path, in the shared folder."""
     spark = df.sparkSession
-    if path is None:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tallyspark-')}"
-        path = f"{root.rstrip('/')}/report-{uuid.uuid4().hex}"
+    path = path or shared_path(spark, "report")
     df.write.mode("overwrite").format(fmt).save(path)
     return spark.read.schema(df.schema).format(fmt).load(path)

@@ -12,23 +12,23 @@ def samples(spark):
 
 
 def test_base_pairs_with_every_seed(spark):
-    got = {(r["seed"], r["condition"]): (r["delta"], r["n_problems"]) for r in metrics.deltas(samples(spark), [1]).collect()}
+    got = {(r["seed"], r["condition"]): (round(r["delta"], 6), r["n_problems"]) for r in metrics.deltas(samples(spark), [1]).collect()}
     assert got == {(s, c): (0.166667 if c == "T" else 0.0, 4) for s in range(2) for c in "TE"}
 
 
 def test_did_and_repartitioning(spark):
-    wide = metrics.problem_pivot(samples(spark).repartition(7))
+    wide = metrics.problem_pivot(samples(spark).repartition(7), [1])
     assert {round(r["did"], 6) for r in wide.collect()} == {0.166667}
 
 
 def test_intervals_cover_a_constant(spark):
-    wide = metrics.problem_pivot(samples(spark))
+    wide = metrics.problem_pivot(samples(spark), [1])
     for r in stats.intervals(wide, ["dt", "dp", "did"], 20).collect():
         assert abs(r["lo"] - r["point"]) < 1e-9 and abs(r["hi"] - r["point"]) < 1e-9 and r["n"] == 4
 
 
 def test_no_problems_no_intervals(spark):
-    assert stats.intervals(metrics.problem_pivot(samples(spark).limit(0)), ["dt"], 5).count() == 0
+    assert stats.intervals(metrics.problem_pivot(samples(spark).limit(0), [1]), ["dt"], 5).count() == 0
 
 
 def test_weight_diff(spark):
@@ -59,3 +59,37 @@ def test_stratified_sample_is_exact(spark):
     df = spark.range(100).withColumn("s", F.col("id") % 3)
     got = training.stratified_sample(df, ["s"], 5, F.col("id").cast("string")).groupBy("s").count().collect()
     assert {r["count"] for r in got} == {5}
+
+
+def test_items_beyond_the_broadcast_bound(spark):
+    corpus = spark.createDataFrame([("x a b c d e f g h y",), ("Short Item",)], "text string")
+    items = spark.createDataFrame([(1, "a b c d e f g h"), (2, "short item"), (3, "a b c d e f g z")], "item_id long, text string")
+    assert {r[0] for r in controls.leaked(items, corpus, broadcast_rows=0).collect()} == {1, 2}
+
+
+def test_numbering_over_ranges_of_ids(spark):
+    ids = [-70_000, -3, 0, 5, 65_535, 65_536, 1 << 40]
+    got = stats.numbered(spark.createDataFrame([(i,) for i in ids + ids], "problem_id long")).collect()
+    assert sorted((r["i"], r["problem_id"]) for r in got) == list(enumerate(ids)) and {r["n_problems"] for r in got} == {7}
+
+
+def test_bayes_interval_of_one_problem(spark):
+    (r,) = [x for x in stats.bayes_intervals(samples(spark)).collect() if (x["seed"], x["condition"]) == (0, "T")]
+    assert abs(r["point"] - (5 / 8 - 4 / 8)) < 1e-12 and r["lo"] < r["point"] < r["hi"] and r["n"] == 4
+
+
+def test_extrapolation_recovers_the_sampled_k(spark):
+    cells = spark.createDataFrame([("x", p, 100, c) for p, c in enumerate((0, 10, 50, 90, 100))], "g string, problem_id long, n long, c long")
+    got = {r["k"]: r["pass_at_k"] for r in metrics.extrapolate(cells, ["g"], [1, 10, 500]).collect()}
+    assert abs(got[1] - 0.5) < 1e-9 and got[1] < got[10] < got[500] < 1
+    alike = spark.createDataFrame([("x", p, 10, 5) for p in range(4)], "g string, problem_id long, n long, c long")
+    assert abs(metrics.extrapolate(alike, ["g"], [3]).first()["pass_at_k"] - 0.875) < 1e-9
+
+
+def test_filters_reach_the_scan(spark):
+    from tallyspark.plans.catalog import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for chosen in (t.chosen("rl"), t.chosen("base", "T"), t.chosen(conditions="DE")):
+        plan = chosen._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [" in plan and "PushedFilters: []" not in plan
