@@ -51,5 +51,32 @@ FROM b LEFT JOIN cut USING (doc_id)
 """
 
 
+LINES = r"""
+WITH a AS (
+  SELECT doc_id, text, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (
+    SELECT doc_id, i, trim(regexp_replace(line, '\s+', ' ', 'g')) AS flat, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM a) WHERE flat <> ''
+), w AS (
+  SELECT doc_id, k, s, len(string_split(flat, ' ')) AS n, lead(s) OVER o AS s2, lead(s, 2) OVER o AS s3,
+         lead(len(string_split(flat, ' '))) OVER o AS n2, lead(len(string_split(flat, ' ')), 2) OVER o AS n3 FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+), runs AS (
+  SELECT doc_id, k, 1 AS span, s AS g FROM w WHERE n >= 3
+  UNION ALL SELECT doc_id, k, 2, s || chr(10) || s2 FROM w WHERE n + n2 >= 3
+  UNION ALL SELECT doc_id, k, 3, s || chr(10) || s2 || chr(10) || s3 FROM w WHERE n + n2 + n3 >= 3
+), f AS (
+  SELECT span, g, min(doc_id) AS first FROM runs GROUP BY 1, 2
+), r AS (
+  SELECT DISTINCT doc_id, unnest(range(k, k + span)) AS k FROM runs JOIN f USING (span, g) WHERE first < doc_id
+), gone AS (
+  SELECT l.doc_id, l.i FROM l JOIN r USING (doc_id, k)
+)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_lines, count(gone.i) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY a.i) FILTER (gone.i IS NULL), '')) AS kept_sha256
+FROM a LEFT JOIN gone USING (doc_id, i) LEFT JOIN (SELECT doc_id, count(*) AS n FROM l GROUP BY 1) USING (doc_id)
+GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.SQL, "op4_substring_dedup": SUBSTRING, "op10_suffix_dedup": SUFFIX}
+    return {"op2_chat": chat.SQL, "op4_substring_dedup": SUBSTRING, "op9_line_dedup": LINES, "op10_suffix_dedup": SUFFIX}
