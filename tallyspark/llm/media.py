@@ -9,18 +9,21 @@ media columns, so nothing shifts.  Payloads are stored losslessly as 8-bit RGB
 rasters (binary PPM, eight pixels wide: 192 bytes are one 8 x 8 tile).
 
 The join moves digests and per-payload features, never payload bytes: features are
-computed where a payload is read.  A payload that many documents share is stored
-once for every task that met it and reduced by digest before the join; the join is
-a plain equi-join that adaptive execution splits where one digest is very common.
-
-Null or empty text: one all-padding tile.  Null or empty HTML: no elements.  Empty
-table: no rows.  Repeated rows: equal values, a row each.  Extra columns are ignored.
+computed where a payload is read.  A payload that many documents share is stored once
+for every batch that met it and reduced by digest before the join.  References are a
+table, so the join's sides are plain exchanges and adaptive execution splits a digest
+that is very common.
+
+Null or empty text: one all-padding tile.  Null or empty HTML: no elements.  Very long
+texts: one payload, a batch of its own.  Empty table: no rows.  Repeated rows and ties:
+equal values, a row each.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as html_lib
+import re
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -36,8 +39,9 @@ TILE, WIDTH = 192, 8
 ELEMENT = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 STORE = "digest string, n_bytes long, media binary"
 FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_SILENT, _BLOCK = {"script", "style", "title", "head"}, {"p", "br", "div", "li", "h1", "h2", "h3", "h4", "tr", "article", "section", "figure", "ul", "ol", "table"}
+_SILENT, _BLOCK = {"script", "style", "title"}, {"p", "br", "div", "li", "h1", "h2", "h3", "h4", "tr", "article", "section", "figure", "ul", "ol", "table"}
 _MEDIA = {"img", "video", "audio", "source"}
+_TITLE = re.compile(r"<title\b[^>]*>", re.IGNORECASE)
 
 
 class _Parser(HTMLParser):
@@ -45,7 +49,7 @@ class _Parser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements: list[dict] = []
         self.text: list[str] = []
-        self.silent = 0
+        self.silent: str | None = None  # the open element whose text is none of the page's
         self.in_caption = False
         self.figure: int | None = None  # index of the first media element of an open figure
         self.open_figure = False
@@ -61,9 +65,8 @@ class _Parser(HTMLParser):
         self.elements.append({"position": len(self.elements), "kind": kind, "text": text, "digest": digest, "caption": caption})
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _SILENT:
-            self.silent += 1
-        elif tag in _MEDIA:
+        self.silent = tag if tag in _SILENT else None  # a title ends at the next element at the latest
+        if tag in _MEDIA:
             a = dict(attrs)
             self.flush()
             if self.open_figure and self.figure is None:
@@ -75,22 +78,32 @@ class _Parser(HTMLParser):
         elif tag in _BLOCK:
             self.text.append(" ")
             if tag == "figure":
+                self.close_figure()
                 self.flush()
-                self.open_figure, self.figure = True, None
+                self.open_figure = True
+
+    def close_figure(self) -> None:
+        """The caption goes to the figure's first media element; without one it is text."""
+        caption = " ".join("".join(self.caption).split())
+        self.caption.clear()
+        if caption and self.figure is not None:
+            self.elements[self.figure]["caption"] = caption
+        elif caption:
+            self.flush()
+            self._add("text", caption, None, None)
+        self.open_figure, self.in_caption, self.figure = False, False, None
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections are comments up to the next ">", as browsers read them."""
+        return self.rawdata.find(">", i) + 1 or -1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
+        if tag == self.silent:
+            self.silent = None
         elif tag == "figcaption":
             self.in_caption = False
         elif tag == "figure":
-            caption = " ".join("".join(self.caption).split())
-            self.caption.clear()
-            if caption and self.figure is not None:
-                self.elements[self.figure]["caption"] = caption
-            elif caption:
-                self._add("text", caption, None, None)
-            self.open_figure = self.in_caption = False
+            self.close_figure()
         elif tag in _BLOCK:
             self.text.append(" ")
 
@@ -100,13 +113,16 @@ class _Parser(HTMLParser):
 
 
 def parse(source: str | None) -> list[dict]:
-    """Ordered elements of one HTML text; malformed mark-up is read as far as it goes."""
-    parser = _Parser()
-    parser.feed(source or "")
+    """Ordered elements of one HTML text.  Broken mark-up never fails: end tags may be
+    missing, marked sections are comments, what looks like no tag is text.  Text inside
+    script, style and title is none of the page's; a title that never closes is no title."""
+    source, parser = source or "", _Parser()
+    if len(_TITLE.findall(source)) > source.lower().count("</title"):
+        source = _TITLE.sub(" ", source)
+    parser.feed(source)
     parser.close()
+    parser.close_figure()
     parser.flush()
-    if parser.caption and parser.figure is not None:  # a figure that never closed
-        parser.elements[parser.figure]["caption"] = " ".join("".join(parser.caption).split())
     return parser.elements
 
 
@@ -204,9 +220,19 @@ def resolve(sequenced: DataFrame, key: str, media: DataFrame) -> DataFrame:
     return flat.join(media, "digest", "left")
 
 
+def page_media(pages: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """(page_id, position, kind, text, digest, caption, and the media columns where
+    ``media`` is given): every element of every page in its place."""
+    found = sequences(storage.bounded(pages).select("page_id", "html"))
+    if media is not None:
+        return resolve(found, "page_id", media)
+    return found.select("page_id", F.explode("elements").alias("e")).select("page_id", "e.*")
+
+
 def document_media(docs: DataFrame) -> DataFrame:
     """Every text of ``docs`` stored as media, referred to, resolved and described."""
-    media = payload_features(store_texts(docs))
-    placed = resolve(sequences(references(docs), "doc_id"), "doc_id", media)
+    features, _ = storage.stage(payload_features(store_texts(docs)), "media-features")
+    placed, _ = storage.stage(sequences(references(docs), "doc_id"), "media-sequences")
+    placed = resolve(placed, "doc_id", features)
     columns: list[Column | str] = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"]
     return placed.where(F.col("kind") == "img").select(*columns)

@@ -17,7 +17,7 @@ def vocabulary(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return storage.bounded(storage.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(documents(spark, sf_dir))
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.page_media(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(documents(spark, sf_dir))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_chat": op2_chat,
         "op3_media_columns": op3_media_columns,
+        "media_pages": media_pages,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_packing": op6_packing,

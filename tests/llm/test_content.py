@@ -157,3 +157,58 @@ def test_multi_index_reaches_the_whole_radius(distance):
         for b in r.sample(range(64), distance):
             fp ^= 1 << b
         assert (i, distance) in index.near(fp)
+
+
+def flat(source):
+    return [(e["position"], e["kind"], e["text"] or e["digest"], e["caption"]) for e in media.parse(source)]
+
+
+def test_omitted_end_tags_keep_text():
+    assert flat("<![foo[ x ]]><p>hi") == [(0, "text", "hi", None)]
+    assert flat("<html><head><meta charset=utf8><body><p>hello world") == [(0, "text", "hello world", None)]
+    assert flat("<head><title>T<body><p>still here")[0][2].endswith("still here")
+    assert flat("<title>T</title><script>if (a<b) x</script><p>body") == [(0, "text", "body", None)]
+    assert flat("<figure><img src=a><figcaption>one<figure><img src=b><figcaption>two") == [(0, "img", "a", "one"), (1, "img", "b", "two")]
+    assert flat(None) == flat("") == []
+
+
+def test_broken_markup_never_fails():
+    r = random.Random(8)
+    bits = ["<", ">", "<!", "<![", "]]>", "<![CDATA[", "<!doctype", "<?x", "--", "<!--", "</", "<p", "<p>", "</p>", "<title>", "</title>", "<script>", "</script>", "<img src='a", "<img src=x alt=y>", "<figure>", "</figure>", "<figcaption>", "</figcaption>", "&amp", "&#x", "&#99999999;", "'", '"', "=", "/", "word ", "é", "\x00", "<head>", "<body>"]
+    for _ in range(5000):
+        source = "".join(r.choice(bits) for _ in range(r.randint(1, 25)))
+        found = media.parse(source)
+        assert [e["position"] for e in found] == list(range(len(found)))
+
+
+def test_page_sequences_stay_aligned(spark):
+    """Several images, captions and texts of a page, some payloads missing."""
+    rows = [(p, "".join(f"<p>text {p}.{i}</p><figure><img src='sha256:{p % 3}{i}' alt='alt {i}'>" + (f"<figcaption>caption {p}.{i}</figcaption>" if i % 2 else "") + "</figure>" for i in range(p % 5))) for p in range(40)]
+    pages = spark.createDataFrame(rows + [(99, None)], "page_id long, html string").repartition(3)
+    store = spark.createDataFrame([(f"{a}{i}", 10 * a + i) for a in range(2) for i in range(5)], "digest string, n_bytes long")
+    got = {}
+    for r in media.page_media(pages, store).collect():
+        got.setdefault(r["page_id"], []).append((r["position"], r["kind"], r["text"] or r["digest"], r["caption"], r["n_bytes"]))
+    for p, _ in rows:
+        expected = []
+        for i in range(p % 5):
+            expected.append((2 * i, "text", f"text {p}.{i}", None, None))
+            expected.append((2 * i + 1, "img", f"{p % 3}{i}", f"caption {p}.{i}" if i % 2 else f"alt {i}", 10 * (p % 3) + i if p % 3 < 2 else None))
+        assert sorted(got.get(p, [])) == expected
+    assert 99 not in got
+
+
+def test_items_in_many_chunks(spark):
+    """More chunks than a worker holds at once; null ids and repeated rows on both sides."""
+    r = random.Random(12)
+    items = [(i, say(r, 30)) for i in range(60)]
+    rows = [(d, f"{say(r, 20)} {items[d % 60][1]} {say(r, 15)}" if d % 3 == 0 else say(r, 60)) for d in range(90)]
+    rows += [rows[0], rows[0], (None, items[5][1]), (None, None), (91, items[7][1] + " x" * 400_000)]
+    docs = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, item_id string").repartition(4)
+    bench = spark.createDataFrame([*items, items[0], (None, "a b c"), (77, None)], "item_id long, text string")
+    expected = sorted([(d, d % 60) for d in range(0, 90, 3)] + [(0, 0), (0, 0), (91, 7)] + [(-1, 5)])
+    for chunk in (4096, 5):
+        got = sorted((-1 if x["doc_id"] is None else x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, bench, chunk=chunk).collect())
+        assert got == expected
+    kept = decontaminate.keep_clean(docs, bench, chunk=5)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - len(expected)
