@@ -14,12 +14,16 @@ The radius of 20 bits lies over three standard deviations above the distance exp
 at similarity 0.8, and the best-placed window of a passage is usually far closer; the
 lookup is the method's one probabilistic step.
 
-Items are broadcast in chunks of ``chunk_items`` with one pass over the documents for
-each, so memory does not grow with the benchmark.  Items under five words match as a
-whole sequence.  Documents shorter than an item are one window.  Null or empty texts
-and items without words match nothing.  Repeated documents give repeated rows;
-repeated items (same item_id) count as one row of the better similarity.  Empty
-tables: no rows.  Extra columns are ignored here and kept by ``keep_clean``.
+Items lie in the shared folder in chunks of about ``chunk`` rows.  One pass over the
+documents meets all chunks: a Python worker holds the indexes of a few, reads the others
+again for every 64 MB of text, and nothing of the benchmark is in the driver or a plan.
+Items under five words match as a whole sequence.  Documents shorter than an item are one
+window.  Null or empty texts and items without words match nothing; null item_ids take no
+part, null doc_ids are matched like others.  Very long texts: every window, one text at a
+time.  Of equally similar windows the first counts.  Repeated documents give repeated
+rows; repeated items (same item_id) count as one row of the better similarity.  Empty
+tables: no rows.  Extra columns are ignored here, whatever their names, and kept by
+``keep_clean``.
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm import storage
 from tallyspark.llm.words import HashCache, gram_hashes, hashes
 
 SHINGLE, SIMILARITY, RADIUS, CHUNK = 5, 0.8, 20, 4096
@@ -180,46 +185,89 @@ class ItemIndex:
         return [(i, *x) for i, x in sorted(best.items())]
 
 
-def item_chunks(benchmark: DataFrame, chunk: int = CHUNK) -> Iterator[list[tuple[int, str | None]]]:
-    """The benchmark in chunks of about ``chunk`` rows, one at a time on the driver."""
+def item_table(benchmark: DataFrame, chunk: int = CHUNK) -> tuple[str, int]:
+    """Write the items in chunks of about ``chunk`` rows: the folder, and how many."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-    n = items.count()
-    parts = -(-n // chunk) if n else 0
-    for k in range(parts):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
+    parts = -(-items.count() // chunk)
+    path = storage.new_path(benchmark.sparkSession, "benchmark-items")
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(parts, 1))).cast("int")
+    items.withColumn("chunk", number).repartition("chunk").write.partitionBy("chunk").parquet(path)
+    return path, parts
+
+
+class Items:
+    """The chunks' indexes in a Python worker, read from the shared folder; ``held`` of
+    them at a time, and as many texts as make a pass over the others worth while."""
+
+    def __init__(self, path: str, parts: int, similarity: float, radius: int, held: int = 4):
+        self.path, self.parts, self.similarity, self.radius, self.held = path, parts, similarity, radius, held
+        self.indexes: dict[int, ItemIndex] = {}
+
+    def index(self, k: int) -> ItemIndex:
+        if k not in self.indexes:
+            files, root = storage.files(f"{self.path}/chunk={k}")
+            info = files.get_file_info(root)
+            table = pq.read_table(root, filesystem=files, columns=["item_id", "text"], partitioning=None) if info.type.name == "Directory" else None
+            rows = sorted(zip(*(c.to_pylist() for c in table.columns)), key=repr) if table is not None else []
+            if len(self.indexes) >= self.held:
+                self.indexes.pop(next(reversed(self.indexes)))  # the pass is cyclic: the latest goes
+            self.indexes[k] = ItemIndex(rows, self.similarity, self.radius)
+        return self.indexes[k]
+
+    def gather(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches as they come, or joined to 64 MB where chunks have to be read again."""
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if self.parts <= self.held or size > 64 << 20:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def matches(self, texts: list[str | None]) -> list[list[tuple]]:
+        """The matches of each text with the items of all chunks."""
+        found: list[list[tuple]] = [[] for _ in texts]
+        for k in range(self.parts):
+            index = self.index(k)
+            for own, text in zip(found, texts):
+                own.extend(index.matches(text))
+        return found
 
 
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """One row per (document row, matching item) with the item's best window."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for items in item_chunks(benchmark, chunk):
+    path, parts = item_table(benchmark, chunk)
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(items, similarity, radius)
-            for batch in batches:
-                found = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for m in index.matches(t)]
-                columns = list(zip(*found)) or [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "similarity", "start_word", "n_words", "distance"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(path, parts, similarity, radius)
+        for batch in items.gather(batches):
+            found = [(d, *best) for d, own in zip(batch.column("doc_id").to_pylist(), items.matches(batch.column("text").to_pylist())) for best in _best(own)]
+            columns = list(zip(*found)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "similarity", "start_word", "n_words", "distance"])
 
-        part = rows.mapInArrow(run, MATCHES)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], MATCHES)
+    rows = storage.bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, MATCHES)
+
+
+def _best(own: list[tuple]) -> list[tuple]:
+    """One match for each item_id: the most similar, then the first."""
+    best: dict[int, tuple] = {}
+    for m in sorted(own, key=lambda m: (-m[1], m[2])):
+        best.setdefault(m[0], m)
+    return [best[i] for i in sorted(best)]
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Rows of ``docs`` that match no item, with all their columns."""
-    for items in item_chunks(benchmark, chunk):
-        docs = docs.where(_clean(items, similarity, radius)(F.col("text")))
-    return docs
-
+    path, parts = item_table(benchmark, chunk)
+    at = docs.columns.index("text")
 
-def _clean(items: list, similarity: float, radius: int):
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = ItemIndex(items, similarity, radius)
-        for texts in batches:
-            yield texts.map(lambda t: not index.matches(t)).astype(bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(path, parts, similarity, radius)
+        for batch in items.gather(batches):
+            yield batch.filter(pa.array([not own for own in items.matches(batch.column(at).to_pylist())], pa.bool_()))
 
-    return clean
+    return storage.bounded(docs).mapInArrow(run, docs.schema)
