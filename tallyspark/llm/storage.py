@@ -2,8 +2,8 @@
 
 Stage tables cut lineage: each is written once as Parquet in the folder named by
 ``spark.checkpoint.dir``, which driver and executors share, so a lost executor
-costs only the tasks it was running.  Where that setting is unset (tests) a
-temporary folder of this process is used.
+costs only the tasks it was running.  Where that setting is unset and the master is
+local (tests) a temporary folder of this process is used.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ import gc
 import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+BATCH = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -26,19 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tallyspark-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
     return f"file://{_OWN[0]}"
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold ``BATCH`` bytes at most, so that what
+    a Python worker holds follows neither the number nor the length of texts.  A smaller
+    limit stays as it is."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH).removesuffix("b")) <= BATCH:
+        conf.set(_BATCH, BATCH)
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and return it as read back, with its path."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    spark, path = bounded(df).sparkSession, new_path(df.sparkSession, name)
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")  # the stage's shuffle files go once its table is there
     try:
@@ -67,6 +83,15 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def files(uri: str):
+    """The file system and path of a URI in the shared folder, for Python workers."""
+    from pyarrow import fs
+
+    if urlparse(uri).scheme in ("", "file"):
+        return fs.LocalFileSystem(), urlparse(uri).path
+    return fs.FileSystem.from_uri(uri)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

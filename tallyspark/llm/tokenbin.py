@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +36,6 @@ MANIFEST = "part long, name string, n_docs long, n_ids long"
 RECORD = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _files(uri: str):
-    from pyarrow import fs
-
-    if urlparse(uri).scheme in ("", "file"):
-        return fs.LocalFileSystem(), urlparse(uri).path
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, shards: int | None = None) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards; the manifest, one row per shard in order."""
     spark = docs.sparkSession
@@ -55,7 +46,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 
         from pyspark import TaskContext
 
-        enc, (files, root) = encoder(tokenizer, True), _files(folder)
+        enc, (files, root) = encoder(tokenizer, True), storage.files(folder)
         files.create_dir(root, recursive=True)
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         lengths, ids, out = [], [], None
@@ -90,7 +81,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame, folder: str, dtype: st
     kind = np.dtype(dtype)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _files(folder)
+        files, root = storage.files(folder)
         local = type(files).__name__ == "LocalFileSystem"
         for batch in batches:
             for row in batch.to_pylist():

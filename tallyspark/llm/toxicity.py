@@ -30,11 +30,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm import storage
+
 MAX_EXAMPLES, MAX_TERMS, MIN_RATIO, MIN_DF = 8192, 2048, 24.0, 5
 NEIGHBOURS, SHRINK, POWER, BLOCK = 15, 0.5, 2.0, 32
 PREFIXES, LEVELS = range(3, 8), (2, 3, 4, 6)
@@ -70,7 +71,7 @@ class _Terms(dict):
         self.bases = set(vocabulary) | {f.partition("*")[0] + "*" for f in vocabulary if "*" in f}
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = tuple(f for f in features(word) if f in self.bases)
         return value
@@ -194,8 +195,6 @@ def _select_terms(examples: DataFrame, n: int, n_toxic: int, min_ratio: float, m
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_ratio: float = MIN_RATIO) -> Index:
     """The index of the labelled examples with document frequencies over all ``docs``."""
-    from tallyspark.llm import storage
-
     examples, _ = storage.stage(_examples(docs, labels, max_examples), "toxic-examples")
     n, n_toxic = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     base = n_toxic / (n + 1)
@@ -248,7 +247,7 @@ class Scorer:
         counts = term_counts(text, self.terms)
         mark = tuple(sorted(counts.items()))
         if mark not in self.known:
-            if len(self.known) > 20_000:
+            if len(self.known) > 5_000:
                 self.known.clear()
             self.known[mark] = self.index.score(counts, self.k)
         return self.known[mark]
@@ -273,10 +272,11 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
 def keep_clean(docs: DataFrame, index: Index, limit: float = 0.5, k: int = NEIGHBOURS) -> DataFrame:
     """Rows of ``docs`` that score below ``limit``, with all their columns."""
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(index, k)
-        for texts in batches:
-            yield texts.map(lambda t: scorer(t)[0]).astype("float64")
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(t)[0] < limit for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.where(of(F.col("text")) < limit)
+    return storage.bounded(docs).mapInArrow(run, docs.schema)
