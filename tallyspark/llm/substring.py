@@ -158,10 +158,11 @@ def _split_kinds(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     return table.filter(pa.array(kind == 1)), table.filter(pa.array(kind == 0))
 
 
-def repeated_anchors(rows: DataFrame, anchors_of: Callable[[list], tuple[np.ndarray, np.ndarray]], buckets: int, within: bool = False) -> DataFrame:
+def repeated_anchors(rows: DataFrame, anchors_of: Callable[[list], tuple[np.ndarray, np.ndarray]], buckets: int, within: bool = False, hot: int | None = None) -> DataFrame:
     """(key, tie, values): for each document its anchor hashes that occur again in another
     row, or, if ``within``, anywhere.  ``anchors_of`` gives the hashes and the documents'
-    indices of a list of texts."""
+    indices of a list of texts.  With ``hot`` also a row (occurrences, hash, null) for each
+    hash that occurs so often."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +184,8 @@ def repeated_anchors(rows: DataFrame, anchors_of: Callable[[list], tuple[np.ndar
                 inside = np.repeat(many, np.diff(cut))
                 out = _settled(_per_doc(doc[inside], h[inside], keys, ties), buckets)
                 first = cut[:-1]
-                out += _bucketed((h[first] >> np.uint64(20)) % np.uint64(buckets), h[first], None, None, np.where(many, -1, doc[first]), keys, ties)
+                count = np.add.reduceat(times, first) if hot and len(first) else None
+                out += _bucketed((h[first] >> np.uint64(20)) % np.uint64(buckets), h[first], None, count, np.where(many, -1, doc[first]), keys, ties)
                 yield _pack(out)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -196,7 +198,12 @@ def repeated_anchors(rows: DataFrame, anchors_of: Callable[[list], tuple[np.ndar
         cut = groups(a)
         hit = np.repeat(np.diff(cut) > 1, np.diff(cut)) & real
         own_at = order[hit]
-        return _reply_table(passed, _replies(r["key"][own_at], r["tie"][own_at], r["a"][own_at]))
+        replies = _replies(r["key"][own_at], r["tie"][own_at], r["a"][own_at])
+        if hot:
+            count = np.add.reduceat(r["value"][order].astype(np.int64), cut[:-1])
+            often = np.flatnonzero(count >= hot)
+            replies += zip(count[often].tolist(), a[cut[often]].view(np.int64).tolist(), [None] * len(often))
+        return _reply_table(passed, replies)
 
     return rows.select("key", "tie", "text").mapInArrow(emit, PACK).groupBy("bucket").applyInArrow(meet, REPLY)
 

@@ -8,19 +8,24 @@ each sender form a shard, whose rotations are sorted once and kept as the order
 its transform: the four bytes before each rotation.  The shards' transforms are merged
 without sorting rotations again: an interleave says which shard each merged row comes
 from; a pass writes the transforms' symbols in interleave order, deals the rows stably
-to their symbols, and so refines the interleave by four bytes.  Row boundaries that
-appear in a pass carry the common prefix so far; after 25 passes the rows without a
-boundary between them share 100 bytes, and these intervals are the repeated windows.
+to their symbols by counting, and so refines the interleave by four bytes.  The pass in
+which two neighbouring rows part gives the length of their common prefix; after 25 passes
+the runs of rows with common prefixes of 100 bytes are the repeated intervals.
 
 Before that, equal texts of larger doc_id lose every byte (texts of 100 bytes or more)
 and equal segments collapse to their first holder where they meet, so a passage that a
-third of all documents share costs one segment per map slice.
+third of all documents share costs one segment per map slice.  An anchor with ``hot``
+occurrences or more (a heading before ever new text) would still bring all its different
+surroundings to one task: its windows go by their own 128-bit hash instead, spread over
+all buckets and collapsed in each map slice.  Both ways find the same bytes.
 
 A byte goes where a 100-byte string covers it that also starts earlier: in a smaller
 doc_id, or earlier in the same document.  Rows of equal doc_id but different text do
 not remove each other's bytes; null doc_ids come after all others.  Null, empty and
-short texts (under 100 bytes) lose nothing.  Repeated rows give repeated, equal
-results.  Empty table: no rows.  Extra columns are ignored.
+short texts (under 100 bytes) lose nothing.  Very long texts are read whole, in a slice
+of their own; surroundings are built a part at a time, so a long text of few letters
+holds no more of them than another.  Repeated rows and ties give repeated, equal
+results.  Empty table: no rows.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +40,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import storage
 from tallyspark.llm.substring import bucket_count, keyed, repeated_anchors, with_replies
-from tallyspark.llm.words import M1, M2, mix, slices
+from tallyspark.llm.words import M1, M2, groups, mix, slices
 
 WINDOW, GRAM, STEP = 100, 56, 4
+LEFT, WIDTH = WINDOW - GRAM, 2 * WINDOW - GRAM
+HOT, HOT_LISTED = 20_000, 100_000  # occurrences of an anchor that is spread; so many anchors at most
 
 
 def _extreme(x: np.ndarray, w: int, of) -> np.ndarray:
@@ -56,7 +63,8 @@ class Bytes:
         self.sizes = np.fromiter(map(len, data), np.int64, len(data))
         self.ends = np.cumsum(self.sizes)
         self.start = self.ends - self.sizes
-        self.raw = np.frombuffer(b"".join(data) + bytes(GRAM + 8), np.uint8)
+        self.padded = np.frombuffer(b"".join([bytes(LEFT), *data, bytes(WIDTH)]), np.uint8)
+        self.raw = self.padded[LEFT:]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, place, document) of every anchor."""
@@ -89,16 +97,20 @@ class Bytes:
 
     def segments(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the bytes around anchors, zero outside the document, with the valid range."""
-        left, width = WINDOW - GRAM, 2 * WINDOW - GRAM
-        place = (at - left)[:, None] + np.arange(width)[None, :]
-        lo = np.maximum(self.start[doc] - (at - left), 0)
-        hi = np.minimum(self.ends[doc] - (at - left), width)
-        rows = self.raw[np.clip(place, 0, len(self.raw) - 1)]
-        columns = np.arange(width)[None, :]
-        rows[(columns < lo[:, None]) | (columns >= hi[:, None])] = 0
+        lo = np.maximum(self.start[doc] - (at - LEFT), 0)
+        hi = np.minimum(self.ends[doc] - (at - LEFT), WIDTH)
+        rows = np.lib.stride_tricks.sliding_window_view(self.padded, WIDTH)[at]
+        edge = np.flatnonzero((lo > 0) | (hi < WIDTH))
+        columns = np.arange(WIDTH)[None, :]
+        rows[edge] *= (columns >= lo[edge, None]) & (columns < hi[edge, None])
         return rows, lo, hi
 
 
+def parts(n: int, size: int) -> Iterator[slice]:
+    for at in range(0, n, size):
+        yield slice(at, at + size)
+
+
 def digests(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each segment with its valid range."""
     words = np.ascontiguousarray(rows).view("<u8")
@@ -138,52 +150,90 @@ def transform(order: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return symbol.ravel()[order]
 
 
+def dealt(symbols: np.ndarray) -> np.ndarray:
+    """Order that deals rows stably to their symbols: counting by digits of 16 bits
+    (numpy's stable sort of 16-bit values is a counting sort)."""
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")
+    if symbols.dtype.itemsize > 2:
+        order = order[np.argsort((symbols >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def merge_transforms(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge shards' transforms: (interleave, boundary).
+    """Merge shards' transforms: (interleave, parted).
 
     ``interleave[i]`` is the shard of merged row i (its rows come in their own order);
-    ``boundary[i]`` says that rows i-1 and i differ in their first ``depth`` bytes."""
+    ``parted[i]`` is the pass, from 1, in which rows i-1 and i were told apart, 0 if
+    their first ``depth`` bytes are equal.  A place where rows part stays one, since
+    later passes only refine the order."""
     symbols = np.concatenate(parts)
     n = len(symbols)
     kinds, symbols = np.unique(symbols, return_inverse=True)
     symbols = symbols.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32)
-    interleave = np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.uint8 if len(parts) <= 256 else np.uint16)
+    interleave = np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.uint16)
     block = np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
-    boundary = np.zeros(n, bool)
-    for _ in range(depth // STEP):
+    boundary, parted = np.zeros(n, bool), np.zeros(n, np.uint8)
+    for step in range(1, depth // STEP + 1):
         own = np.empty_like(symbols)
-        own[np.argsort(interleave, kind="stable")] = symbols
-        dealt = np.argsort(own, kind="stable")
-        own, block, interleave = own[dealt], block[dealt], interleave[dealt]
+        own[dealt(interleave)] = symbols
+        order = dealt(own)
+        own, block, interleave = own[order], block[order], interleave[order]
         boundary[0] = True
         np.not_equal(own[1:], own[:-1], out=boundary[1:])
         boundary[1:] |= block[1:] != block[:-1]
         block = np.cumsum(boundary, dtype=block.dtype)
-    return interleave, boundary
+        parted[boundary & (parted == 0)] = step
+    return interleave, parted
+
+
+def common_prefixes(rows: np.ndarray, row: np.ndarray, offset: np.ndarray, parted: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the prefix, up to ``depth``, that each merged rotation shares with the one
+    before it: whole passes, and the equal bytes of the symbols that told them apart."""
+    length = np.where(parted == 0, depth, (parted.astype(np.int64) - 1) * STEP)
+    open_ = np.flatnonzero(parted > 0)[1:]  # the first row has none before it
+    for _ in range(STEP - 1):
+        at = length[open_]
+        same = rows[row[open_], (offset[open_] + at) % rows.shape[1]] == rows[row[open_ - 1], (offset[open_ - 1] + at) % rows.shape[1]]
+        open_ = open_[same]
+        length[open_] += 1
+    length[:1] = 0
+    return length
 
 
 def repeated_windows(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, offset, interval) of every window of the segments whose 100 bytes occur twice."""
     n, width = rows.shape
-    shards = np.unique(shard)
-    orders, parts, place = [], [], []
-    for s in shards:
+    orders, transforms = [], []
+    for s in np.unique(shard):
         own = np.flatnonzero(shard == s)
         order = sort_rotations(rows[own], WINDOW)
-        parts.append(transform(order, rows[own]))
-        place.append(own[order // width] * width + order % width)
-    interleave, boundary = merge_transforms(parts, WINDOW)
+        transforms.append(transform(order, rows[own]))
+        orders.append(own[order // width] * width + order % width)
+    interleave, parted = merge_transforms(transforms, WINDOW)
     merged = np.empty(n * width, np.int64)
-    merged[np.argsort(interleave, kind="stable")] = np.concatenate(place)
+    merged[dealt(interleave)] = np.concatenate(orders)
     row, offset = merged // width, merged % width
+    interval = np.cumsum(common_prefixes(rows, row, offset, parted, WINDOW) < WINDOW)
     real = (offset >= lo[row]) & (offset + WINDOW <= hi[row])
-    interval = np.cumsum(boundary)[real]
-    row, offset = row[real], offset[real]
+    row, offset, interval = row[real], offset[real], interval[real]
     count = np.bincount(interval, minlength=int(interval[-1]) + 1 if len(interval) else 0)
     many = count[interval] > 1
     return row[many], offset[many], interval[many]
 
 
+def window_digests(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, two 64-bit hashes) of every window of the segments."""
+    offsets = np.arange(WIDTH - WINDOW + 1)
+    row, offset = np.nonzero((offsets >= lo[:, None]) & (offsets + WINDOW <= hi[:, None]))
+    view = np.lib.stride_tricks.sliding_window_view(rows, WINDOW, axis=1)
+    a, b = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
+    for p in parts(len(row), 100_000):
+        own = np.zeros((len(row[p]), WINDOW + 4), np.uint8)
+        own[:, :WINDOW] = view[row[p], offset[p]]
+        a[p], b[p] = digests(own, np.zeros(len(own), np.int64), np.full(len(own), WINDOW))
+    return row, offset, a, b
+
+
 def _first_holders(group: tuple[np.ndarray, ...], key: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Mask of the entries that no entry of their group precedes."""
     order = np.lexsort((start, tie, key, *group))
@@ -232,9 +282,9 @@ def _anchors_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return h, doc
 
 
-def covered(rows: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
-    """(key, tie, values): byte spans covered by windows that also start earlier."""
-    left, width = WINDOW - GRAM, 2 * WINDOW - GRAM
+def covered(rows: DataFrame, anchors: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """(key, tie, values): byte spans covered by windows that also start earlier; the
+    anchors of ``hot`` (sorted) by the hashes of their windows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,81 +298,118 @@ def covered(rows: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
                 h, at, doc = h[hit], at[hit], doc[hit]
                 if not len(h):
                     continue
-                segments, lo, hi = data.segments(at, doc)
-                d1, d2 = digests(segments, lo, hi)
-                key, tie, start = keys_all[x:y][doc], ties_all[x:y][doc], at - left - data.start[doc]
+                key, tie, start = keys_all[x:y][doc], ties_all[x:y][doc], at - LEFT - data.start[doc]
+                lo, hi, d1, d2 = (np.empty(len(h), k) for k in (np.int64, np.int64, np.uint64, np.uint64))
+                for p in parts(len(h), 50_000):
+                    segments, lo[p], hi[p] = data.segments(at[p], doc[p])
+                    d1[p], d2[p] = digests(segments, lo[p], hi[p])
                 first = _first_holders((d1, d2, h), key, tie, start)
                 gone = ~first
-                out = [((k ^ t) % buckets, 1, k, t, v, None, None, None) for k, t, v in _spans(key[gone], tie[gone], (start + lo)[gone], (start + hi)[gone])]
+                spans = [(key[gone], tie[gone], (start + lo)[gone], (start + hi)[gone])]
                 own = np.flatnonzero(first)
-                bucket = ((h[own] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                own, bucket = own[order], bucket[order]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
+                warm = np.isin(h[own], hot)
+                out = []
+                for p in parts(int(warm.sum()), 20_000):
+                    i = own[warm][p]
+                    row, offset, w1, w2 = window_digests(*data.segments(at[i], doc[i]))
+                    i, begin = i[row], start[i][row] + offset
+                    new = _first_holders((w1, w2), key[i], tie[i], begin)
+                    spans.append((key[i][~new], tie[i][~new], begin[~new], begin[~new] + WINDOW))
+                    i, begin, w1, w2 = i[new], begin[new], w1[new], w2[new]
+                    for b, k in _dealt_out(w1, buckets):
+                        out.append((b, 2, None, None, None, w1[k].tobytes(), w2[k].tobytes(), np.stack((key[i[k]], tie[i[k]], begin[k]), axis=1).tobytes()))
+                out += [((k ^ t) % buckets, 1, k, t, v, None, None, None) for k, t, v in _spans(*(np.concatenate(c) for c in zip(*spans)))]
+                own = own[~warm]
                 meta = np.stack((key, tie, start, lo, hi), axis=1)
-                for b in np.unique(bucket).tolist():
-                    i = own[cut[b] : cut[b + 1]]
-                    out.append((b, 0, None, None, None, h[i].tobytes(), segments[i].tobytes(), meta[i].tobytes()))
+                for b, k in _dealt_out(h[own], buckets):
+                    i = own[k]
+                    out.append((b, 0, None, None, None, h[i].tobytes(), data.segments(at[i], doc[i])[0].tobytes(), meta[i].tobytes()))
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _ARROW)], names=[n for n, _ in _ARROW])
 
     def meet(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
         passed = table.filter(pa.array(kind == 1)).select(["key", "tie", "values"])
-        sent = table.filter(pa.array(kind == 0))
-        found = _meet(sent) if sent.num_rows else []
+        found = []
+        for k, of in ((0, _meet), (2, _meet_windows)):
+            sent = table.filter(pa.array(kind == k))
+            if sent.num_rows:
+                found += of(sent)
         columns = list(zip(*found)) or [()] * 3
         own = pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["key", "tie", "values"])
         return pa.concat_tables([passed, own])
 
-    def _meet(sent: pa.Table) -> list[tuple]:
-        hashes = [np.frombuffer(x, np.uint64) for x in sent.column("hashes").to_pylist()]
-        shard = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-        h = np.concatenate(hashes)
-        rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, width) for x in sent.column("rows").to_pylist()])
-        key, tie, start, lo, hi = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 5) for x in sent.column("meta").to_pylist()]).T
-        d1, d2 = digests(rows, lo, hi)
-        first = _first_holders((d1, d2, h), key, tie, start)
-        gone = np.flatnonzero(~first)
-        out = [(key[gone], tie[gone], (start + lo)[gone], (start + hi)[gone])]
-        # Anchors that still have several segments: their windows are merged.
-        own = np.flatnonzero(first)
-        own = own[np.argsort(h[own], kind="stable")]
-        same = h[own][1:] == h[own][:-1]
-        several = np.zeros(len(own), bool)
-        several[1:] |= same
-        several[:-1] |= same
-        own = own[several]
-        # Whole anchors at a time, so memory stays bounded.
-        edge = np.flatnonzero(np.append(True, h[own][1:] != h[own][:-1])) if len(own) else np.empty(0, np.int64)
-        at = 0
-        while at < len(own):
-            k = np.searchsorted(edge, at + 20_000, "left")
-            to = int(edge[k]) if k < len(edge) else len(own)
-            part = own[at:to]
-            _, part_shard = np.unique(shard[part], return_inverse=True)
-            row, offset, interval = repeated_windows(rows[part], lo[part], hi[part], part_shard % 65536)
-            row = part[row]
-            begin = start[row] + offset
-            later = ~_first_holders((interval,), key[row], tie[row], begin)
-            out.append((key[row][later], tie[row][later], begin[later], begin[later] + WINDOW))
-            at = to
-        return _spans(*(np.concatenate(c) for c in zip(*out)))
-
     joined = with_replies(rows, anchors, "inner").select("key", "tie", "text", "replies")
     return joined.mapInArrow(emit, PACK).groupBy("bucket").applyInArrow(meet, SPANS)
 
 
-def deduplicate(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
+def _dealt_out(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, indices) of the hashes."""
+    bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = groups(bucket[order])
+    return [(int(bucket[order[x]]), order[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+def _meet_windows(sent: pa.Table) -> list[tuple]:
+    """Spans of the windows that an earlier place also has."""
+    w1, w2 = (np.concatenate([np.frombuffer(x, np.uint64) for x in sent.column(c).to_pylist()]) for c in ("hashes", "rows"))
+    key, tie, begin = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in sent.column("meta").to_pylist()]).T
+    later = ~_first_holders((w1, w2), key, tie, begin)
+    return _spans(key[later], tie[later], begin[later], begin[later] + WINDOW)
+
+
+def _meet(sent: pa.Table) -> list[tuple]:
+    """Spans of the segments' windows that an earlier place also has."""
+    hashes = [np.frombuffer(x, np.uint64) for x in sent.column("hashes").to_pylist()]
+    shard = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
+    h = np.concatenate(hashes)
+    rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, WIDTH) for x in sent.column("rows").to_pylist()])
+    key, tie, start, lo, hi = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 5) for x in sent.column("meta").to_pylist()]).T
+    d1, d2 = digests(rows, lo, hi)
+    first = _first_holders((d1, d2, h), key, tie, start)
+    gone = np.flatnonzero(~first)
+    out = [(key[gone], tie[gone], (start + lo)[gone], (start + hi)[gone])]
+    # Anchors that still have several segments: their windows are merged.
+    own = np.flatnonzero(first)
+    own = own[np.argsort(h[own], kind="stable")]
+    same = h[own][1:] == h[own][:-1]
+    several = np.zeros(len(own), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    own = own[several]
+    # Whole anchors at a time: under HOT + 10,000 segments, since hotter anchors go by
+    # their windows (but for those beyond HOT_LISTED, of which one may be larger).
+    edge = np.flatnonzero(np.append(True, h[own][1:] != h[own][:-1])) if len(own) else np.empty(0, np.int64)
+    at = 0
+    while at < len(own):
+        k = np.searchsorted(edge, at + 10_000, "left")
+        to = int(edge[k]) if k < len(edge) else len(own)
+        part = own[at:to]
+        _, part_shard = np.unique(shard[part], return_inverse=True)
+        row, offset, interval = repeated_windows(rows[part], lo[part], hi[part], part_shard % 65536)
+        row = part[row]
+        begin = start[row] + offset
+        later = ~_first_holders((interval,), key[row], tie[row], begin)
+        out.append((key[row][later], tie[row][later], begin[later], begin[later] + WINDOW))
+        at = to
+    return _spans(*(np.concatenate(c) for c in zip(*out)))
+
+
+def deduplicate(docs: DataFrame, keep_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of ``docs``."""
     spark = docs.sparkSession
     rows, buckets = keyed(docs), bucket_count(docs)
     equal = rows.select("key", "tie", F.sha2("text", 256).alias("digest"))
-    copies, _ = storage.stage(equal.groupBy("digest").agg(F.min("key").alias("low")), "texts")  # a table, so the join can split a text of many copies
+    copies, t_path = storage.stage(equal.groupBy("digest").agg(F.min("key").alias("low")), "texts")  # a table, so the join can split a text of many copies
     copies, _ = storage.stage(equal.join(copies, "digest").where("key > low").select("key", "tie").distinct(), "copies")
-    anchors, a_path = storage.stage(repeated_anchors(rows, _anchors_of, buckets, within=True), "byte-anchors")
-    spans, _ = storage.stage(covered(rows, anchors.join(copies, ["key", "tie"], "left_anti"), buckets), "byte-spans")
-    storage.drop(spark, a_path)
+    anchors, a_path = storage.stage(repeated_anchors(rows, _anchors_of, buckets, within=True, hot=hot), "byte-anchors")
+    # Rows without values name hot anchors, with their occurrences: HOT_LISTED at most here.
+    named = anchors.where("values IS NULL").orderBy(F.desc("key"), "tie").limit(HOT_LISTED).select("tie").collect()
+    spread = np.sort(np.array([r["tie"] for r in named], np.int64).view(np.uint64))
+    anchors = anchors.where("values IS NOT NULL").join(copies, ["key", "tie"], "left_anti")
+    spans, _ = storage.stage(covered(rows, anchors, buckets, spread), "byte-spans")
+    storage.drop(spark, a_path, t_path)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

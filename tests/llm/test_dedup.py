@@ -58,7 +58,8 @@ def test_suffix_matches_brute_force(corpus):
         spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         kept = bytes(x for x, g in zip(b, gone) if not g)
         expected.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    assert found(suffix.deduplicate(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=repr)
+    for hot in (suffix.HOT, 2):  # few occurrences already send an anchor's windows by their own hash
+        assert found(suffix.deduplicate(df, hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=repr)
 
 
 def test_merged_transforms_equal_one_sort():
@@ -78,6 +79,57 @@ def test_merged_transforms_equal_one_sort():
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in expected.values() if len(v) > 1)
 
 
+def test_common_prefixes_are_exact():
+    r = np.random.default_rng(5)
+    rows = r.integers(97, 99, (24, 144)).astype(np.uint8)
+    rows[12:, :] = rows[:12]
+    rows[12:, 60] ^= 1
+    orders, transforms = [], []
+    for s in range(3):
+        own = np.arange(24)[np.arange(24) % 3 == s]
+        o = suffix.sort_rotations(rows[own], 100)
+        transforms.append(suffix.transform(o, rows[own]))
+        orders.append(own[o // 144] * 144 + o % 144)
+    interleave, parted = suffix.merge_transforms(transforms, 100)
+    merged = np.empty(24 * 144, np.int64)
+    merged[suffix.dealt(interleave)] = np.concatenate(orders)
+    got = suffix.common_prefixes(rows, merged // 144, merged % 144, parted, 100)
+    turned = [np.roll(rows[m // 144], -(m % 144)).tobytes()[:100] for m in merged.tolist()]
+    assert turned == sorted(turned)
+    for i in range(1, len(turned)):
+        a, b = turned[i - 1], turned[i]
+        assert got[i] == next((k for k in range(100) if a[k] != b[k]), 100)
+
+
+def test_dealing_by_digits():
+    r = np.random.default_rng(6)
+    x = r.integers(0, 1 << 20, 5000).astype(np.uint32)
+    assert suffix.dealt(x).tolist() == np.argsort(x, kind="stable").tolist()
+
+
+def test_one_anchor_with_many_surroundings(spark):
+    """A heading before 100,000 different texts: no task holds all its surroundings."""
+    head = "A fixed heading of well over one hundred bytes that stands before each and every document of this small collection here. "
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(head), F.md5(F.col("id").cast("string")), F.md5((F.col("id") + 7).cast("string"))).alias("text"))
+    got = suffix.deduplicate(df.repartition(4)).groupBy("n_removed", "n_spans").count().collect()
+    assert sorted((r["n_removed"], r["n_spans"], r["count"]) for r in got)[0] == (0, 0, 1)
+    # Chance lets a few texts share the first byte or two after the heading as well.
+    assert all(r["n_removed"] == 0 or len(head) <= r["n_removed"] <= len(head) + 8 for r in got) and sum(r["count"] for r in got) == 100_000
+
+
+def test_long_text_of_one_letter(spark):
+    """Four megabytes, nearly every byte an anchor, in bounded memory."""
+    import resource
+
+    data = suffix.Bytes(["A" * 4_000_000])
+    h, at, doc = data.anchors()
+    assert len(h) > 3_000_000
+    df = spark.createDataFrame([(1, "A" * 4_000_000), (2, "A" * 1_000_000 + "B"), (3, "C" * 99)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix.deduplicate(df).collect()}
+    assert got == {1: (3_999_999, 1), 2: (1_000_000, 1), 3: (0, 0)}
+    assert resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss < 3_000_000
+
+
 def slow_print(text):
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
