@@ -11,15 +11,17 @@ from the highest sum down and stops at the first that cannot reach its k-th best
 the k nearest examples are exact.  Their labels vote with their cosine; the vote is
 shrunk towards the base rate, which calibrates scores of documents with weak
 neighbours.  A document without any term has no neighbour and scores the rate of the
-examples without terms.  The neighbours are the evidence.
+examples without terms.  All voting neighbours are returned as the evidence.
 
 Everything broadcast is bounded by max_examples and max_terms.
 
-Null and empty texts: as documents without terms.  No usable labels: score 0
+Null and empty texts: as documents without terms.  Very long texts count whole, and
+very long words by their beginning and a hash.  No usable labels: score 0
 everywhere.  A doc_id with several labels counts as toxic if any says so; of several
 texts under one labelled doc_id the smallest is the example.  Ties between examples
 go to the earlier index position, so equal texts score equal.  Null doc_ids are
-scored and never learnt from.  Empty table: no rows.  Extra columns are ignored.
+scored and never learnt from.  Repeated rows: equal scores, a row each.  Empty table: no
+rows.  Extra columns are ignored here, whatever their names, and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,19 +43,34 @@ MAX_EXAMPLES, MAX_TERMS, MIN_RATIO, MIN_DF = 8192, 2048, 24.0, 5
 NEIGHBOURS, SHRINK, POWER, BLOCK = 15, 0.5, 2.0, 32
 PREFIXES, LEVELS = range(3, 8), (2, 3, 4, 6)
 _WORD = re.compile(r"\w+")
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"  # scripts without spaces
+_UNSPACED, _PIECES = re.compile(f"[{_DENSE}]"), re.compile(f"[{_DENSE}]+|[^{_DENSE}]+")
 SCORES = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words; scripts written without spaces in pairs of characters."""
+    text = (text or "").lower()
+    words = _WORD.findall(text)
+    if text.isascii() or not _UNSPACED.search(text):
+        return words
+    out = []
+    for piece in (p for w in words for p in _PIECES.findall(w)):
+        out += [piece[i : i + 2] for i in range(max(1, len(piece) - 1))] if _UNSPACED.match(piece) else [piece]
+    return out
+
+
 def features(word: str) -> list[str]:
-    """The word itself and its beginnings."""
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if n < len(word))] if len(word) <= 64 else []
+    """The word itself (a very long one by its beginning and a hash) and its beginnings."""
+    name = word if len(word) <= 64 else f"{word[:40]}#{xxhash.xxh3_64_hexdigest(word)}"
+    return [name, *(f"{word[:n]}*" for n in PREFIXES if n < len(word))]
 
 
 def of_text(words: set[str]) -> set[str]:
     """All features of a text: its words, their beginnings, and each beginning again
     for two, three ... distinct words that share it."""
     shared = Counter(f for w in words for f in features(w)[1:])
-    found = {w for w in words if len(w) <= 64} | set(shared)
+    found = {features(w)[0] for w in words} | set(shared)
     found.update(f"{f}{n}" for f, k in shared.items() if k > 1 for n in LEVELS if n <= k)
     return found
 
@@ -79,7 +97,7 @@ class _Terms(dict):
 
 def term_counts(text: str | None, terms: _Terms) -> dict[int, int]:
     """Term number -> occurrences; 1 for a beginning that several words share."""
-    words = _WORD.findall((text or "").lower())
+    words = words_of(text)
     hit = [w for w in set(words) if terms[w]]
     if not hit:
         return {}
@@ -167,10 +185,9 @@ def _examples(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
 
 def _select_terms(examples: DataFrame, n: int, n_toxic: int, min_ratio: float, max_terms: int) -> dict[str, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                seen[1 if toxic else 0].update(of_text(set(_WORD.findall((text or "").lower()))))
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def flush() -> Iterator[pa.RecordBatch]:
             for y, c in enumerate(seen):
                 names = list(c)
                 for i in range(0, len(names), 50_000):
@@ -178,6 +195,14 @@ def _select_terms(examples: DataFrame, n: int, n_toxic: int, min_ratio: float, m
                     counts = [c[f] for f in part]
                     zero = [0] * len(part)
                     yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts, pa.int64()), pa.array(counts if y else zero, pa.int64())], names=["term", "n", "n_toxic"])
+                c.clear()
+
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                seen[1 if toxic else 0].update(of_text(set(words_of(text))))
+                if len(seen[0]) + len(seen[1]) > 300_000:
+                    yield from flush()
+        yield from flush()
 
     counted = examples.select("text", "toxic").mapInArrow(count, "term string, n long, n_toxic long")
     a, b = F.sum("n_toxic").alias("a"), F.sum("n").alias("b")
@@ -262,7 +287,7 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
         for batch in batches:
             found = [scorer(t) for t in batch.column("text").to_pylist()]
             values = [s for s, _ in found]
-            evidence = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in e[:3]] for _, e in found]
+            evidence = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in e] for _, e in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(values, pa.float64()), pa.array([int(s >= 0.5) for s in values], pa.int32()), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))

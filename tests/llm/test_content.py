@@ -212,3 +212,30 @@ def test_items_in_many_chunks(spark):
         assert got == expected
     kept = decontaminate.keep_clean(docs, bench, chunk=5)
     assert kept.columns == docs.columns and kept.count() == len(rows) - len(expected)
+
+
+def test_long_words_and_scripts_without_spaces():
+    assert toxicity.words_of("今日は bad 天") == ["今日", "日は", "bad", "天"]
+    x, y = toxicity.features("x" * 65), toxicity.features("x" * 66)
+    assert x[0] != y[0] and x[1:] == y[1:]
+    assert toxicity.features("x" * 65)[0] in toxicity.of_text({"x" * 65})
+
+
+def test_scores_are_calibrated_on_held_out_rows(spark):
+    """Words that go with a label half or nine tenths of the time, and noise: scores of
+    held-out rows match the share of toxic ones."""
+    r = random.Random(21)
+    rates = {"plain": 0.05, "rude": 0.5, "vile": 0.9}
+    rows = [(i, k, f"{say(r, 20)} {'' if k == 'plain' else k} {say(r, 10)}", int(r.random() < rates[k])) for i, k in enumerate(r.choices(list(rates), (6, 2, 2), k=4000))]
+    docs = spark.createDataFrame([(i, t) for i, _, t, _ in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 0, y) for i, _, _, y in rows], "doc_id long, quality int, toxic int")
+    scored = {x["doc_id"]: x for x in toxicity.score(docs, toxicity.fit(docs, labels)).collect() if x["held_out"]}
+    for k, rate in rates.items():
+        own = [(scored[i]["score"], y) for i, kind, _, y in rows if kind == k and i in scored]
+        assert len(own) > 100
+        mean, share = (sum(v) / len(own) for v in zip(*own))
+        assert abs(mean - rate) < 0.12 and abs(mean - share) < 0.15
+    best = next(x for i, kind, _, _ in rows if kind == "vile" and i in scored for x in [scored[i]])
+    assert len(best["evidence"]) == toxicity.NEIGHBOURS
+    votes = [(e["similarity"] ** toxicity.POWER, e["toxic"]) for e in best["evidence"]]
+    assert 0 <= sum(v * y for v, y in votes) / sum(v for v, _ in votes) <= 1
