@@ -150,7 +150,8 @@ def _forest(home: np.ndarray, home_fp: np.ndarray, place: np.ndarray, place_fp:
 def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs within ``threshold`` bits
     of the distinct fingerprints (column fp)."""
-    buckets = max(storage.partitions(distinct.sparkSession), 64) * 4
+    # About 32 MB of anchors and fingerprints (62 pairs of 8 bytes each) to a bucket.
+    buckets = max(storage.partitions(distinct.sparkSession) * 4, 256, distinct.count() * 62 * 16 >> 25)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
