@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import graph, storage
+from tallyspark.llm.words import tidy
 
 BITS, CODE, GENERATOR = 23, 12, 0b110001110101  # x^11+x^10+x^6+x^5+x^4+x^2+1
 RADIUS = 3
@@ -171,6 +172,7 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "homes", "anchors", "fps"])
 
     def compare(table: pa.Table) -> pa.Table:
+        tidy()
         home, home_fp, place, place_fp = [], [], [], []
         for n, a, f in zip(*(table.column(c).to_pylist() for c in ("homes", "anchors", "fps"))):
             a, f = np.frombuffer(a, np.int64), np.frombuffer(f, np.uint64)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import storage
-from tallyspark.llm.words import M2, HashCache, gram_hashes, groups, hashes, slices
+from tallyspark.llm.words import M2, HashCache, gram_hashes, groups, hashes, slices, tidy
 
 PERIOD, COVER = 7, (0, 1, 3)
 LAST = (1 << 63) - 1
@@ -187,8 +187,10 @@ def repeated_anchors(rows: DataFrame, anchors_of: Callable[[list], tuple[np.ndar
                 count = np.add.reduceat(times, first) if hot and len(first) else None
                 out += _bucketed((h[first] >> np.uint64(20)) % np.uint64(buckets), h[first], None, count, np.where(many, -1, doc[first]), keys, ties)
                 yield _pack(out)
+                tidy()
 
     def meet(table: pa.Table) -> pa.Table:
+        tidy()
         passed, own = _split_kinds(table)
         if not own.num_rows:
             return _reply_table(passed, [])
@@ -241,8 +243,10 @@ def repeated_windows(rows: DataFrame, anchors: DataFrame, window: int, buckets:
                 f = ~later
                 out += _bucketed((a[f] >> np.uint64(20)) % np.uint64(buckets), a[f], b[f], place[f], doc[f], keys, ties)
                 yield _pack(out)
+                tidy()
 
     def meet(table: pa.Table) -> pa.Table:
+        tidy()
         passed, own = _split_kinds(table)
         if not own.num_rows:
             return _reply_table(passed, [])

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import storage
 from tallyspark.llm.substring import bucket_count, keyed, repeated_anchors, with_replies
-from tallyspark.llm.words import M1, M2, groups, mix, slices
+from tallyspark.llm.words import M1, M2, groups, mix, slices, tidy
 
 WINDOW, GRAM, STEP = 100, 56, 4
 LEFT, WIDTH = WINDOW - GRAM, 2 * WINDOW - GRAM
@@ -326,8 +326,10 @@ def covered(rows: DataFrame, anchors: DataFrame, buckets: int, hot: np.ndarray)
                     out.append((b, 0, None, None, None, h[i].tobytes(), data.segments(at[i], doc[i])[0].tobytes(), meta[i].tobytes()))
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _ARROW)], names=[n for n, _ in _ARROW])
+                tidy()
 
     def meet(table: pa.Table) -> pa.Table:
+        tidy()
         kind = table.column("kind").to_numpy()
         passed = table.filter(pa.array(kind == 1)).select(["key", "tie", "values"])
         found = []

@@ -6,6 +6,8 @@ worker, so memory does not follow the input.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 
 import numpy as np
@@ -229,8 +231,16 @@ def slices(sizes, most: int = 4_000_000):
         yield at, len(sizes)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def whole_texts(batch: pa.RecordBatch, most: int = 4_000_000):
     """The texts of a batch (null: empty) with their range, in bounded parts."""
     texts = batch.column("text").fill_null("")
     for a, b in slices(pc.binary_length(texts).to_pylist(), most):
         yield a, b, texts.slice(a, b - a)
+        tidy()

@@ -198,16 +198,6 @@ def test_components(spark, shape):
     assert got == {v: min(vertices) for v in vertices if v != min(vertices)}
 
 
-def test_patience_runs_forward_and_matches_equal_lines():
-    r = random.Random(2)
-    for _ in range(200):
-        a, b = ([r.randint(0, 9) for _ in range(r.randint(0, 14))] for _ in range(2))
-        pairs = lines.patience(a, b)
-        assert all(a[i] == b[j] for i, j in pairs)
-        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
-    assert lines.patience([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
-
-
 def test_line_dedup(spark):
     block = "this line has words\nand this one also"
     rows = [(1, f"first head line here\n{block}\ntail one is here"), (2, f"second head line here\n{block}\ntail two is here"), (3, f"{block}"), (4, "a b\nunlike any other line"), (5, "a b\nagain an own line"), (6, None), (7, ""), (2, f"second head line here\n{block}\ntail two is here")]
