@@ -15,8 +15,9 @@ by ``graph.components``.
 
 Null and empty texts, and texts without words: fingerprint zero, linked like any
 other.  Repeated rows and ties: same fingerprint, same component.  Null doc_ids keep
-their row and never name a component unless all of its doc_ids are null.  Empty
-table: no rows.  Extra columns are ignored.
+their row and never name a component unless all of its doc_ids are null.  Very long
+texts: all shingles, hashed 65,536 at a time.  Empty table: no rows.  Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_LOCK, _WRITERS, _BEFORE = threading.Lock(), [], []
 BATCH = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -52,29 +54,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """While stage tables are written, shuffle files go as soon as their write ends.  The
+    setting is the session's: writers that overlap share it, the last one restores it."""
+    with _LOCK:
+        if not _WRITERS:
+            _BEFORE[:] = [spark.conf.get(_CLEAN, None)]
+            spark.conf.set(_CLEAN, "true")
+        _WRITERS.append(None)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITERS.pop()
+            if not _WRITERS:
+                if _BEFORE[0] is None:
+                    spark.conf.unset(_CLEAN)
+                else:
+                    spark.conf.set(_CLEAN, _BEFORE[0])
+
+
 def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and return it as read back, with its path."""
     spark, path = bounded(df).sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")  # the stage's shuffle files go once its table is there
-    try:
+    with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
-    release(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files and broadcasts nothing refers to."""
-    gc.collect()
-    with contextlib.suppress(AttributeError):
-        spark.sparkContext._jvm.System.gc()
-
-
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete stage tables that no returned DataFrame reads any more."""
     jvm = spark.sparkContext._jvm

@@ -15,8 +15,9 @@ Definitions: words ``[^\\x20\\x09-\\x0D]+``; a window belongs to one document; a
 removed where a window covers it whose word sequence also starts in a document with a
 smaller doc_id.  Rows with equal doc_id never remove each other's words; null doc_ids
 come after all others.  Null, empty or short texts (under 13 words) lose nothing.
-Repeated rows give repeated, equal results.  Empty table: no rows.  Extra columns are
-ignored.
+Very long texts are read whole, in a slice of their own.  Repeated rows and ties give
+repeated, equal results.  Empty table: no rows.  Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -239,3 +239,21 @@ def test_scores_are_calibrated_on_held_out_rows(spark):
     assert len(best["evidence"]) == toxicity.NEIGHBOURS
     votes = [(e["similarity"] ** toxicity.POWER, e["toxic"]) for e in best["evidence"]]
     assert 0 <= sum(v * y for v, y in votes) / sum(v for v, _ in votes) <= 1
+
+
+def test_very_long_texts(spark):
+    """Several megabytes in one text: stored, rendered and scored whole."""
+    long = "é" * 1_500_000 + " tail"
+    df = spark.createDataFrame([(1, long), (2, long), (3, None)], "doc_id long, text string")
+    data = long.encode()
+    payload = data + b" " * (-len(data) % 192)
+    got = {x["doc_id"]: x for x in media.document_media(df).collect()}
+    assert got[1]["n_bytes"] == len(data) and got[1]["payload_sha256"] == got[2]["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "x"), (2, 0, "user", long)], "conv_id long, turn int, role string, text string")
+    (row,) = chat.collapse(turns).collect()
+    assert row["conv_id"] == 1 and long in row["rendered"]
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5000, "calm " * 400_000 + "vile nasty!"), (5000, "calm " * 400_000 + "vile nasty!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    scores = [x["score"] for x in toxicity.score(docs, toxicity.fit(docs, labels)).where("doc_id = 5000").collect()]
+    assert len(scores) == 2 and scores[0] == scores[1] > 0.5

@@ -220,3 +220,17 @@ def test_copies_in_any_number_lose_their_lines(spark):
 def test_empty_tables(empty):
     for df in (substring.deduplicate(empty), suffix.deduplicate(empty), simhash.near_duplicates(empty), simhash.keep_one(empty), lines.deduplicate(empty), lines.rewrite(empty)):
         assert df.count() == 0
+
+
+def test_very_long_texts(spark):
+    r = random.Random(31)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(600_000))
+    rows = [(1, long), (2, long[:100_000] + " own end"), (3, None), (4, "x " * 200_000), (5, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substring.deduplicate(df).collect()}
+    head = len(long[:100_000].rsplit(" ", 1)[0].split())
+    assert got[1] == (600_000, 0) and got[5] == (600_000, 600_000) and got[3] == (0, 0) and got[4] == (200_000, 0)
+    assert head <= got[2][1] <= head + 1
+    marked = {x["doc_id"]: x for x in simhash.near_duplicates(df).collect()}
+    assert marked[1]["component_id"] == marked[5]["component_id"] == 1
+    assert marked[4]["fingerprint"] == f"{slow_print('x ' * 5):016x}"
