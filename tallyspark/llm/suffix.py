@@ -5,11 +5,11 @@ Which bytes can repeat: every 100-byte window holds at least one anchor, a place
 only the surroundings of anchors that occur twice (144 bytes: all windows that hold the
 anchor) can hold a repeated window.  These segments meet by anchor.  The segments of
 each sender form a shard, whose rotations are sorted once and kept as the order and
-its transform: the four bytes before each rotation.  The shards' transforms are merged
+its transform: the eight bytes before each rotation.  The shards' transforms are merged
 without sorting rotations again: an interleave says which shard each merged row comes
 from; a pass writes the transforms' symbols in interleave order, deals the rows stably
-to their symbols by counting, and so refines the interleave by four bytes.  The pass in
-which two neighbouring rows part gives the length of their common prefix; after 25 passes
+to their symbols by counting, and so refines the interleave by eight bytes.  The pass in
+which two neighbouring rows part gives the length of their common prefix; after 13 passes
 the runs of rows with common prefixes of 100 bytes are the repeated intervals.
 
 Before that, equal texts of larger doc_id lose every byte (texts of 100 bytes or more)
@@ -40,9 +40,10 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import storage
 from tallyspark.llm.substring import bucket_count, keyed, repeated_anchors, with_replies
-from tallyspark.llm.words import M1, M2, groups, mix, slices, tidy
+from tallyspark.llm.words import M1, M2, groups, mix, slices
 
-WINDOW, GRAM, STEP = 100, 56, 4
+WINDOW, GRAM, STEP = 100, 56, 8
+DEPTH = -(-WINDOW // STEP) * STEP
 LEFT, WIDTH = WINDOW - GRAM, 2 * WINDOW - GRAM
 HOT, HOT_LISTED = 20_000, 100_000  # occurrences of an anchor that is spread; so many anchors at most
 
@@ -129,9 +130,9 @@ def sort_rotations(rows: np.ndarray, depth: int) -> np.ndarray:
     """Order of all rotations of equally long rows by their first ``depth`` bytes or more."""
     n, width = rows.shape
     flat = np.arange(n * width).reshape(n, width)
-    rank = np.zeros((n, width), np.int64)
+    rank = np.zeros((n, width), np.uint64)
     for k in range(STEP):
-        rank = (rank << 8) | np.roll(rows, -k, axis=1)
+        rank = (rank << np.uint64(8)) | np.roll(rows, -k, axis=1)
     span = STEP
     rank = np.unique(rank.ravel(), return_inverse=True)[1].astype(np.int64)
     while span < depth:
@@ -142,18 +143,18 @@ def sort_rotations(rows: np.ndarray, depth: int) -> np.ndarray:
 
 
 def transform(order: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The four bytes before each rotation, in rotation order."""
+    """The eight bytes before each rotation, in rotation order."""
     n, width = rows.shape
-    symbol = np.zeros((n, width), np.uint32)
+    symbol = np.zeros((n, width), np.uint64)
     for k in range(STEP, 0, -1):
-        symbol = (symbol << 8) | np.roll(rows, k, axis=1)
+        symbol = (symbol << np.uint64(8)) | np.roll(rows, k, axis=1)
     return symbol.ravel()[order]
 
 
 def dealt(symbols: np.ndarray) -> np.ndarray:
-    """Order that deals rows stably to their symbols: counting by digits of 16 bits
-    (numpy's stable sort of 16-bit values is a counting sort)."""
-    order = np.argsort(symbols.astype(np.uint16), kind="stable")
+    """Order that deals rows stably to their symbols: counting by digits of up to 16 bits
+    (numpy's stable sort of such values is a counting sort)."""
+    order = np.argsort(symbols if symbols.dtype.itemsize == 1 else symbols.astype(np.uint16), kind="stable")
     if symbols.dtype.itemsize > 2:
         order = order[np.argsort((symbols >> 16).astype(np.uint16)[order], kind="stable")]
     return order
@@ -170,7 +171,7 @@ def merge_transforms(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, n
     n = len(symbols)
     kinds, symbols = np.unique(symbols, return_inverse=True)
     symbols = symbols.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32)
-    interleave = np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.uint16)
+    interleave = np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.uint8 if len(parts) <= 256 else np.uint16)
     block = np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
     boundary, parted = np.zeros(n, bool), np.zeros(n, np.uint8)
     for step in range(1, depth // STEP + 1):
@@ -186,11 +187,13 @@ def merge_transforms(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, n
     return interleave, parted
 
 
-def common_prefixes(rows: np.ndarray, row: np.ndarray, offset: np.ndarray, parted: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(rows: np.ndarray, row: np.ndarray, offset: np.ndarray, parted: np.ndarray, depth: int, least: int = 0) -> np.ndarray:
     """Length of the prefix, up to ``depth``, that each merged rotation shares with the one
-    before it: whole passes, and the equal bytes of the symbols that told them apart."""
+    before it: whole passes, and the equal bytes of the symbols that told them apart.
+    Lengths that cannot reach ``least`` stay at their whole passes."""
     length = np.where(parted == 0, depth, (parted.astype(np.int64) - 1) * STEP)
-    open_ = np.flatnonzero(parted > 0)[1:]  # the first row has none before it
+    open_ = np.flatnonzero(parted * np.int64(STEP) > least)
+    open_ = open_[(parted[open_] > 0) & (open_ > 0)]  # the first row has none before it
     for _ in range(STEP - 1):
         at = length[open_]
         same = rows[row[open_], (offset[open_] + at) % rows.shape[1]] == rows[row[open_ - 1], (offset[open_ - 1] + at) % rows.shape[1]]
@@ -206,14 +209,14 @@ def repeated_windows(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, shard: np
     orders, transforms = [], []
     for s in np.unique(shard):
         own = np.flatnonzero(shard == s)
-        order = sort_rotations(rows[own], WINDOW)
+        order = sort_rotations(rows[own], DEPTH)
         transforms.append(transform(order, rows[own]))
         orders.append(own[order // width] * width + order % width)
-    interleave, parted = merge_transforms(transforms, WINDOW)
+    interleave, parted = merge_transforms(transforms, DEPTH)
     merged = np.empty(n * width, np.int64)
     merged[dealt(interleave)] = np.concatenate(orders)
     row, offset = merged // width, merged % width
-    interval = np.cumsum(common_prefixes(rows, row, offset, parted, WINDOW) < WINDOW)
+    interval = np.cumsum(common_prefixes(rows, row, offset, parted, DEPTH, WINDOW) < WINDOW)
     real = (offset >= lo[row]) & (offset + WINDOW <= hi[row])
     row, offset, interval = row[real], offset[real], interval[real]
     count = np.bincount(interval, minlength=int(interval[-1]) + 1 if len(interval) else 0)
@@ -326,10 +329,8 @@ def covered(rows: DataFrame, anchors: DataFrame, buckets: int, hot: np.ndarray)
                     out.append((b, 0, None, None, None, h[i].tobytes(), data.segments(at[i], doc[i])[0].tobytes(), meta[i].tobytes()))
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _ARROW)], names=[n for n, _ in _ARROW])
-                tidy()
 
     def meet(table: pa.Table) -> pa.Table:
-        tidy()
         kind = table.column("kind").to_numpy()
         passed = table.filter(pa.array(kind == 1)).select(["key", "tie", "values"])
         found = []

@@ -87,18 +87,18 @@ def test_common_prefixes_are_exact():
     orders, transforms = [], []
     for s in range(3):
         own = np.arange(24)[np.arange(24) % 3 == s]
-        o = suffix.sort_rotations(rows[own], 100)
+        o = suffix.sort_rotations(rows[own], suffix.DEPTH)
         transforms.append(suffix.transform(o, rows[own]))
         orders.append(own[o // 144] * 144 + o % 144)
-    interleave, parted = suffix.merge_transforms(transforms, 100)
+    interleave, parted = suffix.merge_transforms(transforms, suffix.DEPTH)
     merged = np.empty(24 * 144, np.int64)
     merged[suffix.dealt(interleave)] = np.concatenate(orders)
-    got = suffix.common_prefixes(rows, merged // 144, merged % 144, parted, 100)
-    turned = [np.roll(rows[m // 144], -(m % 144)).tobytes()[:100] for m in merged.tolist()]
+    got = suffix.common_prefixes(rows, merged // 144, merged % 144, parted, suffix.DEPTH)
+    turned = [np.roll(rows[m // 144], -(m % 144)).tobytes()[: suffix.DEPTH] for m in merged.tolist()]
     assert turned == sorted(turned)
     for i in range(1, len(turned)):
         a, b = turned[i - 1], turned[i]
-        assert got[i] == next((k for k in range(100) if a[k] != b[k]), 100)
+        assert got[i] == next((k for k in range(len(a)) if a[k] != b[k]), len(a))
 
 
 def test_dealing_by_digits():
