@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import pass_at_k
+from tallyspark.functions.scalars import extract_answer, is_correct, normalize_number, pass_at_k
 
 CELL = ["model", "seed", "condition", "problem_id"]
 
@@ -19,6 +19,13 @@ def count_correct(samples: DataFrame, by: list[str], *more: Column) -> DataFrame
     return samples.groupBy(*by, *more).agg(F.count("*").alias("n"), F.count_if("correct").alias("c"))
 
 
+def join_truth(samples: DataFrame, problems: DataFrame) -> DataFrame:
+    """Samples with their problem's columns and ``correct``: the last number of the
+    completion against the problem's ``truth``, exactly; without an answer it is wrong."""
+    answer = normalize_number(extract_answer(F.col("completion")))
+    return samples.join(problems, "problem_id").withColumn("correct", is_correct(answer, F.col("truth")))
+
+
 def estimates(cells: DataFrame, ks: list[int]) -> DataFrame:
     """One row per cell and k with its pass@k (null where n < k)."""
     wide = cells.withColumn("k", F.explode(F.array(*map(F.lit, ks))))

@@ -328,8 +328,8 @@ def _(t):
 @query("j_truth", f"SELECT s_nationkey AS split, count(*) AS n, count(*) FILTER (coalesce({NUMBER} = truth, false)) AS correct FROM s JOIN supplier ON problem_id = s_suppkey GROUP BY 1", S)
 def _(t):
     problems = t.supplier.select(F.col("s_suppkey").alias("problem_id"), F.col("s_nationkey").alias("split"))
-    right = sc.is_correct(sc.normalize_number(sc.extract_answer(F.col("completion"))), F.col("truth"))
-    return t.samples.join(problems, "problem_id").groupBy("split").agg(F.count("*").alias("n"), F.count_if(right).alias("correct"))
+    scored = metrics.join_truth(t.samples.drop("correct"), problems)
+    return scored.groupBy("split").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"))
 
 
 @query("j_pair_modality", "SELECT model, problem_id, round(avg(correct::INT) FILTER (condition = 'T'), 6) AS text_rate, round(avg(correct::INT) FILTER (condition = 'E'), 6) AS image_rate FROM s WHERE condition IN ('T', 'E') GROUP BY 1, 2", S)
