@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import chat, decontaminate, lines, media, packing, simhash, sql, storage, substring, suffix, tokenbin, toxicity
+from tallyspark.llm import chat, decontaminate, divergence, lines, media, packing, simhash, sql, storage, substring, suffix, tokenbin, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -73,6 +73,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicate(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_line_dedup": op9_line_dedup,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_source_divergence": op11_source_divergence,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import chat
+from tallyspark.llm import chat, divergence
 
 SUBSTRING = r"""
 WITH w AS (
@@ -79,4 +79,4 @@ GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.SQL, "op4_substring_dedup": SUBSTRING, "op9_line_dedup": LINES, "op10_suffix_dedup": SUFFIX}
+    return {"op2_chat": chat.SQL, "op4_substring_dedup": SUBSTRING, "op9_line_dedup": LINES, "op10_suffix_dedup": SUFFIX, "op11_source_divergence": divergence.SQL}
