@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import chat, decontaminate, divergence, lines, media, packing, simhash, sql, storage, substring, suffix, tokenbin, toxicity
+from tallyspark.llm import bpe, chat, decontaminate, divergence, lines, media, packing, simhash, sql, storage, substring, suffix, tokenbin, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -77,6 +77,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -91,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_source_divergence": op11_source_divergence,
+        "op12_bpe": op12_bpe,
     }
 
 
