@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, chat, decontaminate, divergence, lines, media, packing, simhash, sql, storage, substring, suffix, tokenbin, toxicity
+from tallyspark.llm import bpe, chat, decontaminate, divergence, lines, media, packing, resample, simhash, sql, storage, substring, suffix, tokenbin, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -81,6 +81,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_source_divergence": op11_source_divergence,
         "op12_bpe": op12_bpe,
+        "op13_resample": op13_resample,
     }
 
 
