@@ -376,7 +376,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str]
 
 
 def encode(docs: DataFrame, tokenizer: str, most: int = 1 << 16) -> DataFrame:
-    """(doc_id, part, ids): the ids of each document's text, in parts of about ``most`` ids."""
+    """(doc_id, part, ids): the ids of each document's text, in parts of ``most`` ids and up to
+    a window more."""
     pattern = pattern_of(tokenizer)
     kind = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
