@@ -1,4 +1,4 @@
-"""Validity controls: weight identity, leakage, difficulty, perception, truncation."""
+"""Validity controls: weight identity, difficulty, perception, truncation."""
 
 from __future__ import annotations
 
@@ -16,38 +16,6 @@ def weight_diff(manifest: DataFrame, key: str = "param_key") -> DataFrame:
     return joined.select(key, F.coalesce("module_b", "module_a").alias("module"), F.col("before").eqNullSafe(F.col("after")).alias("identical"))
 
 
-def runs(texts: DataFrame, key: str | None = None, n: int = 8) -> DataFrame:
-    """([key,] gram): every n-token run of the texts; none of shorter texts.  The words
-    stand in a projection of their own, so a text is split once, not once per run."""
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    own = [key] if key else []
-    split = texts.select(*own, words.alias("words")).where(F.size("words") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))
-    return split.select(*own, F.explode(grams).alias("gram"))
-
-
-#: Rows of item runs that are broadcast at most (about 100 bytes each).
-BROADCAST_ROWS = 1_000_000
-
-
-def leaked(items: DataFrame, corpus: DataFrame, n: int = 8, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Items that share an n-token run with the corpus or equal one of its texts.
-
-    The corpus' runs are filtered by the items' own runs where they are made: by
-    broadcast if the items have at most ``broadcast_rows``, else by a shuffled semi-join.
-    Runs are compared by their words.  Null texts match nothing."""
-    own = runs(items, "item_id", n)
-    whole = items.select("item_id", F.trim(F.lower("text")).alias("gram"))
-    small = own.limit(broadcast_rows + 1).count() <= broadcast_rows and items.limit(broadcast_rows + 1).count() <= broadcast_rows
-    side = F.broadcast if small else (lambda df: df)
-    found = None
-    for mine, theirs in ((own, runs(corpus, None, n)), (whole, corpus.select(F.trim(F.lower("text")).alias("gram")))):
-        hits = theirs.join(side(mine.select("gram").distinct()), "gram", "left_semi").distinct()
-        part = mine.join(hits, "gram", "left_semi").select("item_id")
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
-
-
 def difficulty_matched(samples: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Problems whose base accuracy in text and image mode is alike; judged on samples of
     even index so that gains measured on the odd ones are not biased by the selection."""

@@ -2,8 +2,12 @@
 
 A draw is a pure function of (replicate, position), taken from md5, so results do not
 depend on partitioning and can be repeated by any other engine.  Problems are drawn,
-keeping everything a problem has together; all metrics share the draws.  Draws are made
-in parallel, from the problems themselves.
+keeping everything a problem has together; all metrics share the draws.
+
+A problem's weights in all replicates are one array: the replicates that drew it, each as
+often as it did.  It is joined to the problem's rows once, and opened inside the task that
+adds them up, so that partial sums are all that is exchanged, whatever the number of
+replicates.  The points are replicate -1, which draws every problem once.
 """
 
 from __future__ import annotations
@@ -12,47 +16,87 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.metrics import count_correct
-from tallyspark.sources.readers import staged
+from tallyspark.sources.readers import delete, staged_at
 
 BY = ["seed", "k"]
-BUCKET = 1 << 16
+#: Bits of monotonically_increasing_id that count rows within a partition.
+ROW_BITS = 33
+
 
+def ranged(rows: DataFrame, key: str, parts: int | None = None) -> tuple[DataFrame, str]:
+    """(key, part, place): distinct keys of any type that has an order, in ranges, with the
+    place within the range.  The ranges are staged, so that all readers see the same ones;
+    the table and its path."""
+    spark = rows.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Keys are made distinct within the ranges: their copies meet there anyway.
+    ordered = rows.select(key).dropna().repartitionByRange(parts, key).groupBy(key).agg(F.lit(1).alias("one")).sortWithinPartitions(key)
+    at = F.monotonically_increasing_id()
+    return staged_at(ordered.select(key, F.shiftright(at, ROW_BITS).cast("int").alias("part"), at.bitwiseAND((1 << ROW_BITS) - 1).alias("place")), "numbers")
 
-def numbered(problems: DataFrame) -> DataFrame:
-    """(problem_id, i, n_problems): distinct problems numbered by their id.  Ranks are
-    taken within ranges of ids; only the ranges' sizes meet in one task."""
-    own = problems.select("problem_id").distinct().withColumn("bucket", F.floor(F.col("problem_id") / BUCKET))
-    sizes = own.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("n_problems"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("problem_id")) - 1
-    return own.withColumn("rank", rank).join(before, "bucket").select("problem_id", (F.col("before") + F.col("rank")).cast("long").alias("i"), "n_problems")
+
+def numbered(rows: DataFrame, key: str = "problem_id", parts: int | None = None) -> tuple[DataFrame, str]:
+    """(key, i, n_<keys>): distinct keys numbered in order from 0, and their number; with the
+    path of the table behind it.  Prefix sums run over the ranges' sizes, a row a range."""
+    own, path = ranged(rows, key, parts)
+    sizes = own.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("n_problems"))
+    return own.join(F.broadcast(before), "part").select(key, (F.col("before") + F.col("place")).cast("long").alias("i"), "n_problems"), path
 
 
 def draws(problems: DataFrame, replicates: int) -> DataFrame:
-    """(b, i, w): how often replicate b draws problem i, of ``numbered`` problems."""
-    j = problems.select("i", "n_problems").repartition("i").select("n_problems", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    """(i, drawn): the replicates that draw problem i of ``numbered`` problems, with
+    repetition; problems that none draws have no row."""
+    each = problems.select("i", "n_problems").select("n_problems", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     text = F.substring(F.md5(F.concat(F.col("b").cast("string"), F.lit(":"), F.col("j").cast("string"))), 1, 8)
     i = F.pmod(F.conv(text, 16, 10).cast("long"), F.col("n_problems"))
-    return j.select("b", i.alias("i")).groupBy("b", "i").agg(F.count("*").alias("w"))
+    return each.select(i.alias("i"), F.col("b").cast("short").alias("b")).groupBy("i").agg(F.collect_list("b").alias("drawn"))
+
+
+def weighted(wide: DataFrame, replicates: int) -> tuple[DataFrame, list[str]]:
+    """``wide`` with ``drawn``, its problem's replicates and -1, and the tables behind it."""
+    problems, path = numbered(wide)
+    lists = problems.select("problem_id", "i").join(draws(problems, replicates), "i", "left")
+    every = F.concat(F.array(F.lit(-1).cast("short")), F.coalesce("drawn", F.array().cast("array<smallint>")))
+    return wide.join(lists.select("problem_id", every.alias("drawn")), "problem_id"), [path]
+
+
+def totals(wide: DataFrame, metrics: list[str], replicates: int, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """(by, b, mean and number of each metric): one partial and final aggregation over all
+    replicates; b = -1 holds the points."""
+    rows, paths = weighted(wide, replicates)
+    each = rows.select(*by, *metrics, F.explode("drawn").alias("b"))
+    sums = [x for m in metrics for x in (F.avg(m).alias(m), F.count(m).alias(f"n_{m}"))]
+    return each.groupBy(*by, "b").agg(*sums), paths
 
 
 def replicate_means(wide: DataFrame, metrics: list[str], replicates: int, by: list[str] | None = None) -> DataFrame:
-    """Mean of each metric in each replicate, per ``by``."""
-    problems = numbered(wide)
-    joined = draws(problems, replicates).join(problems.select("i", "problem_id"), "i").join(wide, "problem_id")
-    means = [(F.sum(F.col(m) * F.col("w")) / F.nullif(F.sum(F.when(F.col(m).isNotNull(), F.col("w"))), F.lit(0))).alias(m) for m in metrics]
-    return joined.groupBy(*(by or BY), "b").agg(*means)
+    """Mean of each metric in each replicate, per ``by``.  The result, a row per replicate
+    and group, is staged; the tables it was made from are deleted."""
+    by, (wide, gains) = by or BY, staged_at(wide, "gains")
+    means, paths = totals(wide, metrics, replicates, by)
+    made, _ = staged_at(means.where("b >= 0").select(*by, "b", *metrics), "replicates")
+    delete(wide.sparkSession, gains, *paths)
+    return made
 
 
 def intervals(wide: DataFrame, metrics: list[str], replicates: int = 200, level: float = 0.95, by: list[str] | None = None) -> DataFrame:
     """(by, metric, point, lo, hi, se, n): percentile intervals of the metrics' means.
-    ``wide`` is written once; problems, draws and points all read that table."""
-    by, wide = by or BY, staged(wide, "gains")
-    reps = replicate_means(wide, metrics, replicates, by).unpivot([*by, "b"], metrics, "metric", "x")
-    a = (1 - level) / 2
-    bounds = reps.groupBy(*by, "metric").agg(F.expr(f"percentile(x, {a})").alias("lo"), F.expr(f"percentile(x, {1 - a})").alias("hi"), F.stddev_samp("x").alias("se"))
-    points = wide.unpivot([*by, "problem_id"], metrics, "metric", "x").groupBy(*by, "metric").agg(F.avg("x").alias("point"), F.count("x").alias("n"))
-    return points.join(bounds, [*by, "metric"])
+
+    ``wide`` is written once for its two readers and deleted, as are the numbers.  The
+    result has a row per group and metric, whatever the problems and replicates; those rows
+    go through the driver, so that nothing is left behind."""
+    spark = wide.sparkSession
+    by, (wide, gains) = by or BY, staged_at(wide, "gains")
+    means, paths = totals(wide, metrics, replicates, by)
+    a, value = (1 - level) / 2, {}
+    for m in metrics:
+        drawn, point = F.when(F.col("b") >= 0, F.col(m)), F.col("b") < 0
+        value[m] = F.struct(F.lit(m).alias("metric"), F.max(F.when(point, F.col(m))).alias("point"), F.percentile(drawn, a).alias("lo"), F.percentile(drawn, 1 - a).alias("hi"), F.stddev_samp(drawn).alias("se"), F.max(F.when(point, F.col(f"n_{m}"))).alias("n"))
+    found = means.groupBy(*by).agg(F.array(*value.values()).alias("x")).select(*by, F.inline("x"))
+    rows = found.collect()
+    delete(spark, gains, *paths)
+    return spark.createDataFrame(rows, found.schema)
 
 
 def bayes_intervals(samples: DataFrame, z: float = 1.959963984540054) -> DataFrame:

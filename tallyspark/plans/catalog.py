@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as sc
-from tallyspark.operators import controls, metrics, stats, training
+from tallyspark.operators import controls, leaks, metrics, stats, training
 from tallyspark.plans import gates
 from tallyspark.sources import readers
 
@@ -371,7 +371,7 @@ LK = """grams AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lam
 
 @query("j_leak", "SELECT item_id FROM lk", LK)
 def _(t):
-    return controls.leaked(t.benchmark, t.documents)
+    return leaks.leaked(t.benchmark, t.documents)
 
 
 NUM = "num AS (SELECT *, row_number() OVER (PARTITION BY model, condition, problem_id ORDER BY l_orderkey, l_linenumber, l_partkey, n_tokens, temperature, correct) - 1 AS sample_idx FROM s)"
@@ -639,7 +639,7 @@ def _(t):
 
 @query("e_clean", "SELECT item_id, text FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM lk)", LK)
 def _(t):
-    return t.benchmark.select("item_id", "text").join(controls.leaked(t.benchmark, t.documents), "item_id", "left_anti")
+    return t.benchmark.select("item_id", "text").join(leaks.leaked(t.benchmark, t.documents), "item_id", "left_anti")
 
 
 @query("gate_report", f"""SELECT 'calibration' AS gate, round(avg(c / n), 6) AS value, 0.01::DOUBLE AS threshold, avg(c / n) BETWEEN 0.01 AND 0.99 AS passed, count(*) AS evidence_n FROM nc WHERE model = 'base'

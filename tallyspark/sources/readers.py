@@ -79,11 +79,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder once, for plans that read it several times."""
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder once, for plans that read it several times; as
+    read back, with its path for ``delete``."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more (through Spark's file systems, so by the
+    JVM of a classic session)."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_report(df: DataFrame, path: str | None = None, fmt: str = "parquet") -> DataFrame:
