@@ -25,6 +25,40 @@ def is_correct(predicted: Column, truth: Column) -> Column:
     return F.coalesce(predicted == truth, F.lit(False))
 
 
+#: Fixed value: the answer format of the harder problem set, with braces three deep.
+BOXED = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+
+
+def extract_boxed(text: Column) -> Column:
+    r"""The last \boxed{...}, else the last number in ``#### number`` form, or null."""
+    boxed = F.try_element_at(F.regexp_extract_all(text, F.lit(BOXED), F.lit(1)), F.lit(-1))
+    return F.coalesce(boxed, extract_answer(text))
+
+
+def normalize_answer(s: Column) -> Column:
+    """An answer's text without white space, dollar signs, sizing and spacing commands, text
+    wrappers and a final stop; display fractions as plain ones.  Letters keep their case."""
+    plain = F.regexp_replace(s, r"\\(?:left|right|displaystyle|[,;:! ])|\$|\s+", "")
+    plain = F.regexp_replace(plain, r"\\[dt]frac", r"\\frac")
+    plain = F.regexp_replace(plain, r"\\(?:text|mathrm|mbox)\{([^{}]*)\}", "$1")
+    return F.regexp_replace(plain, r"\.$", "")
+
+
+def typed_answer(s: Column) -> Column:
+    """struct(number, text): the exact number if the answer is one, else its normalised text;
+    null where there is no answer."""
+    plain = normalize_answer(s)
+    number = normalize_number(F.when(plain.rlike(r"^-?[0-9][0-9,]*(?:\.[0-9]+)?$"), plain))
+    return F.when(F.length(plain) > 0, F.struct(number.alias("number"), F.when(number.isNull(), plain).alias("text")))
+
+
+def answers_match(predicted: Column, truth: Column) -> Column:
+    """Equality of typed answers: numbers exactly, other answers by their normalised text,
+    without symbolic equality; answers of two kinds, or a missing one, do not match."""
+    same = lambda field: predicted[field] == truth[field]
+    return F.coalesce(same("number"), same("text"), F.lit(False))
+
+
 def reward(correct: Column) -> Column:
     return correct.cast("int")
 

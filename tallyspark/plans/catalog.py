@@ -14,11 +14,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyspark.functions import scalars as sc
 from tallyspark.operators import controls, leaks, metrics, stats, training
 from tallyspark.plans import gates
-from tallyspark.sources import readers
+from tallyspark.sources import images, readers, schemas, tensors
 
 KS, SEED_KS, REPLICATES = [1, 8, 16, 64], [1, 8], 200
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,53 +167,82 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 # -- sources and sinks ---------------------------------------------------------
 
+def stored(t: Tables, rows: DataFrame, schema: str, name: str, kind: str = "parquet") -> str:
+    """A file set in the shared folder with the rows in a schema's columns (others null)."""
+    fields = StructType.fromDDL(schema)
+    full = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+    path = f"{readers.shared_path(t.spark, name)}.{kind}"
+    (full.write.option("header", True) if kind == "csv" else full.write).format(kind).save(path)
+    return path
+
+
 @query("src_text", "SELECT doc_id AS problem_id, CASE WHEN doc_id % 5 = 0 THEN 'eval' ELSE 'train' END AS split, text, CAST(n_chars AS DOUBLE) AS answer FROM documents")
 def _(t):
     split = F.when(F.col("doc_id") % 5 == 0, "eval").otherwise("train")
-    return t.documents.select(F.col("doc_id").alias("problem_id"), split.alias("split"), "text", F.col("n_chars").cast("double").alias("answer"))
+    rows = t.documents.select(F.col("doc_id").alias("problem_id"), split.alias("split"), "text", F.col("n_chars").alias("answer"))
+    loaded = readers.load_problems(t.spark, stored(t, rows, schemas.PROBLEMS, "problems"))
+    return loaded.select("problem_id", "split", "text", F.col("answer").cast("double").alias("answer"))
 
 
 @query("src_image", "SELECT doc_id AS problem_id, CAST(strlen(text) AS BIGINT) AS image_bytes, md5(text) AS image_md5 FROM documents")
 def _(t):
-    image = F.encode("text", "UTF-8")
-    return t.documents.select(F.col("doc_id").alias("problem_id"), F.octet_length(image).cast("long").alias("image_bytes"), F.md5(image).alias("image_md5"))
+    folder = readers.shared_path(t.spark, "pictures")
+    rows = t.documents.select(F.col("doc_id").alias("problem_id"), F.concat(F.col("doc_id") % 16, F.lit("/p "), "doc_id", F.lit(".img")).alias("image_path"), F.encode("text", "UTF-8").alias("image"))
+    images.write(rows, folder).count()
+    loaded = readers.load_problems(t.spark, stored(t, rows.drop("image"), schemas.PROBLEMS, "problems"), images=folder)
+    return loaded.select("problem_id", "image_bytes", F.md5("image").alias("image_md5"))
 
 
 @query("src_math500", "SELECT p_partkey AS problem_id, p_name AS text, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE p_brand END AS answer_text, p_partkey % 2 = 0 AS numeric_answer FROM part")
 def _(t):
     answer = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_brand"))
-    return t.part.select(F.col("p_partkey").alias("problem_id"), F.col("p_name").alias("text"), answer.alias("answer_text"), sc.normalize_number(answer).isNotNull().alias("numeric_answer"))
+    rows = t.part.select(F.col("p_partkey").alias("problem_id"), F.col("p_name").alias("text"), answer.alias("answer_text"))
+    loaded = readers.load_problems(t.spark, stored(t, rows, schemas.PROBLEMS, "problems", "json"))
+    return loaded.select("problem_id", "text", "answer_text", F.col("typed.number").isNotNull().alias("numeric_answer"))
 
 
 @query("src_samples", "SELECT problem_id, model, condition, coalesce(seed, -1) AS seed, CAST(temperature AS DOUBLE) AS temperature, n_tokens, completion FROM s", S)
 def _(t):
-    return t.samples.select("problem_id", "model", "condition", F.coalesce("seed", F.lit(-1)).alias("seed"), F.col("temperature").cast("double").alias("temperature"), "n_tokens", "completion")
+    folder = readers.shared_path(t.spark, "samples")
+    kept = t.samples.withColumn("sample_idx", F.col("l_linenumber"))
+    readers.write_samples(kept.select(*(f.name for f in StructType.fromDDL(schemas.SAMPLES))), folder)
+    loaded = readers.load_samples(t.spark, folder)
+    return loaded.select("problem_id", "model", "condition", F.coalesce("seed", F.lit(-1)).alias("seed"), F.col("temperature").cast("double").alias("temperature"), "n_tokens", "completion")
 
 
 @query("src_transcripts", "SELECT conv_id AS problem_id, turn AS sample_idx, transcript FROM tr", TR)
 def _(t):
-    return t.transcripts.select(F.col("conv_id").alias("problem_id"), F.col("turn").alias("sample_idx"), "transcript")
+    rows = t.transcripts.select(F.col("conv_id").alias("problem_id"), F.col("turn").alias("sample_idx"), "transcript")
+    loaded = readers.load_transcriptions(t.spark, stored(t, rows, schemas.TRANSCRIPTIONS, "transcriptions", "json"))
+    return loaded.select("problem_id", F.col("sample_idx").cast("long").alias("sample_idx"), "transcript")
 
 
 @query("src_weights", "SELECT phase, count(*) AS n_params, count(DISTINCT digest) AS n_digests FROM (SELECT 'before' AS phase, md5(p_name || '|' || p_brand || '|' || p_size) AS digest FROM part UNION ALL SELECT 'after', md5(p_name || '|' || p_brand || '|' || CASE WHEN p_partkey % 50 = 0 THEN 'edited' ELSE CAST(p_size AS VARCHAR) END) FROM part WHERE p_partkey % 97 <> 3) GROUP BY phase")
 def _(t):
-    return t.weights.groupBy("phase").agg(F.count("*").alias("n_params"), F.countDistinct("digest").alias("n_digests"))
+    folder = readers.shared_path(t.spark, "state-dicts")
+    data = lambda edited: F.encode(F.concat_ws("|", "p_name", "p_brand", F.when(edited, F.lit("edited")).otherwise(F.col("p_size").cast("string"))), "UTF-8")
+    row = lambda edited: (F.pmod("p_partkey", F.lit(8)).alias("file"), F.concat_ws(".", "p_type", F.col("p_partkey").cast("string")).alias("param_key"), data(edited).alias("data"))
+    tensors.write(t.part.select(*row(F.lit(False))), f"{folder}/before").count()
+    tensors.write(t.part.where("p_partkey % 97 <> 3").select(*row(F.col("p_partkey") % 50 == 0)), f"{folder}/after").count()
+    both = tensors.manifest(t.spark, f"{folder}/before", "before").unionByName(tensors.manifest(t.spark, f"{folder}/after", "after"))
+    return both.groupBy("phase").agg(F.count("*").alias("n_params"), F.countDistinct("digest").alias("n_digests"))
 
 
 @query("src_ckpt", "SELECT seed, step, pass1 FROM ck", CK)
 def _(t):
-    return t.checkpoints
+    return readers.load_checkpoints(t.spark, stored(t, t.checkpoints, schemas.CHECKPOINTS, "checkpoints", "orc")).select("seed", "step", "pass1")
 
 
 @query("src_config", "SELECT event_id AS run_id, json_extract_string(props, '$.k') AS k, CAST(len(json_keys(props)) AS INTEGER) AS n_settings FROM events")
 def _(t):
-    settings = F.from_json("props", "map<string,string>")
-    return t.events.select(F.col("event_id").alias("run_id"), settings["k"].alias("k"), F.size(settings).alias("n_settings"))
+    rows = t.events.select(F.col("event_id").cast("string").alias("run_id"), F.from_json("props", "map<string,string>").alias("settings"))
+    loaded = readers.load_config(t.spark, stored(t, rows, schemas.CONFIG, "config", "json"))
+    return loaded.select(F.col("run_id").cast("long").alias("run_id"), F.col("settings")["k"].alias("k"), F.size("settings").alias("n_settings"))
 
 
 @query("src_reviews", "SELECT doc_id AS sample_id, CASE WHEN quality = 0 THEN 'spurious' ELSE 'sound' END AS verdict FROM labels")
 def _(t):
-    return t.reviews
+    return readers.load_reviews(t.spark, stored(t, t.reviews, schemas.REVIEWS, "reviews", "csv")).select("sample_id", "verdict")
 
 
 @query("snk_report", f"SELECT model, condition, k, round(avg(p), 6) AS pass_at_k, count(p) AS n_problems FROM (SELECT *, {passk()} AS p FROM nc, (SELECT unnest([1, 8]) AS k)) GROUP BY ALL", S, "nc AS (SELECT model, condition, problem_id, count(*) AS n, count(*) FILTER (correct) AS c FROM s GROUP BY ALL)")
@@ -242,6 +272,18 @@ def _(t):
     return t.samples.groupBy("model", "condition").agg(F.count("*").alias("n"), F.count_if(match).alias("matched"))
 
 
+TYPED = "regexp_replace(regexp_replace({0}, '\\\\text\\{{([^{{}}]*)\\}}', '\\1'), '\\$|\\s+', '', 'g')"
+
+
+@query("sc_match_typed", f"SELECT p_partkey AS problem_id, CASE WHEN p_partkey % 4 = 0 THEN {TYPED.format('p_brand')} = {TYPED.format('p_type')} ELSE true END AS matched FROM part")
+def _(t):
+    """Text answers and numbers, boxed, against the truth as it is written elsewhere."""
+    kind = F.col("p_partkey") % 4
+    said = F.when(kind == 0, F.concat(F.lit("so \\boxed{"), "p_brand", F.lit("}"))).when(kind == 1, F.concat(F.lit("\\boxed{ \\text{"), "p_type", F.lit("} }."))).when(kind == 2, F.concat(F.lit("#### "), F.col("p_size").cast("string"), F.lit(".00"))).otherwise(F.format_string("\\boxed{%,d}", F.col("p_partkey") * 1000))
+    truth = F.when(kind.isin(0, 1), F.concat(F.lit("$"), "p_type", F.lit("$"))).when(kind == 2, F.col("p_size").cast("string")).otherwise((F.col("p_partkey") * 1000).cast("string"))
+    return t.part.select(F.col("p_partkey").alias("problem_id"), sc.answers_match(sc.typed_answer(sc.extract_boxed(said)), sc.typed_answer(truth)).alias("matched"))
+
+
 @query("sc_reward", f"SELECT {ROW}, CAST(correct AS INTEGER) AS reward FROM s", S)
 def _(t):
     return t.samples.select(*_row, sc.reward(F.col("correct")).alias("reward"))

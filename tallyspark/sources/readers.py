@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions.scalars import typed_answer
+from tallyspark.sources import images as pictures
 from tallyspark.sources import schemas
 
 _OWN: list[str] = []
@@ -24,17 +26,31 @@ def _load(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return reader.option("header", True).csv(path) if kind == "csv" else reader.format(kind).load(path)
 
 
-def load_problems(spark: SparkSession, path: str, images: bool = False, split: str | None = None) -> DataFrame:
-    """Problems; without ``images`` the binary column is never read."""
+def load_problems(spark: SparkSession, path: str, images: bool | str = False, split: str | None = None) -> DataFrame:
+    """Problems with their typed answer (``scalars.typed_answer``): ``answer_text`` where it
+    is given, else the number ``answer``.
+
+    ``images`` True: the pictures of the table's own binary column; a folder: the files that
+    ``image_path`` names there; False: no picture is ever read."""
     df = _load(spark, path, schemas.PROBLEMS)
-    df = df if images else df.drop("image")
-    return df.where(F.col("split") == split) if split else df
+    df = df if images is True else df.drop("image")
+    df = df.where(F.col("split") == split) if split else df
+    df = df.withColumn("typed", typed_answer(F.coalesce("answer_text", F.col("answer").cast("string"))))
+    return pictures.join(df, pictures.load(spark, images)) if isinstance(images, str) else df
 
 
 def load_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Samples in one table, or in the layout of ``write_samples``: there filters and joins
+    on model and condition read the matching folders alone."""
     return _load(spark, path, schemas.SAMPLES)
 
 
+def write_samples(samples: DataFrame, path: str) -> None:
+    """Samples in folders by model and condition.  Each folder's rows stay in as many files
+    as tasks that have some, so a large condition is written by many tasks."""
+    samples.write.partitionBy("model", "condition").parquet(path)
+
+
 def load_transcriptions(spark: SparkSession, path: str) -> DataFrame:
     return _load(spark, path, schemas.TRANSCRIPTIONS)
 

@@ -62,3 +62,17 @@ def test_normalization_keeps_numbers(spark):
     df = spark.createDataFrame([("  It's -3.5,  OR so! ", "its -3.5 or so"), (None, "x")], "a string, b string")
     got = df.select(*(c.alias(str(i)) for i, c in enumerate(sc.transcription_match(F.col("a"), F.col("b"))))).collect()
     assert [tuple(r) for r in got] == [(False, True), (False, False)]
+
+
+@pytest.mark.parametrize(
+    ("said", "truth", "matches"),
+    [
+        (r"so \boxed{\dfrac{1}{2}}.", r"$\frac{1}{2}$", True), (r"\boxed{x^{2}+\{1\}}", r"x^{2} + \{1\}", True), (r"\boxed{1,234.50}", "1234.5", True),
+        (r"\boxed{3} then \boxed{\text{Evelyn}}", "Evelyn", True), (r"\boxed{\left( 3, \frac{\pi}{2} \right)}", r"(3,\frac{\pi}{2})", True),
+        ("#### 7", "7.0", True), (r"\boxed{0.5}", r"\frac{1}{2}", False), (r"\boxed{evelyn}", "Evelyn", False), (r"\boxed{}", "1", False), ("no answer", "1", False),
+        (None, "1", False), (r"\boxed{1}", None, False), (r"\boxed{12}", r"12^\circ", False),
+    ],
+)
+def test_typed_answers(spark, said, truth, matches):
+    df = spark.createDataFrame([(said, truth)], "s string, t string")
+    assert df.select(sc.answers_match(sc.typed_answer(sc.extract_boxed(F.col("s"))), sc.typed_answer(F.col("t")))).first()[0] is matches
