@@ -16,13 +16,18 @@ def weight_diff(manifest: DataFrame, key: str = "param_key") -> DataFrame:
     return joined.select(key, F.coalesce("module_b", "module_a").alias("module"), F.col("before").eqNullSafe(F.col("after")).alias("identical"))
 
 
+def half_rates(samples: DataFrame) -> DataFrame:
+    """(problem_id, t, e): the base model's accuracy in text and image mode on samples of
+    even index; null where a mode has none."""
+    half = samples.where("model = 'base' AND sample_idx % 2 = 0")
+    rate = lambda c: F.avg(F.when(F.col("condition") == c, F.col("correct").cast("double")))
+    return half.groupBy("problem_id").agg(rate("T").alias("t"), rate("E").alias("e"))
+
+
 def difficulty_matched(samples: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Problems whose base accuracy in text and image mode is alike; judged on samples of
     even index so that gains measured on the odd ones are not biased by the selection."""
-    half = samples.where("model = 'base' AND sample_idx % 2 = 0")
-    rate = lambda c: F.avg(F.when(F.col("condition") == c, F.col("correct").cast("double")))
-    wide = half.groupBy("problem_id").agg(rate("T").alias("t"), rate("E").alias("e"))
-    return wide.where(F.abs(F.col("t") - F.col("e")) <= tolerance)
+    return half_rates(samples).where(F.abs(F.col("t") - F.col("e")) <= tolerance)
 
 
 def truncation_rates(samples: DataFrame, by: list[str], cap: int = 500) -> DataFrame:

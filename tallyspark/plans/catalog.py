@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyspark.functions import scalars as sc
-from tallyspark.operators import controls, leaks, metrics, stats, training
+from tallyspark.operators import controls, leaks, matching, metrics, stats, training
 from tallyspark.plans import gates
 from tallyspark.sources import images, readers, schemas, tensors
 
@@ -147,7 +147,7 @@ BOOT = f"""idx AS (SELECT problem_id, row_number() OVER (ORDER BY problem_id) -
 def query(name: str, sql: str, *ctes: str):
     def add(f: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        SQL[name] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
+        SQL[name] = (f"WITH {'RECURSIVE ' if any(c.startswith('st(') for c in ctes) else ''}{', '.join(ctes)} " if ctes else "") + sql
         return f
 
     return add
@@ -422,7 +422,20 @@ DM = "dm AS (SELECT problem_id, avg(correct::INT) FILTER (condition = 'T') AS t,
 
 @query("j_difficulty", "SELECT problem_id, round(t, 6) AS t, round(e, 6) AS e FROM dm", S, NUM, DM)
 def _(t):
-    return controls.difficulty_matched(controls.numbered(t.samples)).select("problem_id", r6("t"), r6("e"))
+    return controls.difficulty_matched(controls.numbered(t.chosen("base", "TE"))).select("problem_id", r6("t"), r6("e"))
+
+
+HALF = "half AS (SELECT problem_id, avg(correct::INT) FILTER (condition = 'T') AS t, avg(correct::INT) FILTER (condition = 'E') AS e FROM num WHERE model = 'base' AND sample_idx % 2 = 0 GROUP BY 1)"
+
+
+@query("j_difficulty_pairs", """SELECT lo.problem_id AS left_id, hi.problem_id AS right_id, round(t, 6) AS left_score, round(e, 6) AS right_score FROM st JOIN lo USING (i) JOIN hi USING (j) WHERE abs(t - e) <= 0.05""", S, NUM, HALF,
+  "lo AS (SELECT problem_id, t, row_number() OVER (ORDER BY t, problem_id) AS i FROM half WHERE t IS NOT NULL)", "hi AS (SELECT problem_id, e, row_number() OVER (ORDER BY e, problem_id) AS j FROM half WHERE e IS NOT NULL)",
+  """st(i, j) AS (SELECT 1::BIGINT, 1::BIGINT UNION ALL SELECT st.i + CASE WHEN t - e > 0.05 THEN 0 ELSE 1 END, st.j + CASE WHEN e - t > 0.05 THEN 0 ELSE 1 END FROM st JOIN lo USING (i) JOIN hi USING (j))""")
+def _(t):
+    """Text problems matched 1:1 to image problems of like difficulty for the base model."""
+    half = controls.half_rates(controls.numbered(t.chosen("base", "TE")))
+    pairs = matching.caliper_pairs(half.select(F.col("problem_id").alias("id"), F.col("t").alias("score")), half.select(F.col("problem_id").alias("id"), F.col("e").alias("score")), 0.05)
+    return pairs.select("left_id", "right_id", r6("left_score"), r6("right_score"))
 
 
 @query("j_paraphrase", "SELECT a.problem_id, round(a.r, 6) AS original, round(b.r, 6) AS paraphrase FROM (SELECT problem_id, avg(correct::INT) AS r FROM s WHERE condition = 'T' GROUP BY 1) a JOIN (SELECT problem_id, avg(correct::INT) AS r FROM s WHERE condition = 'D' GROUP BY 1) b USING (problem_id)", S)
@@ -590,9 +603,9 @@ def _(t):
 
 @query("ag_difficulty", DELTAS.format("WHERE condition = 'T' AND problem_id IN (SELECT problem_id FROM dm)"), S.replace("s AS (", "s0 AS ("), "s1 AS (SELECT *, row_number() OVER (PARTITION BY model, condition, problem_id ORDER BY l_orderkey, l_linenumber, l_partkey, n_tokens, temperature, correct) - 1 AS sample_idx FROM s0)", DM.replace("FROM num", "FROM s1"), "s AS (SELECT * FROM s1 WHERE model = 'rl' OR sample_idx % 2 = 1)", D1)
 def _(t):
-    numbered = controls.numbered(t.samples)
-    odd = numbered.where("condition = 'T' AND (model = 'rl' OR sample_idx % 2 = 1)")
-    return rounded(metrics.deltas(odd.join(controls.difficulty_matched(numbered).select("problem_id"), "problem_id", "left_semi"), [1]), "delta")
+    base = controls.numbered(t.chosen("base", "TE"))
+    odd = base.where("condition = 'T' AND sample_idx % 2 = 1").drop("sample_idx").unionByName(t.chosen("rl", "T"))
+    return rounded(metrics.deltas(odd.join(controls.difficulty_matched(base).select("problem_id"), "problem_id", "left_semi"), [1]), "delta")
 
 
 @query("ag_paraphrase", DELTAS.format("WHERE condition IN ('P', 'T')"), S.replace("WHEN 'N' THEN 'D'", "WHEN 'N' THEN 'P'"), D1)
