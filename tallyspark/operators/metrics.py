@@ -15,8 +15,9 @@ CELL = ["model", "seed", "condition", "problem_id"]
 
 
 def count_correct(samples: DataFrame, by: list[str], *more: Column) -> DataFrame:
-    """n samples and c correct ones per cell."""
-    return samples.groupBy(*by, *more).agg(F.count("*").alias("n"), F.count_if("correct").alias("c"))
+    """n samples and c correct ones per cell; of samples, or of finer cells (n, c)."""
+    counts = (F.sum("n"), F.sum("c")) if {"n", "c"} <= set(samples.columns) else (F.count("*"), F.count_if("correct"))
+    return samples.groupBy(*by, *more).agg(counts[0].alias("n"), counts[1].alias("c"))
 
 
 def join_truth(samples: DataFrame, problems: DataFrame) -> DataFrame:

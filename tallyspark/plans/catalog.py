@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyspark.functions import scalars as sc
-from tallyspark.operators import controls, leaks, matching, metrics, stats, training
-from tallyspark.plans import gates
+from tallyspark.operators import controls, leaks, matching, metrics, posterior, stats, training
+from tallyspark.plans import gates, report
 from tallyspark.sources import images, readers, schemas, tensors
 
 KS, SEED_KS, REPLICATES = [1, 8, 16, 64], [1, 8], 200
@@ -144,10 +144,14 @@ BOOT = f"""idx AS (SELECT problem_id, row_number() OVER (ORDER BY problem_id) -
   pt AS (SELECT seed, k, metric, avg(x) AS point, count(x) AS n FROM own GROUP BY 1, 2, 3)"""
 
 
-def query(name: str, sql: str, *ctes: str):
+def query(name: str, sql: str | None, *ctes: str):
+    """Register a query with its SQL; None where SQL cannot express it (tests hold those
+    against brute force)."""
+
     def add(f: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        SQL[name] = (f"WITH {'RECURSIVE ' if any(c.startswith('st(') for c in ctes) else ''}{', '.join(ctes)} " if ctes else "") + sql
+        if sql is not None:
+            SQL[name] = (f"WITH {'RECURSIVE ' if any(c.startswith('st(') for c in ctes) else ''}{', '.join(ctes)} " if ctes else "") + sql
         return f
 
     return add
@@ -541,6 +545,11 @@ def _(t):
     return rounded(stats.bayes_intervals(t.samples), "point", "lo", "hi")
 
 
+@query("ag_bayes_exact", None)
+def _(t):
+    return rounded(posterior.exact_intervals(t.samples), "point", "lo", "hi")
+
+
 @query("ag_equiv", "SELECT seed, k, metric, lo <= 0 AND hi >= 0 AS contains_zero, lo >= -0.02 AND hi <= 0.02 AS inside_margin FROM ci WHERE metric IN ('dt', 'dd', 'dp')", S, DC, WIDE, BOOT)
 def _(t):
     return gates.equivalence(metrics.problem_pivot(t.samples, CI_KS), REPLICATES)
@@ -565,6 +574,18 @@ def _(t):
     return rounded(metrics.extrapolate(cells, ["model", "condition"], LARGE), "pass_at_k")
 
 
+@query("ag_extrapolate_ml", None)
+def _(t):
+    by = ["model", "condition"]
+    return rounded(posterior.predicted(posterior.fitted(metrics.count_correct(t.samples, [*by, "problem_id"]), by), by, LARGE), "pass_at_k")
+
+
+@query("ag_extrapolate_check", None)
+def _(t):
+    """pass@64 predicted from 16 samples a problem, against all samples."""
+    return rounded(posterior.extrapolation_check(controls.numbered(t.samples), ["model", "condition"], 16, 64), "predicted", "observed", "error")
+
+
 TRUNC = "round(avg((n_tokens >= 500 AND NOT answered)::INT), 6) AS truncated, round(avg((n_tokens >= 500)::INT), 6) AS at_cap, count(*) AS n"
 
 
@@ -697,6 +718,36 @@ def _(t):
     return t.benchmark.select("item_id", "text").join(leaks.leaked(t.benchmark, t.documents), "item_id", "left_anti")
 
 
+def _figures(name: str, sql: str, columns: str) -> str:
+    key = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in report.KEYS[name]) + ")"
+    return " UNION ALL ".join(f"SELECT '{name}' AS table_name, {key} AS row_key, '{c}' AS figure, CAST({c} AS DOUBLE) AS value FROM ({sql})" for c in columns.split())
+
+
+_with = lambda sql, *ctes: f"WITH {', '.join(ctes)} {sql}"
+_curve = f"SELECT model, condition, k, round(avg(p), 6) AS pass_at_k, count(p) AS n_problems FROM (SELECT *, {passk()} AS p FROM nc, (SELECT unnest({CI_KS}) AS k)) GROUP BY ALL"
+_seed = "SELECT condition, k, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, round(min(delta), 6) AS lo, round(max(delta), 6) AS hi, count(delta) AS n_seeds FROM (SELECT seed, condition, k, avg(d) AS delta FROM d GROUP BY 1, 2, 3) GROUP BY 1, 2"
+REPORT = " UNION ALL ".join((
+    _figures("text_gain", SQL["ag_delta_text"], "delta n_problems"), _figures("pixel_gain", SQL["ag_delta_pixel"], "delta n_problems"),
+    _figures("curves", _with(_curve, S, POOL), "pass_at_k n_problems"), _figures("intervals", SQL["ag_ci"], "point lo hi se n"),
+    _figures("seeds", _with(_seed, S, DC), "mean sd lo hi n_seeds"), _figures("truncation", SQL["ag_trunc"], "truncated at_cap n"),
+    _figures("families", _with("SELECT model_family, seed, condition, k, round(avg(d), 6) AS delta, count(d) AS n_problems FROM d GROUP BY ALL", S, DF_), "delta n_problems"),
+    _figures("transcription", SQL["ag_trans_acc"], "exact normalized n"), _figures("weights", SQL["ag_manip"], "frozen n_changed n_params"),
+    _figures("perception", SQL["ag_percep"], "delta n_problems"), _figures("spurious", SQL["ag_spurious"], "spurious n_reviewed"),
+))
+
+
+@query("report_tables", REPORT)
+def _(t):
+    """All result tables, written, listed and read back."""
+    counts, path = readers.staged_at(report.cells(t.chosen().withColumn("match", F.col("l_partkey") % 2 == 0)), "cells")
+    heard = t.transcripts.select("problem", _heard().alias("heard"), (F.col("turn") % 4).alias("grp"))
+    made = report.tables(counts, heard, t.weights, t.correct_traces, t.reviews, True, tuple(CI_KS), REPLICATES)
+    folder = readers.shared_path(t.spark, "report")
+    report.write(made, folder)
+    readers.delete(t.spark, path)
+    return rounded(report.figures(report.read(t.spark, folder)), "value")
+
+
 @query("gate_report", f"""SELECT 'calibration' AS gate, round(avg(c / n), 6) AS value, 0.01::DOUBLE AS threshold, avg(c / n) BETWEEN 0.01 AND 0.99 AS passed, count(*) AS evidence_n FROM nc WHERE model = 'base'
   UNION ALL SELECT 'truncation', round(avg((n_tokens >= 500 AND NOT answered)::INT), 6), 0.05, avg((n_tokens >= 500 AND NOT answered)::INT) < 0.05, count(*) FROM s
   UNION ALL SELECT 'manipulation', count(*) FILTER (NOT identical), 0, bool_and(identical), count(*) FROM w""", S, POOL, WD)
