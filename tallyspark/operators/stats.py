@@ -53,6 +53,13 @@ def draws(problems: DataFrame, replicates: int) -> DataFrame:
     return each.select(i.alias("i"), F.col("b").cast("short").alias("b")).groupBy("i").agg(F.collect_list("b").alias("drawn"))
 
 
+def gains_at(wide: DataFrame) -> tuple[DataFrame, str]:
+    """``wide`` staged for its readers, dealt out by problem: every row is opened to as many
+    as there are replicates, so few rows are work for all cores."""
+    parts = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged_at(wide.repartition(parts, "problem_id"), "gains")
+
+
 def weighted(wide: DataFrame, replicates: int) -> tuple[DataFrame, list[str]]:
     """``wide`` with ``drawn``, its problem's replicates and -1, and the tables behind it."""
     problems, path = numbered(wide)
@@ -73,7 +80,7 @@ def totals(wide: DataFrame, metrics: list[str], replicates: int, by: list[str])
 def replicate_means(wide: DataFrame, metrics: list[str], replicates: int, by: list[str] | None = None) -> DataFrame:
     """Mean of each metric in each replicate, per ``by``.  The result, a row per replicate
     and group, is staged; the tables it was made from are deleted."""
-    by, (wide, gains) = by or BY, staged_at(wide, "gains")
+    by, (wide, gains) = by or BY, gains_at(wide)
     means, paths = totals(wide, metrics, replicates, by)
     made, _ = staged_at(means.where("b >= 0").select(*by, "b", *metrics), "replicates")
     delete(wide.sparkSession, gains, *paths)
@@ -87,7 +94,7 @@ def intervals(wide: DataFrame, metrics: list[str], replicates: int = 200, level:
     result has a row per group and metric, whatever the problems and replicates; those rows
     go through the driver, so that nothing is left behind."""
     spark = wide.sparkSession
-    by, (wide, gains) = by or BY, staged_at(wide, "gains")
+    by, (wide, gains) = by or BY, gains_at(wide)
     means, paths = totals(wide, metrics, replicates, by)
     a, value = (1 - level) / 2, {}
     for m in metrics:

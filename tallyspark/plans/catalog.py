@@ -596,7 +596,7 @@ def _(t):
 
 @query("ag_trunc_asym", "SELECT condition, round(rl - base, 6) AS difference, round(sqrt(rl * (1 - rl) / nr + base * (1 - base) / nb), 6) AS se, (rl - base) - 1.96 * sqrt(rl * (1 - rl) / nr + base * (1 - base) / nb) > 0 AS raise_cap FROM (SELECT condition, avg(x) FILTER (model = 'rl') AS rl, avg(x) FILTER (model = 'base') AS base, count(*) FILTER (model = 'rl') AS nr, count(*) FILTER (model = 'base') AS nb FROM (SELECT *, (n_tokens >= 500)::INT AS x FROM s) GROUP BY 1)", S)
 def _(t):
-    return gates.truncation_asymmetry(t.samples)
+    return rounded(gates.truncation_asymmetry(t.samples), "difference", "se")
 
 
 @query("ag_length", "SELECT model, correct, round(avg(n_tokens), 6) AS mean, round(quantile_cont(n_tokens, 0.5), 6) AS median, round(quantile_cont(n_tokens, 0.95), 6) AS p95, count(*) AS n FROM s GROUP BY 1, 2", S)
@@ -606,7 +606,7 @@ def _(t):
 
 @query("ag_phrase", "SELECT role, round(avg((contains(lower(text), 'the'))::INT), 6) AS phrase_rate, round(avg((length(trim(text)) < 20)::INT), 6) AS near_empty, count(*) AS n FROM conversations GROUP BY 1")
 def _(t):
-    return gates.phrase_rates(t.conversations, "the", ["role"])
+    return rounded(gates.phrase_rates(t.conversations, "the", ["role"]), "phrase_rate", "near_empty")
 
 
 @query("ag_trans_acc", f"SELECT turn % 4 AS grp, round(avg(({HEARD} = problem)::INT), 6) AS exact, round(avg(({NORM.format('(' + HEARD + ')')} = {NORM.format('problem')})::INT), 6) AS normalized, count(*) AS n FROM tr GROUP BY 1", TR)
@@ -642,7 +642,7 @@ def _(t):
 
 @query("ag_headroom", f"SELECT model_family, round(p16 - p1, 6) AS headroom, round(p16, 6) AS pass16, p16 - p1 > 0.05 AND p16 > 0.02 AS passed FROM (SELECT model_family, avg({passk(k='1')}) AS p1, avg({passk(k='16')}) AS p16 FROM (SELECT model_family, problem_id, count(*) AS n, count(*) FILTER (correct) AS c FROM s WHERE model = 'base' GROUP BY ALL) GROUP BY 1)", S)
 def _(t):
-    return gates.headroom(t.chosen("base"))
+    return rounded(gates.headroom(t.chosen("base")), "headroom", "pass16")
 
 
 @query("ag_manip", "SELECT module, bool_and(identical) AS frozen, count(*) FILTER (NOT identical) AS n_changed, count(*) AS n_params FROM w GROUP BY 1", WD)
@@ -752,4 +752,4 @@ def _(t):
   UNION ALL SELECT 'truncation', round(avg((n_tokens >= 500 AND NOT answered)::INT), 6), 0.05, avg((n_tokens >= 500 AND NOT answered)::INT) < 0.05, count(*) FROM s
   UNION ALL SELECT 'manipulation', count(*) FILTER (NOT identical), 0, bool_and(identical), count(*) FROM w""", S, POOL, WD)
 def _(t):
-    return gates.report(t.samples, controls.weight_diff(t.weights))
+    return rounded(gates.report(t.samples, controls.weight_diff(t.weights), t.chosen("base")), "value")

@@ -40,12 +40,12 @@ def truncation_asymmetry(samples: DataFrame, cap: int = 500, z: float = 1.96) ->
     rates = samples.groupBy("condition").agg(F.avg(of("rl")).alias("rl"), F.avg(of("base")).alias("base"), F.count(of("rl")).alias("nr"), F.count(of("base")).alias("nb"))
     se = F.sqrt(F.try_divide(F.col("rl") * (1 - F.col("rl")), F.col("nr")) + F.try_divide(F.col("base") * (1 - F.col("base")), F.col("nb")))
     difference = F.col("rl") - F.col("base")
-    return rates.select("condition", F.round(difference, 6).alias("difference"), F.round(se, 6).alias("se"), (difference - z * se > 0).alias("raise_cap"))
+    return rates.select("condition", difference.alias("difference"), se.alias("se"), (difference - z * se > 0).alias("raise_cap"))
 
 
 def phrase_rates(texts: DataFrame, phrase: str, by: list[str], short: int = 20) -> DataFrame:
     """How often a phrase occurs, and how many texts are near-empty."""
-    rate = lambda c: F.round(F.avg(c.cast("int")), 6)
+    rate = lambda c: F.avg(c.cast("int"))
     return texts.groupBy(*by).agg(rate(F.contains(F.lower("text"), F.lit(phrase))).alias("phrase_rate"), rate(F.length(F.trim("text")) < short).alias("near_empty"), F.count("*").alias("n"))
 
 
@@ -55,14 +55,15 @@ def headroom(samples: DataFrame, low_k: int = 1, high_k: int = 16, margin: float
     p = lambda k: F.avg(sc.pass_at_k(F.col("n"), F.col("c"), k))
     rates = cells.groupBy("model_family").agg(p(low_k).alias("p1"), p(high_k).alias("p16"))
     gain = F.col("p16") - F.col("p1")
-    return rates.select("model_family", F.round(gain, 6).alias("headroom"), F.round("p16", 6).alias("pass16"), ((gain > margin) & (F.col("p16") > floor)).alias("passed"))
+    return rates.select("model_family", gain.alias("headroom"), F.col("p16").alias("pass16"), ((gain > margin) & (F.col("p16") > floor)).alias("passed"))
 
 
-def report(samples: DataFrame, weights: DataFrame) -> DataFrame:
-    """The gates that must hold before results are read, a row each."""
-    base = metrics.count_correct(samples.where("model = 'base'"), ["condition", "problem_id"])
+def report(samples: DataFrame, weights: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """The gates that must hold before results are read, a row each.  ``base``: the base
+    model's samples, where the caller can filter them at the scan."""
+    base = metrics.count_correct(samples.where("model = 'base'") if base is None else base, ["condition", "problem_id"])
     p = F.avg(F.col("c") / F.col("n"))
-    row = lambda gate, df, value, threshold, passed: df.agg(F.lit(gate).alias("gate"), F.round(value, 6).alias("value"), F.lit(float(threshold)).alias("threshold"), passed.alias("passed"), F.count("*").alias("evidence_n"))
+    row = lambda gate, df, value, threshold, passed: df.agg(F.lit(gate).alias("gate"), value.alias("value"), F.lit(float(threshold)).alias("threshold"), passed.alias("passed"), F.count("*").alias("evidence_n"))
     truncated = F.avg(((F.col("n_tokens") >= 500) & ~F.col("answered")).cast("int"))
     changed = F.count_if(~F.col("identical")).cast("double")
     return (
