@@ -54,6 +54,7 @@ class _Parser(HTMLParser):
         self.figure: int | None = None  # index of the first media element of an open figure
         self.open_figure = False
         self.caption: list[str] = []
+        self.endless = -1  # length of the text in which a comment had no end
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -93,6 +94,16 @@ class _Parser(HTMLParser):
             self._add("text", caption, None, None)
         self.open_figure, self.in_caption, self.figure = False, False, None
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A comment that finds no end is looked for once: none after it finds one either."""
+        comment = self.rawdata.startswith("<!--", i)
+        if comment and self.endless == len(self.rawdata):
+            return -1
+        end = super().parse_html_declaration(i)
+        if comment and end < 0:
+            self.endless = len(self.rawdata)
+        return end
+
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """Marked sections are comments up to the next ">", as browsers read them."""
         return self.rawdata.find(">", i) + 1 or -1
@@ -112,14 +123,22 @@ class _Parser(HTMLParser):
             (self.caption if self.in_caption else self.text).append(data)
 
 
+def _closed(source: str) -> str:
+    """What follows the last ">" with each "<" spelled out: no tag can end there, and one
+    look at each would read to the end."""
+    at = source.rfind(">") + 1
+    return source[:at] + source[at:].replace("<", "&lt;")
+
+
 def parse(source: str | None) -> list[dict]:
     """Ordered elements of one HTML text.  Broken mark-up never fails: end tags may be
-    missing, marked sections are comments, what looks like no tag is text.  Text inside
+    missing, marked sections are comments, what looks like no tag is text, also a tag or
+    comment that never ends; time is in proportion to the length.  Text inside
     script, style and title is none of the page's; a title that never closes is no title."""
     source, parser = source or "", _Parser()
     if len(_TITLE.findall(source)) > source.lower().count("</title"):
         source = _TITLE.sub(" ", source)
-    parser.feed(source)
+    parser.feed(_closed(source))
     parser.close()
     parser.close_figure()
     parser.flush()

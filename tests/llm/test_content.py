@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -257,3 +258,12 @@ def test_very_long_texts(spark):
     labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
     scores = [x["score"] for x in toxicity.score(docs, toxicity.fit(docs, labels)).where("doc_id = 5000").collect()]
     assert len(scores) == 2 and scores[0] == scores[1] > 0.5
+
+
+@pytest.mark.parametrize("page", ["<!--" * 1_000_000, "<a " * 1_300_000, '<a b="' * 600_000, "</" * 2_000_000, "<!--" * 1_000_000 + ">", '<a b="' * 600_001 + ">", "<a " * 1_300_000 + ">"])
+def test_unclosed_markup_takes_linear_time(page):
+    """4 MB of each: seconds, where it took hours when every mark was looked at to the end."""
+    began = time.process_time()
+    found = media.parse("before <p>" + page)
+    assert time.process_time() - began < 30
+    assert found[0]["text"].startswith("before")
