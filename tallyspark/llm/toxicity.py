@@ -1,19 +1,25 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max index.
 
-Examples are at most ``max_examples`` labelled rows, taken in hash order.  Terms are
-words, word beginnings, and beginnings shared by several distinct words; the ones whose presence in the examples goes
-with the label (likelihood ratio of at least ``min_ratio``, ``max_terms`` at most)
-span the vector space.  Document frequencies are counted over all documents.
+Examples are at most ``max_examples`` labelled rows, taken in hash order.  Every word of
+the examples is a term; a word's weight is TF-IDF times its association with the label
+(its likelihood ratio in the examples, saturating at ``min_ratio``), so no word is left
+out, and words that say nothing of the label weigh little.  Word beginnings, and beginnings
+shared by several distinct words, are terms too where they reach ``min_ratio``
+(``max_terms`` at most; a word beyond these stays a term by itself).  Document frequencies
+are counted over all documents.
 
 The inverted index cuts each term's postings into blocks of examples and keeps the
 largest weight of each block.  A query adds up its terms' block maxima, visits blocks
-from the highest sum down and stops at the first that cannot reach its k-th best, so
-the k nearest examples are exact.  Their labels vote with their cosine; the vote is
-shrunk towards the base rate, which calibrates scores of documents with weak
-neighbours.  A document without any term has no neighbour and scores the rate of the
-examples without terms.  All voting neighbours are returned as the evidence.
+from the highest sum down and stops at the first that cannot reach its k-th best.  Where
+more than ``VISITS`` blocks can reach it, or no term goes with the label by ``min_ratio``
+(such bounds hardly differ), all postings of the query's terms are added up instead.
+Either way the k nearest examples are exact.  Their labels vote with their cosine; the vote is
+shrunk towards the rate of the examples (of those without a term that goes with the label,
+where the document has none), which calibrates scores of documents with weak neighbours.
+A document without any word of an example has no neighbour and scores the latter rate.  All voting neighbours are returned as the evidence.
 
-Everything broadcast is bounded by max_examples and max_terms.
+What is broadcast are the distinct words of at most max_examples texts, as 64-bit hashes,
+and their postings.
 
 Null and empty texts: as documents without terms.  Very long texts count whole, and
 very long words by their beginning and a hash.  No usable labels: score 0
@@ -39,8 +45,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import storage
 
-MAX_EXAMPLES, MAX_TERMS, MIN_RATIO, MIN_DF = 8192, 2048, 24.0, 5
-NEIGHBOURS, SHRINK, POWER, BLOCK = 15, 0.5, 2.0, 32
+MAX_EXAMPLES, MAX_TERMS, MIN_RATIO, MIN_DF = 4096, 2048, 24.0, 5
+NEIGHBOURS, SHRINK, POWER, BLOCK, VISITS = 15, 0.5, 2.0, 32, 12
+FLOOR, SLOPE = 0.02, 2.0  # association of a word that says nothing; steepness up to 1
 PREFIXES, LEVELS = range(3, 8), (2, 3, 4, 6)
 _WORD = re.compile(r"\w+")
 _DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"  # scripts without spaces
@@ -87,21 +94,22 @@ class _Terms(dict):
         super().__init__()
         self.vocabulary = vocabulary
         self.bases = set(vocabulary) | {f.partition("*")[0] + "*" for f in vocabulary if "*" in f}
+        self.starts = {f[: PREFIXES[0]] for f in self.bases if f[-1] == "*"}
 
     def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) >= 150_000:
             self.clear()
-        value = self[word] = tuple(f for f in features(word) if f in self.bases)
+        plain = len(word) <= 64 and word not in self.bases and word[: PREFIXES[0]] not in self.starts
+        value = self[word] = () if plain else tuple(f for f in features(word) if f in self.bases)
         return value
 
 
-def term_counts(text: str | None, terms: _Terms) -> dict[int, int]:
-    """Term number -> occurrences; 1 for a beginning that several words share."""
-    words = words_of(text)
-    hit = [w for w in set(words) if terms[w]]
+def associated(times: Counter, terms: _Terms) -> dict[int, int]:
+    """Vocabulary number -> occurrences; 1 for a beginning that several words share."""
+    hit = [w for w in times if terms[w]]
     if not hit:
         return {}
-    times, number = Counter(words), terms.vocabulary
+    number = terms.vocabulary
     occurrences, distinct = Counter(), Counter()
     for w in hit:
         for f in terms[w]:
@@ -114,6 +122,44 @@ def term_counts(text: str | None, terms: _Terms) -> dict[int, int]:
     return out
 
 
+def hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+
+
+def term_counts(text: str | None, terms: _Terms, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers, ascending, and occurrences: the vocabulary's, then those of ``words``,
+    the sorted hashes of the examples' other words."""
+    times = Counter(words_of(text))
+    some = associated(times, terms)
+    first = sorted(some)
+    t, n = np.array(first, np.int64), np.array([some[i] for i in first], np.int64)
+    if not times or not len(words):
+        return t, n
+    own = hashes(list(times))
+    at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+    known = np.flatnonzero(words[at] == own)
+    known = known[np.argsort(at[known])]
+    occurrences = np.fromiter(times.values(), np.int64, len(times))
+    return np.concatenate([t, at[known] + len(terms.vocabulary)]), np.concatenate([n, occurrences[known]])
+
+
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """Of words in ``b`` of n examples, ``a`` of them toxic, against the label."""
+    out = np.zeros(len(b))
+    for observed, share, total in ((a, b / n, n_toxic), (b - a, b / n, n - n_toxic), (n_toxic - a, 1 - b / n, n_toxic), (n - n_toxic - b + a, 1 - b / n, n - n_toxic)):
+        some = (observed > 0) & (share > 0)
+        out[some] += 2 * observed[some] * np.log(observed[some] / (share[some] * total))
+    return np.maximum(out, 0)
+
+
+def _sums(start: np.ndarray, place: np.ndarray, value: np.ndarray, t: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
+    """Sum of w times the listed values of each t, by place."""
+    lo = start[t]
+    n = start[t + 1] - lo
+    at = np.repeat(lo - (n.cumsum() - n), n) + np.arange(n.sum())
+    return np.bincount(place[at], value[at] * np.repeat(w, n), size)
+
+
 @dataclass
 class Index:
     """Unit TF-IDF vectors of the examples as block-max postings."""
@@ -123,55 +169,83 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     base_rate: float
-    bare_rate: float  # of examples without terms
-    pointers: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))
+    bare_rate: float  # of examples without a term that goes with the label
+    words: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # hashes, numbered after the vocabulary
+    association: np.ndarray | float = 1.0
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of a term's postings
     postings: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
-    maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    tops: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of a term's blocks
+    blocks: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    maxima: np.ndarray = field(default_factory=lambda: np.empty(0))
+    rows: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of an example's terms
+    terms: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    values: np.ndarray = field(default_factory=lambda: np.empty(0))
+
+    def unit(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(n)) * self.idf[t] * (self.association[t] if isinstance(self.association, np.ndarray) else self.association)
+        norm = np.sqrt((w * w).sum())
+        return t, w / norm if norm else w
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[i] for i in t.tolist()], float))) * self.idf[t]
-        norm = np.sqrt((w * w).sum())
-        return t, w / norm if norm else w
+        return self.unit(t, np.array([counts[i] for i in t.tolist()], float))
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        n_terms, blocks = len(self.idf), -(-len(vectors) // BLOCK)
-        owner = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        size, n_blocks = len(self.idf), -(-len(vectors) // BLOCK)
+        lengths = np.array([len(t) for t, _ in vectors], np.int64)
+        owner = np.repeat(np.arange(len(vectors)), lengths)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        self.values = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        self.terms, self.rows = term, np.concatenate([[0], lengths.cumsum()])
         order = np.lexsort((owner, term))
-        self.postings, self.weights = owner[order], weight[order]
-        cell = term[order] * blocks + self.postings // BLOCK
-        self.pointers = np.searchsorted(cell, np.arange(n_terms * blocks + 1))
-        self.maxima = np.zeros(n_terms * blocks)
-        np.maximum.at(self.maxima, cell, self.weights)
-        self.maxima = self.maxima.reshape(n_terms, blocks)
+        self.postings, self.weights = owner[order], self.values[order]
+        self.starts = np.searchsorted(term[order], np.arange(size + 1))
+        cell = term[order] * n_blocks + self.postings // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.maxima = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
+        self.blocks = cell[first] % max(1, n_blocks)
+        self.tops = np.searchsorted(cell[first] // max(1, n_blocks), np.arange(size + 1))
+
+    def _visit(self, b: int, query: np.ndarray) -> np.ndarray:
+        """Cosines of a block's examples."""
+        rows = self.rows[b * BLOCK : (b + 1) * BLOCK + 1]
+        lo, hi = rows[0], rows[-1]
+        return np.bincount(np.repeat(np.arange(len(rows) - 1), np.diff(rows)), query[self.terms[lo:hi]] * self.values[lo:hi], len(rows) - 1)
+
+    def _all(self, t: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """``nearest`` by all postings of the terms."""
+        score = np.round(_sums(self.starts, self.postings, self.weights, t, w, len(self.rows) - 1), 12)
+        top = np.flatnonzero((score > 0) & (score >= (np.partition(score, -k)[-k] if len(score) > k else 0)))
+        return sorted(zip(score[top].tolist(), top.tolist()), key=lambda x: (-x[0], x[1]))[:k]
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples of highest cosine (over 0), ties to the lower position."""
-        blocks = self.maxima.shape[1]
-        bound = (self.maxima[t] * w[:, None]).sum(axis=0)
+        if self.vocabulary and len(t) and t[0] >= len(self.vocabulary):
+            return self._all(t, w, k)
+        bound = _sums(self.tops, self.blocks, self.maxima, t, w, -(-(len(self.rows) - 1) // BLOCK))
+        query = np.zeros(len(self.idf))
+        query[t] = w
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] + 1e-9 < -best[-1][0]):
+        for visited, b in enumerate(np.argsort(-bound, kind="stable").tolist()):
+            least = -best[-1][0] - 1e-9 if len(best) == k else 0.0
+            if bound[b] <= 0 or bound[b] < least:
                 break
-            score = np.zeros(BLOCK)
-            for i, x in zip(t.tolist(), w.tolist()):
-                lo, hi = self.pointers[i * blocks + b], self.pointers[i * blocks + b + 1]
-                if hi > lo:
-                    score[self.postings[lo:hi] - b * BLOCK] += x * self.weights[lo:hi]
-            best += [(-round(float(score[i]), 12), b * BLOCK + i) for i in np.flatnonzero(score > 0).tolist()]
+            if visited == 2 and (bound >= least).sum() > VISITS:
+                return self._all(t, w, k)
+            score = np.round(self._visit(b, query), 12)
+            best += [(-float(score[i]), b * BLOCK + i) for i in np.flatnonzero(score > 0).tolist()]
             best.sort()
             del best[k:]
         return [(-s, i) for s, i in best]
 
-    def score(self, counts: dict[int, int], k: int = NEIGHBOURS) -> tuple[float, list[tuple[int, float, int]]]:
-        if not counts:
+    def score(self, t: np.ndarray, n: np.ndarray, k: int = NEIGHBOURS) -> tuple[float, list[tuple[int, float, int]]]:
+        near = self.nearest(*self.unit(t, n), k) if len(t) else []
+        if not near:
             return self.bare_rate, []
-        near = self.nearest(*self.vector(counts), k)
         votes = [(s**POWER, int(self.labels[i])) for s, i in near]
-        value = (sum(v * y for v, y in votes) + SHRINK * self.base_rate) / (sum(v for v, _ in votes) + SHRINK)
+        prior = self.base_rate if t[0] < len(self.vocabulary) else self.bare_rate
+        value = (sum(v * y for v, y in votes) + SHRINK * prior) / (sum(v for v, _ in votes) + SHRINK)
         return value, [(int(self.ids[i]), s, int(self.labels[i])) for s, i in near]
 
 
@@ -226,39 +300,63 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     if not n_toxic or n_toxic == n:
         return Index({}, np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), base, base)
     vocabulary = _select_terms(examples, n, n_toxic, min_ratio, max_terms)
-    size = len(vocabulary)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Terms(vocabulary)
+        for batch in batches:
+            found, words, times = [], [], []
+            for text in batch.column("text").to_pylist():
+                seen = Counter(words_of(text))
+                found.append(associated(seen, terms))
+                rest = [w for w in seen if features(w)[0] not in vocabulary]
+                words.append(hashes(rest).view(np.int64))
+                times.append([seen[w] for w in rest])
+            arrays = [batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "toxic", "terms", "counts", "words", "times"])
+
+    # max_examples rows
+    table = examples.select("doc_id", "toxic", "text").mapInArrow(read, "doc_id long, toxic int, terms array<int>, counts array<long>, words array<long>, times array<long>").toArrow().combine_chunks()
+    ids, labelled = (table.column(c).to_numpy() for c in ("doc_id", "toxic"))
+
+    def lists(name: str) -> list[np.ndarray]:
+        column = table.column(name).combine_chunks()
+        offsets = column.offsets.to_numpy()
+        return np.split(column.values.to_numpy(), offsets[1:-1])
+
+    own = lists("words")
+    words, codes = np.unique(np.concatenate(own).view(np.uint64), return_inverse=True)
+    ends = np.cumsum([0, *map(len, own)])
+    toxic = np.repeat(labelled, np.diff(ends))
+    ratio = likelihood_ratio(np.bincount(codes, toxic, len(words)), np.bincount(codes, minlength=len(words)), n, n_toxic)
+    association = np.concatenate([np.ones(len(vocabulary)), FLOOR + (1 - FLOOR) * (ratio / (ratio + min_ratio)) ** SLOPE])
+    size = len(association)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, df, rows = _Terms(vocabulary), np.zeros(size, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 rows += 1
-                for t in term_counts(text, terms):
-                    df[t] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*range(size), -1], pa.int32()), pa.array([*df.tolist(), rows], pa.int64())], names=["term", "n"])
-
-    counted = dict(tuple(r) for r in docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect())  # max_terms + 1 rows
-    total = counted.get(-1, 0)
-    idf = np.log((total + 1) / (np.array([counted.get(t, 0) for t in range(size)], float) + 1)) + 1
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms(vocabulary)
-        for batch in batches:
-            found = [term_counts(t, terms) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms", "counts"])
-
-    rows = examples.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<long>").collect()  # max_examples rows
-    bare = [r["toxic"] for r in rows if not r["terms"]]
-    index = Index(vocabulary, idf, np.empty(0, np.int64), np.empty(0, np.int64), base, (sum(bare) + base) / (len(bare) + 1))
-    with_terms = []
-    for r in rows:
-        if r["terms"]:
-            t, w = index.vector(dict(zip(r["terms"], r["counts"])))
-            with_terms.append((int(t[w.argmax()]), r["doc_id"], r["toxic"], t, w))
-    with_terms.sort(key=lambda x: x[:2])  # alike examples share blocks
-    index.ids = np.array([x[1] for x in with_terms], np.int64)
-    index.labels = np.array([x[2] for x in with_terms], np.int64)
-    index.build([x[3:] for x in with_terms])
+                df[term_counts(text, terms, words)[0]] += 1
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(df[seen], rows), pa.int64())], names=["term", "n"])
+
+    counted = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the examples
+    df = np.zeros(size + 1)  # the last place holds the documents
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+
+    index = Index(vocabulary, idf, ids, labelled, base, base, words, association)
+    vectors = []
+    for t, c, h, m in zip(lists("terms"), lists("counts"), np.split(codes, ends[1:-1]), lists("times")):
+        t, c = np.concatenate([t, h + len(vocabulary)]).astype(np.int64), np.concatenate([c, m])
+        order = np.argsort(t)
+        vectors.append(index.unit(t[order], c[order]))
+    bare = [y for y, (t, _) in zip(labelled.tolist(), vectors) if not len(t) or t[0] >= len(vocabulary)]
+    index.bare_rate = (sum(bare) + base) / (len(bare) + 1)
+    chosen = [i for i, (t, _) in enumerate(vectors) if len(t)]
+    chosen.sort(key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), ids[i]))  # alike examples share blocks
+    index.ids, index.labels = ids[chosen], labelled[chosen]
+    index.build([vectors[i] for i in chosen])
     return index
 
 
@@ -269,12 +367,12 @@ class Scorer:
         self.index, self.k, self.terms, self.known = index, k, _Terms(index.vocabulary), {}
 
     def __call__(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
-        counts = term_counts(text, self.terms)
-        mark = tuple(sorted(counts.items()))
+        t, n = term_counts(text, self.terms, self.index.words)
+        mark = xxhash.xxh3_128_digest(t.tobytes() + n.tobytes())
         if mark not in self.known:
             if len(self.known) > 5_000:
                 self.known.clear()
-            self.known[mark] = self.index.score(counts, self.k)
+            self.known[mark] = self.index.score(t, n, self.k)
         return self.known[mark]
 
 

@@ -59,6 +59,42 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 300 + 2
 
 
+def test_both_ways_of_the_search_agree():
+    """Visited blocks, all postings, and a dense product give the same neighbours."""
+    r = np.random.default_rng(9)
+    index = toxicity.Index({f"v{i}": i for i in range(10)}, r.random(400) + 1, np.arange(500), np.zeros(500, np.int64), 0.1, 0.1)
+    vectors = [index.vector({int(t): int(c) for t, c in zip(r.choice(400, 30, False), r.integers(1, 6, 30))}) for _ in range(500)]
+    index.build(vectors)
+    dense = np.zeros((500, 400))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for low in (0, 10):
+        for size in (1, 3, 40):
+            t, w = index.vector({int(t): 1 for t in r.choice(np.arange(low, 400), size, False)})
+            scores = np.round(dense[:, t] @ w, 12)
+            best = sorted(((-s, i) for i, s in enumerate(scores.tolist()) if s > 0))[:7]
+            assert [i for _, i in index.nearest(t, w, 7)] == [i for _, i in best] == [i for _, i in index._all(t, w, 7)]
+    assert index.nearest(np.empty(0, np.int64), np.empty(0), 7) == []
+
+
+def test_words_below_the_gate_still_have_neighbours(spark):
+    """Rude words of four examples each go with no label by the ratio, yet their holders
+    are compared, and copies of an example find it first."""
+    r = random.Random(3)
+    rude = [f"zq{c}x" for c in "abcdefgh"]
+    rows = [(i, say(r, 12) + (f" {rude[i % 8]}" * 3 if i < 32 else ""), int(i < 32)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(docs, labels)
+    found = {x["doc_id"]: x for x in toxicity.score(docs, index).collect()}
+    assert all(x["evidence"] for x in found.values())
+    for i in index.ids.tolist():
+        assert found[1000 + i]["evidence"][0]["similarity"] > 1 - 1e-9 and found[i]["score"] == found[1000 + i]["score"]
+    assert not any(w in index.vocabulary for w in rude)
+    mean = lambda ids: sum(found[i]["score"] for i in ids) / len(ids)
+    assert mean(range(32)) > 2 * mean(range(32, 300))
+
+
 def test_toxicity_without_labels(spark, empty):
     docs = spark.createDataFrame([(1, "vile text")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
