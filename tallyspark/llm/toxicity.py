@@ -55,11 +55,20 @@ _UNSPACED, _PIECES = re.compile(f"[{_DENSE}]"), re.compile(f"[{_DENSE}]+|[^{_DEN
 SCORES = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
 
 
+def _latin(text: str) -> bool:
+    """Whether no character can be of a script without spaces, without a look at each."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-case words; scripts written without spaces in pairs of characters."""
     text = (text or "").lower()
     words = _WORD.findall(text)
-    if text.isascii() or not _UNSPACED.search(text):
+    if _latin(text) or not _UNSPACED.search(text):
         return words
     out = []
     for piece in (p for w in words for p in _PIECES.findall(w)):
@@ -99,14 +108,18 @@ class _Terms(dict):
     def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) >= 150_000:
             self.clear()
-        plain = len(word) <= 64 and word not in self.bases and word[: PREFIXES[0]] not in self.starts
-        value = self[word] = () if plain else tuple(f for f in features(word) if f in self.bases)
+        value = self[word] = tuple(f for f in features(word) if f in self.bases)
         return value
 
+    def among(self, words: Counter) -> list[str]:
+        """Those of ``words`` that have features here."""
+        bases, starts, n = self.bases, self.starts, PREFIXES[0]
+        return [w for w in words if (w[:n] in starts or w in bases or len(w) > 64) and self[w]]
+
 
 def associated(times: Counter, terms: _Terms) -> dict[int, int]:
     """Vocabulary number -> occurrences; 1 for a beginning that several words share."""
-    hit = [w for w in times if terms[w]]
+    hit = terms.among(times)
     if not hit:
         return {}
     number = terms.vocabulary
@@ -154,6 +167,8 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, n: int, n_toxic: int) -> np.n
 
 def _sums(start: np.ndarray, place: np.ndarray, value: np.ndarray, t: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
     """Sum of w times the listed values of each t, by place."""
+    if not len(t):
+        return np.zeros(size)
     lo = start[t]
     n = start[t + 1] - lo
     at = np.repeat(lo - (n.cumsum() - n), n) + np.arange(n.sum())
@@ -239,14 +254,15 @@ class Index:
             del best[k:]
         return [(-s, i) for s, i in best]
 
-    def score(self, t: np.ndarray, n: np.ndarray, k: int = NEIGHBOURS) -> tuple[float, list[tuple[int, float, int]]]:
+    def score(self, t: np.ndarray, n: np.ndarray, k: int = NEIGHBOURS) -> tuple[float, np.ndarray, np.ndarray]:
+        """The score, and positions and cosines of the neighbours that voted."""
         near = self.nearest(*self.unit(t, n), k) if len(t) else []
+        place, cosine = np.array([i for _, i in near], np.int64), np.array([s for s, _ in near], float)
         if not near:
-            return self.bare_rate, []
-        votes = [(s**POWER, int(self.labels[i])) for s, i in near]
+            return self.bare_rate, place, cosine
         prior = self.base_rate if t[0] < len(self.vocabulary) else self.bare_rate
-        value = (sum(v * y for v, y in votes) + SHRINK * prior) / (sum(v for v, _ in votes) + SHRINK)
-        return value, [(int(self.ids[i]), s, int(self.labels[i])) for s, i in near]
+        votes = cosine**POWER
+        return float((votes @ self.labels[place] + SHRINK * prior) / (votes.sum() + SHRINK)), place, cosine
 
 
 def _examples(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
@@ -366,7 +382,7 @@ class Scorer:
     def __init__(self, index: Index, k: int = NEIGHBOURS):
         self.index, self.k, self.terms, self.known = index, k, _Terms(index.vocabulary), {}
 
-    def __call__(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
+    def __call__(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
         t, n = term_counts(text, self.terms, self.index.words)
         mark = xxhash.xxh3_128_digest(t.tobytes() + n.tobytes())
         if mark not in self.known:
@@ -381,12 +397,15 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(index, k)
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             found = [scorer(t) for t in batch.column("text").to_pylist()]
-            values = [s for s, _ in found]
-            evidence = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in e] for _, e in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(values, pa.float64()), pa.array([int(s >= 0.5) for s in values], pa.int32()), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
+            values = [s for s, _, _ in found]
+            place = np.concatenate([np.empty(0, np.int64), *(p for _, p, _ in found)])
+            cosine = np.concatenate([np.empty(0), *(c for _, _, c in found)])
+            ends = np.cumsum([0, *(len(p) for _, p, _ in found)])
+            near = pa.StructArray.from_arrays([pa.array(index.ids[place], pa.int64()), pa.array(cosine), pa.array(index.labels[place], pa.int32())], names=["doc_id", "similarity", "toxic"])
+            evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(values, pa.float64()), pa.array([int(s >= 0.5) for s in values], pa.int32()), evidence], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
     return rows.mapInArrow(run, SCORES)
