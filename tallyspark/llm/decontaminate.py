@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -40,10 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import storage
-from tallyspark.llm.words import HashCache, gram_hashes, hashes
+from tallyspark.llm.words import HashCache, gram_hashes, hashes, slices
 
 SHINGLE, SIMILARITY, RADIUS, CHUNK = 5, 0.8, 20, 4096
 BLOCKS, WIDTH = 8, 8
+WINDOWS = 65_536  # fingerprinted at once
 _WORD = re.compile(r"\w+")
 _CACHE = HashCache()
 MATCHES = "doc_id long, item_id long, similarity double, start_word long, n_words long, distance int"
@@ -54,6 +55,25 @@ def simhash(shingles: np.ndarray) -> int:
     return int(np.packbits(bits * 2 > len(shingles), bitorder="little").view("<u8")[0])
 
 
+def simhashes(g: np.ndarray, first: np.ndarray, size: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """``simhash`` of each stretch g[first : first + size], ``first`` ascending, by sums
+    over the shingles before; stretches that begin within ``chunk`` share the sums."""
+    out = np.empty(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        to = int(np.searchsorted(first, first[at] + chunk))
+        lo, hi = int(first[at]), int((first[at:to] + size[at:to]).max())
+        bits = np.unpackbits(g[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        before = np.zeros((hi - lo + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, dtype=np.int32, out=before[1:])
+        for a in range(at, to, chunk):
+            own, n = first[a : min(a + chunk, to)] - lo, size[a : min(a + chunk, to)]
+            ones = before[own + n] - before[own]
+            out[a : a + len(own)] = np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        at = to
+    return out
+
+
 def weighted_jaccard(a: Counter, b: Counter) -> float:
     both = sum((a & b).values())
     return both / (a.total() + b.total() - both)
@@ -100,6 +120,7 @@ class ItemIndex:
             prints.append(simhash(g))
         self.short = {n: dict(d) for n, d in self.short.items()}
         self.prints = np.array(prints, np.uint64)
+        self.widths = np.array(self.sizes, np.int64)
         self.lengths = sorted(set(self.sizes))
         known = {s for c in self.shingles for s in c}
         self.known = np.array(sorted(known), np.uint64)
@@ -123,6 +144,24 @@ class ItemIndex:
         ok = distance <= self.radius
         return list(zip(found[ok].tolist(), distance[ok].tolist()))
 
+    def within(self, prints: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``near`` for many windows at once, items of ``sizes`` words only: (window, item
+        position, distance), windows and items ascending."""
+        found = [np.empty((0, 2), np.int64)]
+        for b, (at, items) in enumerate(self.table):
+            value = ((prints >> np.uint64(b * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
+            lo, n = at[value], at[value + 1] - at[value]
+            ends = np.cumsum(n)
+            for x in slices(n, 1 << 18):
+                own = np.repeat(np.arange(*x), n[slice(*x)])
+                item = items[np.arange(len(own)) + np.repeat(lo[slice(*x)] - (ends[slice(*x)] - n[slice(*x)] - (ends[x[0]] - n[x[0]])), n[slice(*x)])]
+                ok = np.flatnonzero(self.widths[item] == sizes[own])
+                own, item = own[ok], item[ok]
+                ok = np.bitwise_count(self.prints[item] ^ prints[own]) <= self.radius
+                found.append(np.column_stack((own[ok], item[ok])))
+        own, item = np.unique(np.concatenate(found), axis=0).T
+        return own, item, np.bitwise_count(self.prints[item] ^ prints[own])
+
     def member(self, g: np.ndarray) -> np.ndarray:
         """Which shingles occur in any item."""
         maybe = self.filter[(g >> np.uint64(64 - self.filter_bits)).astype(np.int64)]
@@ -159,7 +198,8 @@ class ItemIndex:
                 hit[at] = True
                 count = np.concatenate(([0], np.cumsum(hit)))
                 need = 2 * self.similarity / (1 + self.similarity)
-                done = set()
+                windows: list[np.ndarray] = []
+                done, held = set(), 0
                 for n in self.lengths:
                     m_item = n - SHINGLE + 1
                     m = min(m_item, len(g))
@@ -167,23 +207,29 @@ class ItemIndex:
                         continue
                     done.add((m, m_item))
                     starts = np.flatnonzero(count[m:] - count[:-m] >= need * (m + m_item) / 2 - 1e-9)
-                    memo: dict[bytes, list] = {}
-                    for p in starts.tolist():
-                        own = g[p : p + m]
-                        mark = own.tobytes()
-                        if mark not in memo:  # a repeated passage is verified once
-                            memo[mark] = []
-                            near = [x for x in self.near(simhash(own)) if self.sizes[x[0]] == n]
-                            if near:
-                                shingles = Counter(own.tolist())
-                                for item, distance in near:
-                                    similarity = weighted_jaccard(shingles, self.shingles[item])
-                                    if similarity >= self.similarity:
-                                        memo[mark].append((item, similarity, distance))
-                        for item, similarity, distance in memo[mark]:
-                            note(self.ids[item], (similarity, p, m + SHINGLE - 1, distance))
+                    for at in range(0, len(starts), WINDOWS):
+                        own = starts[at : at + WINDOWS]
+                        windows.append(np.stack((own, np.full(len(own), m), np.full(len(own), n))))
+                        held += len(own)
+                        if held >= WINDOWS:
+                            self._verify(g, np.concatenate(windows, axis=1), note)
+                            windows, held = [], 0
+                if held:
+                    self._verify(g, np.concatenate(windows, axis=1), note)
         return [(i, *x) for i, x in sorted(best.items())]
 
+    def _verify(self, g: np.ndarray, windows: np.ndarray, note: Callable[[int, tuple], None]) -> None:
+        """Note the items that windows (start, shingles, the item's words) are similar to."""
+        start, m, n = windows[:, np.argsort(windows[0], kind="stable")]
+        own, items, distances = self.within(simhashes(g, start, m), n)
+        memo: dict[tuple[bytes, int], float] = {}  # a repeated passage is verified once
+        for p, size, item, distance in zip(start[own].tolist(), m[own].tolist(), items.tolist(), distances.tolist()):
+            mark = g[p : p + size].tobytes(), item
+            if mark not in memo:
+                memo[mark] = weighted_jaccard(Counter(g[p : p + size].tolist()), self.shingles[item])
+            if memo[mark] >= self.similarity:
+                note(self.ids[item], (memo[mark], p, size + SHINGLE - 1, distance))
+
 
 def item_table(benchmark: DataFrame, chunk: int = CHUNK) -> tuple[str, int]:
     """Write the items in chunks of about ``chunk`` rows: the folder, and how many."""

@@ -303,3 +303,27 @@ def test_unclosed_markup_takes_linear_time(page):
     found = media.parse("before <p>" + page)
     assert time.process_time() - began < 30
     assert found[0]["text"].startswith("before")
+
+
+def test_windows_at_once(monkeypatch):
+    """Fingerprints and lookups of many windows equal those of single ones, and a passage
+    with many windows takes no lookup of its own for each."""
+    r = random.Random(12)
+    items = [(i, " ".join(f"w{r.randint(0, 60)}" for _ in range(r.randint(5, 40)))) for i in range(80)]
+    index = decontaminate.ItemIndex(items)
+    g = np.array([r.getrandbits(64) for _ in range(9000)], np.uint64)
+    first = np.sort(np.array([r.randrange(8000) for _ in range(6000)], np.int64))
+    size = np.array([r.randint(1, 900) for _ in first], np.int64)
+    prints = decontaminate.simhashes(g, first, size)
+    assert prints.tolist() == [decontaminate.simhash(g[a : a + n]) for a, n in zip(first.tolist(), size.tolist())]
+    near = np.concatenate([index.prints ^ np.uint64(sum(1 << b for b in r.sample(range(64), k))) for k in (0, 5, 18, 21)])
+    sizes = np.tile(index.widths, 4)
+    found = list(zip(*(x.tolist() for x in index.within(near, sizes))))
+    assert found == [(w, i, d) for w, fp in enumerate(near.tolist()) for i, d in sorted(index.near(fp)) if index.sizes[i] == sizes[w]]
+    calls = []
+    monkeypatch.setattr(decontaminate, "simhash", lambda own: calls.append(1))
+    text = " ".join(t for _, t in items)
+    whole = index.matches(text)
+    assert {m[0] for m in whole} == {i for i, _ in items} and not calls
+    monkeypatch.setattr(decontaminate, "WINDOWS", 7)
+    assert index.matches(text) == whole
