@@ -1,8 +1,11 @@
-"""Near-duplicates by exact Jaccard similarity of five-word shingles, for the pipeline.
-
-Two texts are linked if their sets of shingles reach a similarity of 0.8.  Anchors of
-fingerprints cannot carry that radius (see the README), so candidates come from
-prefixes: with all shingles in one fixed order, two linked sets of a and b shingles
+"""Near-duplicates by SimHash, completed to an exact similarity, for the pipeline.
+
+Two texts are linked if their sets of five-word shingles reach a Jaccard similarity of
+0.8.  SimHash comes first: texts whose fingerprints ``simhash.links`` finds within its
+radius are verified on their whole sets, and what this links is one component.  Linked
+texts may differ in more bits, and anchors cannot carry that radius (see the README), so
+the links that fingerprints miss come from prefixes, compared between components only:
+with all shingles in one fixed order, two linked sets of a and b shingles
 share one among the first n - ceil(0.8 n) + 1 of each.  Any order finds every pair;
 here shingles that are frequent in a sample come last, the rest by hash.  A pair
 becomes a candidate only where lengths and places still allow the overlap it needs, and
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm import graph, storage, words
+from tallyspark.llm import graph, simhash, storage, words
 from tallyspark.llm.substring import bucket_count, keyed, repeated_anchors
 
 SIZE = 5
@@ -237,6 +240,22 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
+def fingerprint_pairs(docs: DataFrame, threshold: int = 2) -> tuple[DataFrame, str]:
+    """A stage table and its path: pairs (u, v) of ties whose components are those of all texts within ``threshold``
+    bits of each other's SimHash: a text and the least of its fingerprint, and the least
+    ones of linked fingerprints."""
+    marked, m_path = storage.stage(simhash.fingerprints(docs).groupBy("tie").agg(F.min("fp").alias("fp")), "text-fingerprints")
+    classes, c_path = storage.stage(marked.groupBy("fp").agg(F.min("tie").alias("least")), "fingerprint-classes")
+    linked, l_path = storage.stage(simhash.links(classes, threshold).distinct(), "fingerprint-links")
+    equal = marked.join(classes, "fp").select(F.col("least").alias("u"), F.col("tie").alias("v"))
+    for x in "uv":
+        linked = linked.join(classes.select(F.col("fp").alias(x), F.col("least").alias(f"least_{x}")), x)
+    near = linked.select(F.col("least_u").alias("u"), F.col("least_v").alias("v"))
+    out = storage.stage(equal.unionByName(near).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "fingerprint-pairs")
+    storage.drop(docs.sparkSession, m_path, c_path, l_path)
+    return out
+
+
 def _linked(texts: DataFrame, heads: DataFrame, first: int | None) -> DataFrame:
     pairs, path = storage.stage(candidates(heads, first), "similar-candidates")
     out = verified(texts, pairs)
@@ -253,14 +272,14 @@ def rooted(docs: DataFrame) -> DataFrame:
     # The texts that share a token, one row each: whatever many rows repeat travels once.
     holders = rows.groupBy("tie").agg(F.min("key").alias("key")).join(shared.select("tie"), "tie")
     texts, f_path = storage.stage(rows.join(holders, ["key", "tie"]).select("key", "tie", "text").dropDuplicates(["key", "tie"]).select("tie", "text"), "shared-texts")
-    near, known = None, None
+    pairs, p_path = fingerprint_pairs(docs)
+    near = verified(texts, pairs)
+    known = graph.components(near).select(F.col("vertex").alias("tie"), "root")
     for first in [*[FIRST] * ROUNDS, None]:
-        root = F.col("tie") if known is None else F.coalesce("root", "tie")
-        own = shared if known is None else shared.join(known, "tie", "left")
-        found = _linked(texts, own.withColumn("root", root), first)
-        near = found if near is None else near.unionByName(found)
+        own = shared.join(known, "tie", "left").withColumn("root", F.coalesce("root", "tie"))
+        near = near.unionByName(_linked(texts, own, first))
         known = graph.components(near).select(F.col("vertex").alias("tie"), "root")
-    storage.drop(docs.sparkSession, s_path, f_path)
+    storage.drop(docs.sparkSession, s_path, f_path, p_path)
     return known
 
 

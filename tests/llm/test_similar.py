@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as cp
+from tallyspark.llm import graph, simhash, similar
 
 LAST = (1 << 63) - 1
 
@@ -63,3 +64,44 @@ def test_edited_copies(spark, edits):
 
 def test_empty_table(empty):
     assert cp.dedup_documents(empty.sparkSession, empty, "").count() == 0
+
+
+def edited(seed=3):
+    """Long texts in versions of a few changed words, near in their fingerprints."""
+    r = random.Random(seed)
+    rows = []
+    for k in range(8):
+        w = [f"w{r.randint(0, 5000)}" for _ in range(1500)]
+        for v in range(5):
+            rows.append((10 * k + v, " ".join(w)))
+            w[r.randrange(len(w))] = f"e{v}"
+    return [*rows, (90, None), (91, ""), (92, "one"), (93, "one"), (94, "two")]
+
+
+def test_fingerprint_pairs(spark):
+    rows = edited()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ties = {r["doc_id"]: r["tie"] for r in simhash.fingerprints(df).collect()}
+    roots = {r["vertex"]: r["root"] for r in graph.components(similar.fingerprint_pairs(df)[0]).collect()}
+    prints = {ties[d]: simhash.fingerprint(t) for d, t in rows}
+    root = {t: t for t in prints}
+    for t in prints:
+        for u in prints:
+            if (prints[t] ^ prints[u]).bit_count() <= 2 and root[t] != root[u]:
+                low, high = sorted((root[t], root[u]))
+                root = {x: low if y == high else y for x, y in root.items()}
+    assert {t: roots.get(t, t) for t in prints} == root
+
+
+def test_simhash_links_without_prefixes(spark, monkeypatch):
+    """Copies within two bits are linked by their fingerprints, before any prefix."""
+    rows = edited()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(similar, "candidates", lambda heads, first: spark.createDataFrame([], "u long, v long"))
+    left = kept(df)
+    prints = {d: simhash.fingerprint(t) for d, t in rows}
+    assert any((prints[10 * k] ^ prints[10 * k + v]).bit_count() in (1, 2) for k in range(8) for v in range(1, 5))
+    for k in range(8):
+        near = [10 * k + v for v in range(1, 5) if (prints[10 * k] ^ prints[10 * k + v]).bit_count() <= 2]
+        assert 10 * k in left and not set(near) & set(left)
+    assert {92, 94} <= set(left) and 93 not in left
