@@ -87,6 +87,15 @@ def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - reach + size, size) + np.arange(reach[-1] if len(reach) else 0)
 
 
+def _after(texts: pa.StringArray, size: np.ndarray) -> pa.StringArray:
+    """What follows the first size[i] bytes of each text (none null)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    left = np.diff(offsets) - size
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[_runs(offsets[:-1] + size, left)]
+    ends = np.concatenate(([0], np.cumsum(left))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(data))
+
+
 class Encoder:
     """Whole-text encoding by the tokenizers library, one encode per distinct unit.
 
@@ -139,11 +148,12 @@ class Encoder:
             spelled = pc.if_else(out, pc.utf8_slice_codeunits(keys, 1), plain)
         joined, single = spelled.filter(pc.invert(alone)), spelled.filter(alone)
         encode, ids, sizes = self.tokenizer.encode_batch_fast, [self.ids], [self.size]
-        chunks = [joined.slice(i, 1024).to_pylist() for i in range(0, len(joined), 1024)]
-        for chunk, e in zip(chunks, encode([self.joint.join(c) for c in chunks], add_special_tokens=False)):
+        bounds = np.append(np.arange(0, len(joined), 1024), len(joined))
+        chunks = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), joined), self.joint).to_pylist()
+        for n, e in zip(np.diff(bounds).tolist(), encode(chunks, add_special_tokens=False)):
             found = np.array(e.ids, self.dtype)
             cut = np.flatnonzero(found == self.mark_id)
-            assert len(cut) == len(chunk) - 1
+            assert len(cut) == n - 1
             ids.append(found[found != self.mark_id])
             sizes.append(np.diff(cut, prepend=-1, append=len(found)) - 1)
         for e in encode(single.to_pylist(), add_special_tokens=False):
@@ -172,7 +182,9 @@ class Encoder:
         last = pc.utf8_slice_codeunits(core, -1)
         cut = pc.and_(pc.and_(pc.less(pc.binary_length(core), pc.binary_length(new)), pc.utf8_is_alnum(last)), pc.not_equal(last, "\u0130"))  # lower case of \u0130 ends in a mark
         whole, stem = new.filter(pc.invert(cut)), core.filter(cut)
-        tail = pa.array([("\0" * self.spaced) + u[k:] for u, k in zip(new.filter(cut).to_pylist(), pc.utf8_length(stem).to_pylist())], pa.string())
+        tail = _after(new.filter(cut), pc.binary_length(stem).to_numpy())
+        if self.spaced:
+            tail = pc.binary_join_element_wise(pa.scalar("\0"), tail, "")
         place, fresh = self._coded(pa.concat_arrays([whole, stem, tail]))
         place = np.concatenate((np.arange(n), self._tokenize(fresh)))[place]
         first = np.cumsum(self.size) - self.size

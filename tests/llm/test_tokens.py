@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tallyspark.llm import packing, tokenbin
+from tallyspark.llm import packing, tokenbin, words
 from tallyspark.llm.queries import vocabulary
 from tallyspark.llm.words import Encoder
 
@@ -109,3 +109,13 @@ def test_short_pieces_share_a_place(spark):
 def test_empty_tables(empty):
     assert tokenbin.token_records(empty, vocabulary("byte_bpe_50k.json")).count() == 0
     assert packing.pack(empty, vocabulary("word_bpe_49k.json")).count() == 0
+
+
+def test_rest_after_a_stem():
+    """What follows a unit's stem is cut in one step, in slices and for any characters."""
+    texts = ["", "word,", "\u00fcber!!", "x", "caf\u00e9...", "\u6f22\u5b57?"]
+    size = [0, 4, 5, 1, 5, 6]
+    expected = [t.encode()[n:].decode() for t, n in zip(texts, size)]
+    whole = pa.array(texts, pa.string())
+    for a in range(len(texts) + 1):
+        assert words._after(whole.slice(a), np.array(size[a:], np.int64)).to_pylist() == expected[a:]
