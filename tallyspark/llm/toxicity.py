@@ -36,6 +36,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ from tallyspark.llm import storage
 MAX_EXAMPLES, MAX_TERMS, MIN_RATIO, MIN_DF = 4096, 2048, 24.0, 5
 NEIGHBOURS, SHRINK, POWER, BLOCK, VISITS = 15, 0.5, 2.0, 32, 12
 FLOOR, SLOPE = 0.02, 2.0  # association of a word that says nothing; steepness up to 1
+DENSE = 256  # rows of 4,096 examples: 8 MB
 PREFIXES, LEVELS = range(3, 8), (2, 3, 4, 6)
 _WORD = re.compile(r"\w+")
 _DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"  # scripts without spaces
@@ -117,6 +119,25 @@ class _Terms(dict):
         return [w for w in words if (w[:n] in starts or w in bases or len(w) > 64) and self[w]]
 
 
+class _Known:
+    """A worker's terms: those of the vocabulary, and the places of the examples' other
+    words, by their sorted hashes and where each beginning of 18 bits starts."""
+
+    def __init__(self, terms: _Terms, words: np.ndarray):
+        self.terms, self.n = terms, len(words)
+        self.words = np.append(words, np.uint64((1 << 64) - 1))
+        self.first = np.searchsorted(words, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46))
+        self.steps = int(np.diff(self.first, append=self.n).max())
+
+    def places(self, times: Counter) -> np.ndarray:
+        """Each word's place, -1 for a word of no example."""
+        own = hashes(times)
+        at = self.first[(own >> np.uint64(46)).astype(np.int64)]
+        for _ in range(self.steps):
+            at += self.words[at] < own
+        return np.where((self.words[at] == own) & (at < self.n), at, -1)
+
+
 def associated(times: Counter, terms: _Terms) -> dict[int, int]:
     """Vocabulary number -> occurrences; 1 for a beginning that several words share."""
     hit = terms.among(times)
@@ -135,25 +156,22 @@ def associated(times: Counter, terms: _Terms) -> dict[int, int]:
     return out
 
 
-def hashes(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+def hashes(words: list[str] | Counter) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def term_counts(text: str | None, terms: _Terms, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers, ascending, and occurrences: the vocabulary's, then those of ``words``,
-    the sorted hashes of the examples' other words."""
+def term_counts(text: str | None, known: _Known) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers, ascending, and occurrences: the vocabulary's, then those of the
+    examples' other words."""
     times = Counter(words_of(text))
-    some = associated(times, terms)
+    some = associated(times, known.terms)
     first = sorted(some)
     t, n = np.array(first, np.int64), np.array([some[i] for i in first], np.int64)
-    if not times or not len(words):
-        return t, n
-    own = hashes(list(times))
-    at = np.minimum(np.searchsorted(words, own), len(words) - 1)
-    known = np.flatnonzero(words[at] == own)
-    known = known[np.argsort(at[known])]
+    place = known.places(times)
+    own = np.flatnonzero(place >= 0)
+    own = own[np.argsort(place[own])]
     occurrences = np.fromiter(times.values(), np.int64, len(times))
-    return np.concatenate([t, at[known] + len(terms.vocabulary)]), np.concatenate([n, occurrences[known]])
+    return np.concatenate([t, place[own] + len(known.terms.vocabulary)]), np.concatenate([n, occurrences[own]])
 
 
 def likelihood_ratio(a: np.ndarray, b: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
@@ -226,11 +244,31 @@ class Index:
         """Cosines of a block's examples."""
         rows = self.rows[b * BLOCK : (b + 1) * BLOCK + 1]
         lo, hi = rows[0], rows[-1]
-        return np.bincount(np.repeat(np.arange(len(rows) - 1), np.diff(rows)), query[self.terms[lo:hi]] * self.values[lo:hi], len(rows) - 1)
+        return np.add.reduceat(query[self.terms[lo:hi]] * self.values[lo:hi], rows[:-1] - lo)  # no example is without terms
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "frequent"}
+
+    @cached_property
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each term's row, or -1, in a matrix of the weights of those terms that an eighth
+        of the examples have, ``DENSE`` at most; made in the worker that asks."""
+        n, examples = np.diff(self.starts), len(self.rows) - 1
+        chosen = np.argsort(-n, kind="stable")[:DENSE]
+        chosen = chosen[n[chosen] * 8 >= max(1, examples)]
+        row, matrix = np.full(len(n), -1), np.zeros((len(chosen), examples))
+        row[chosen] = np.arange(len(chosen))
+        for r, t in enumerate(chosen.tolist()):
+            own = slice(self.starts[t], self.starts[t + 1])
+            matrix[r, self.postings[own]] = self.weights[own]
+        return row, matrix
 
     def _all(self, t: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
         """``nearest`` by all postings of the terms."""
-        score = np.round(_sums(self.starts, self.postings, self.weights, t, w, len(self.rows) - 1), 12)
+        place, matrix = self.frequent
+        row = place[t]
+        rare = row < 0
+        score = np.round(w[~rare] @ matrix[row[~rare]] + _sums(self.starts, self.postings, self.weights, t[rare], w[rare], len(self.rows) - 1), 12)
         top = np.flatnonzero((score > 0) & (score >= (np.partition(score, -k)[-k] if len(score) > k else 0)))
         return sorted(zip(score[top].tolist(), top.tolist()), key=lambda x: (-x[0], x[1]))[:k]
 
@@ -348,11 +386,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     size = len(association)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, df, rows = _Terms(vocabulary), np.zeros(size, np.int64), 0
+        known, df, rows = _Known(_Terms(vocabulary), words), np.zeros(size, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 rows += 1
-                df[term_counts(text, terms, words)[0]] += 1
+                df[term_counts(text, known)[0]] += 1
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(df[seen], rows), pa.int64())], names=["term", "n"])
 
@@ -380,10 +418,10 @@ class Scorer:
     """Scores texts; remembers a bounded number of term vectors."""
 
     def __init__(self, index: Index, k: int = NEIGHBOURS):
-        self.index, self.k, self.terms, self.known = index, k, _Terms(index.vocabulary), {}
+        self.index, self.k, self.words, self.known = index, k, _Known(_Terms(index.vocabulary), index.words), {}
 
     def __call__(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        t, n = term_counts(text, self.terms, self.index.words)
+        t, n = term_counts(text, self.words)
         mark = xxhash.xxh3_128_digest(t.tobytes() + n.tobytes())
         if mark not in self.known:
             if len(self.known) > 5_000:

@@ -327,3 +327,25 @@ def test_windows_at_once(monkeypatch):
     assert {m[0] for m in whole} == {i for i, _ in items} and not calls
     monkeypatch.setattr(decontaminate, "WINDOWS", 7)
     assert index.matches(text) == whole
+
+
+def test_frequent_terms_as_rows():
+    """Terms that many examples have are added up as rows of a matrix, which is not shipped;
+    the neighbours are those of the whole postings."""
+    r = np.random.default_rng(5)
+    n, size = 300, 400
+    index = toxicity.Index({}, np.ones(size), np.arange(n), r.integers(0, 2, n), 0.1, 0.1)
+    share = np.where(np.arange(size) < 30, 0.6, 0.02)
+    held = [np.union1d(np.flatnonzero(r.random(size) < share), [size - 1]) for _ in range(n)]
+    index.build([index.unit(t, r.integers(1, 5, len(t))) for t in held])
+    row, matrix = index.frequent
+    assert 30 <= len(matrix) <= toxicity.DENSE and (row >= 0).sum() == len(matrix) and "frequent" not in index.__getstate__()
+    for _ in range(40):
+        t = np.union1d(np.flatnonzero(r.random(size) < 0.1), [3])
+        t, w = index.unit(t, r.integers(1, 5, len(t)))
+        whole = np.round(toxicity._sums(index.starts, index.postings, index.weights, t, w, n), 12)
+        expected = sorted(((s, i) for i, s in enumerate(whole.tolist()) if s > 0), key=lambda x: (-x[0], x[1]))[:15]
+        got = index.nearest(t, w, 15)
+        assert np.allclose([s for s, _ in got], [s for s, _ in expected], atol=2e-12)
+        clear = [i for k, (s, i) in enumerate(expected) if not any(abs(s - u) < 1e-10 for j, (u, _) in enumerate(expected) if j != k)]
+        assert set(clear[:10]) <= {i for _, i in got}
