@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import graph, storage
-from tallyspark.llm.words import tidy
+from tallyspark.llm.words import M1, mix, tidy
 
 BITS, CODE, GENERATOR = 23, 12, 0b110001110101  # x^11+x^10+x^6+x^5+x^4+x^2+1
 RADIUS = 3
 SEED = 42
+WIDE, TABLES = 4, 64  # 64-bit words of a wide fingerprint, tables it is looked up in
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -70,6 +71,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, fp long")
 
 
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """SimHash of 64 * WIDE bits of hashed shingles; zero without any."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(h), 65536):
+        part = h[at : at + 65536]
+        with np.errstate(over="ignore"):
+            x = np.column_stack([mix(part + M1 * np.uint64(k)) for k in range(1, WIDE + 1)])
+        # Eight counters of a byte each are added as one number, 255 rows at most.
+        ones = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        sums = np.add.reduceat(ones, np.arange(0, len(part), 255), axis=0)
+        counts += sums.view(np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")
+
+
+def table_keys(wide: np.ndarray, bits: int) -> np.ndarray:
+    """A row of keys per table: hashes of ``bits`` bits of the wide fingerprints, chosen
+    anew for each table."""
+    ones = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little").T.astype(np.uint64)
+    out = np.empty((TABLES, len(wide)), np.uint64)
+    for t in range(TABLES):
+        chosen = np.argsort(mix(np.arange(64 * WIDE, dtype=np.uint64) + np.uint64((t + 1) << 20)))[:bits]
+        key = np.zeros(len(wide), np.uint64)
+        for b in chosen.tolist():
+            key = (key << np.uint64(1)) | ones[b]
+        out[t] = mix(key + np.uint64(t << 48))
+    return out
+
+
 @cache
 def _code() -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Syndromes of 23-bit words, and by excess weight 0.. (over RADIUS) the error

@@ -1,22 +1,26 @@
 """Near-duplicates by SimHash, completed to an exact similarity, for the pipeline.
 
 Two texts are linked if their sets of five-word shingles reach a Jaccard similarity of
-0.8.  SimHash comes first: texts whose fingerprints ``simhash.links`` finds within its
-radius are verified on their whole sets, and what this links is one component.  Linked
-texts may differ in more bits, and anchors cannot carry that radius (see the README), so
-the links that fingerprints miss come from prefixes, compared between components only:
-with all shingles in one fixed order, two linked sets of a and b shingles
+0.8.  SimHash finds the links, in two steps.  Texts whose fingerprints ``simhash.links``
+finds within its radius of 2 bits come from anchors.  Most linked texts differ in more
+bits (about 15 % at 0.8), which anchors cannot carry (see the README): for these, wide
+fingerprints of the shingles are looked up in 64 tables, by as many bits as the number
+of texts has, and those that are near in their first 64 bits are a pair.  All pairs are
+verified on whole sets, and what they link is one component.
+
+Lookups may miss a link, so an exact way for the rest follows, by prefixes, between
+components only: with all shingles in one fixed order, two linked sets of a and b shingles
 share one among the first n - ceil(0.8 n) + 1 of each.  Any order finds every pair;
 here shingles that are frequent in a sample come last, the rest by hash.  A pair
 becomes a candidate only where lengths and places still allow the overlap it needs, and
 parities of 512 classes of shingles (they differ in no more classes than the sets in
 shingles) the difference; it is then verified on the whole sets.
 
-Texts are read once for their prefixes; prefix shingles that no other text has go before
-anything is compared.  Groups of many copies: in each of a few rounds a text is compared
-with a few holders of its first few shingles, one of a component, and what this links is
-one component.  The pass over all prefixes then leaves out pairs inside a component, which
-cannot change it.
+Texts are read once for their prefixes and wide fingerprints; prefix shingles that no other text has go before
+anything is compared.  Groups of many copies: a text is compared with a few others under
+its key in a table, then in each of a few rounds with a few holders of its first few
+shingles, one of a component, and what this links is one component.  The pass over all
+prefixes then leaves out pairs inside a component, which cannot change it.
 
 Words are split and lower-cased as by ``simhash.fingerprint``; a shorter text is one
 shingle.  Null and empty texts, and texts without words, are equal to each other.  Very
@@ -40,6 +44,7 @@ from tallyspark.llm.substring import bucket_count, keyed, repeated_anchors
 
 SIZE = 5
 ROUNDS, FIRST, PIVOTS = 1, 8, 16  # before the full pass; shingles of a text, and holders it is compared with
+NEAR = 22  # of 64 bits: 4 standard deviations over what is expected at a similarity of 0.8
 CLASSES, FINE = 512, 4096  # of shingles, for parities
 SAMPLE, FREQUENT, LISTED = 20_000, 8, 100_000  # order of shingles only; results do not depend on them
 
@@ -93,8 +98,8 @@ def _partners(group: np.ndarray, root: np.ndarray, chunk: int = 500_000) -> Iter
 
 
 def prefixes(rows: DataFrame, rare_last: np.ndarray) -> DataFrame:
-    """(tie, size, parities, tokens): each text once, with the number of its shingles, the
-    parities of their classes and its prefix (packed hashes)."""
+    """(tie, size, parities, tokens, wide): each text once, with the number of its shingles,
+    the parities of their classes, its prefix (packed hashes) and its wide fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = words.HashCache()
@@ -104,14 +109,14 @@ def prefixes(rows: DataFrame, rare_last: np.ndarray) -> DataFrame:
             for i in keep.tolist():
                 h = shingles(batch.column(1)[i].as_py(), cache)
                 n = len(h)
-                parity = _parities(h, CLASSES)
+                parity, wide = _parities(h, CLASSES), simhash.wide_fingerprint(h)
                 late = np.isin(h, rare_last, assume_unique=True)
                 h = np.concatenate((h[~late], h[late]))[: n - (4 * n + 4) // 5 + 1] if n else np.zeros(1, np.uint64)
-                out.append((int(ties[i]), n, parity, h.tobytes()))
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["tie", "size", "parities", "tokens"])
+                out.append((int(ties[i]), n, parity, h.tobytes(), wide.tobytes()))
+            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["tie", "size", "parities", "tokens", "wide"])
 
-    return rows.select("tie", "text").mapInArrow(run, "tie long, size int, parities binary, tokens binary").dropDuplicates(["tie"])
+    return rows.select("tie", "text").mapInArrow(run, "tie long, size int, parities binary, tokens binary, wide binary").dropDuplicates(["tie"])
 
 
 def _tokens(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,6 +261,59 @@ def fingerprint_pairs(docs: DataFrame, threshold: int = 2) -> tuple[DataFrame, s
     return out
 
 
+def wide_pairs(heads: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of the ties of ``heads`` that share a key in a table of their wide
+    fingerprints, are near in its first 64 bits and whose sizes allow a link.  Under a
+    key that many have, each is paired with the first of them."""
+    n = heads.count()
+    bits = min(max(12, n.bit_length()), 48)
+    # About 32 MB of entries (24 bytes each) to a bucket at most.
+    buckets = max(max(storage.partitions(heads.sparkSession), 64) * 4, n * simhash.TABLES * 24 >> 25)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, simhash.WIDE)
+            key = simhash.table_keys(wide, bits).ravel()
+            bucket = ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            own = order % max(1, len(wide))
+            columns = [key.astype(np.uint32)[order], *(c[own] for c in (batch.column("tie").to_numpy(), batch.column("size").to_numpy(), wide[:, 0]))]
+            cut = words.groups(bucket[order])
+            packed = [(int(bucket[order[x]]), *(c[x:y].tobytes() for c in columns)) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*packed)) or [()] * 5, kinds)], names=["bucket", "keys", "ties", "sizes", "prints"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        words.tidy()
+        key, tie, size, fp = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("keys", np.uint32), ("ties", np.int64), ("sizes", np.int32), ("prints", np.uint64)))
+        order = np.lexsort((tie, key))
+        key, tie, size, fp = (x[order] for x in (key, tie, size.astype(np.int64), fp))
+        found = [np.empty((0, 2), np.int64)]
+        for i, j in _pivots(key, tie):
+            ok = np.flatnonzero((tie[i] != tie[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= NEAR) & enough(np.minimum(size[i], size[j]), size[i], size[j]))
+            found.append(np.unique(np.sort(np.column_stack((tie[i[ok]], tie[j[ok]])), axis=1), axis=0))
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"u": pa.array(both[:, 0]), "v": pa.array(both[:, 1])})
+
+    packed = heads.select("tie", "size", "wide").mapInArrow(post, "bucket int, keys binary, ties binary, sizes binary, prints binary")
+    return packed.groupBy("bucket").applyInArrow(compare, "u long, v long").distinct()
+
+
+def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """``pairs`` without those whose parities of few classes exclude a link."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(f"parities_{x}").to_pylist()), np.uint64).reshape(-1, CLASSES // 64) for x in "uv")
+            n = batch.column("size_u").to_numpy().astype(np.int64) + batch.column("size_v").to_numpy()
+            good = pa.array(9 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= n)
+            yield pa.RecordBatch.from_arrays([batch.column(x).filter(good) for x in "uv"], names=["u", "v"])
+
+    for x in "uv":
+        pairs = pairs.join(heads.select(F.col("tie").alias(x), F.col("size").alias(f"size_{x}"), F.col("parities").alias(f"parities_{x}")), x)
+    return pairs.mapInArrow(likely, "u long, v long")
+
+
 def _linked(texts: DataFrame, heads: DataFrame, first: int | None) -> DataFrame:
     pairs, path = storage.stage(candidates(heads, first), "similar-candidates")
     out = verified(texts, pairs)
@@ -268,11 +326,12 @@ def rooted(docs: DataFrame) -> DataFrame:
     rows = keyed(storage.bounded(docs))
     heads, h_path = storage.stage(prefixes(rows, frequent(rows)), "prefixes")
     shared, s_path = storage.stage(shared_prefixes(heads, bucket_count(docs)), "shared-prefixes")
-    storage.drop(docs.sparkSession, h_path)
     # The texts that share a token, one row each: whatever many rows repeat travels once.
     holders = rows.groupBy("tie").agg(F.min("key").alias("key")).join(shared.select("tie"), "tie")
     texts, f_path = storage.stage(rows.join(holders, ["key", "tie"]).select("key", "tie", "text").dropDuplicates(["key", "tie"]).select("tie", "text"), "shared-texts")
-    pairs, p_path = fingerprint_pairs(docs)
+    close, c_path = fingerprint_pairs(docs)
+    pairs, p_path = storage.stage(close.unionByName(possible(wide_pairs(heads), heads)).distinct(), "simhash-pairs")
+    storage.drop(docs.sparkSession, h_path, c_path)
     near = verified(texts, pairs)
     known = graph.components(near).select(F.col("vertex").alias("tie"), "root")
     for first in [*[FIRST] * ROUNDS, None]:

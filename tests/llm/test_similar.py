@@ -105,3 +105,37 @@ def test_simhash_links_without_prefixes(spark, monkeypatch):
         near = [10 * k + v for v in range(1, 5) if (prints[10 * k] ^ prints[10 * k + v]).bit_count() <= 2]
         assert 10 * k in left and not set(near) & set(left)
     assert {92, 94} <= set(left) and 93 not in left
+
+
+def test_simhash_links_most_copies_at_the_similarity(spark, monkeypatch):
+    """Copies just above 0.8, many bits apart, are linked by SimHash without any prefix."""
+    r = random.Random(5)
+    rows = []
+    for k in range(60):
+        w = [f"w{r.randint(0, 5000)}" for _ in range(300)]
+        rows.append((2 * k, " ".join(w)))
+        for at in range(20, 300, 50):
+            w[at] = f"e{k}"
+        rows.append((2 * k + 1, " ".join(w)))
+    for k in range(60):
+        a, b = grams(rows[2 * k][1]), grams(rows[2 * k + 1][1])
+        assert 0.8 <= len(a & b) / len(a | b) < 0.83
+    assert sum((simhash.fingerprint(rows[2 * k][1]) ^ simhash.fingerprint(rows[2 * k + 1][1])).bit_count() <= 2 for k in range(60)) < 10
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(similar, "candidates", lambda heads, first: spark.createDataFrame([], "u long, v long"))
+    left = kept(df)
+    assert {2 * k for k in range(60)} <= set(left) and len(left) - 60 <= 3
+
+
+def test_wide_fingerprint():
+    """Bits by majority over more than one sum of bytes; none without shingles."""
+    import numpy as np
+
+    from tallyspark.llm.words import M1, mix
+
+    for n in (1, 254, 255, 256, 70_000):
+        h = mix(np.arange(n, dtype=np.uint64))
+        with np.errstate(over="ignore"):
+            bits = np.hstack([np.unpackbits(mix(h + M1 * np.uint64(k)).view(np.uint8).reshape(n, 8), axis=1, bitorder="little") for k in range(1, 5)])
+        assert np.array_equal(np.unpackbits(simhash.wide_fingerprint(h).view(np.uint8), bitorder="little"), bits.sum(axis=0, dtype=int) * 2 > n)
+    assert not simhash.wide_fingerprint(np.empty(0, np.uint64)).any()
