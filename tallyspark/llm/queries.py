@@ -25,8 +25,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+    return toxicity.fit_score(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

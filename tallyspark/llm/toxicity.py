@@ -53,24 +53,19 @@ DENSE = 256  # rows of 4,096 examples: 8 MB
 PREFIXES, LEVELS = range(3, 8), (2, 3, 4, 6)
 _WORD = re.compile(r"\w+")
 _DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"  # scripts without spaces
+_BREAKS = bytes(i if _WORD.match(chr(i)) else 32 for i in range(256))  # for Latin-1
 _UNSPACED, _PIECES = re.compile(f"[{_DENSE}]"), re.compile(f"[{_DENSE}]+|[^{_DENSE}]+")
 SCORES = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
 
 
-def _latin(text: str) -> bool:
-    """Whether no character can be of a script without spaces, without a look at each."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 def words_of(text: str | None) -> list[str]:
     """Lower-case words; scripts written without spaces in pairs of characters."""
     text = (text or "").lower()
-    words = _WORD.findall(text)
-    if _latin(text) or not _UNSPACED.search(text):
+    try:
+        return text.encode("latin-1").translate(_BREAKS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        words = _WORD.findall(text)
+    if not _UNSPACED.search(text):
         return words
     out = []
     for piece in (p for w in words for p in _PIECES.findall(w)):
@@ -106,6 +101,9 @@ class _Terms(dict):
         self.vocabulary = vocabulary
         self.bases = set(vocabulary) | {f.partition("*")[0] + "*" for f in vocabulary if "*" in f}
         self.starts = {f[: PREFIXES[0]] for f in self.bases if f[-1] == "*"}
+        latin = [f[:3].ljust(3).encode("latin-1") for f in {*self.starts, *self.bases} if f[:3].isascii() or ord(max(f[:3])) < 256]
+        self.marks = np.zeros(4096, bool)  # of the first three characters of all of these
+        self.marks[self._mark(*np.array([list(x) for x in latin], np.int64).reshape(-1, 3).T)] = True
 
     def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) >= 150_000:
@@ -113,9 +111,27 @@ class _Terms(dict):
         value = self[word] = tuple(f for f in features(word) if f in self.bases)
         return value
 
-    def among(self, words: Counter) -> list[str]:
+    @staticmethod
+    def _mark(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (a * 961 + b * 31 + c) & 4095
+
+    def likely(self, words: dict) -> list[str]:
+        """``words`` without most of those that have no features here."""
+        try:
+            joined = f"{' '.join(words)}   ".encode("latin-1")
+        except UnicodeEncodeError:
+            return list(words)
+        b = np.frombuffer(joined, np.uint8)
+        ends = np.flatnonzero(b[:-2] == 32)
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        size, wide = ends - starts, b.astype(np.int64)
+        maybe = np.flatnonzero(self.marks[self._mark(wide[starts], wide[starts + 1], wide[starts + 2])] | (size < 3) | (size > 64))
+        return [joined[x:y].decode("latin-1") for x, y in zip(starts[maybe].tolist(), ends[maybe].tolist())]
+
+    def among(self, words: dict) -> list[str]:
         """Those of ``words`` that have features here."""
         bases, starts, n = self.bases, self.starts, PREFIXES[0]
+        words = self.likely(words) if words else []
         return [w for w in words if (w[:n] in starts or w in bases or len(w) > 64) and self[w]]
 
 
@@ -129,7 +145,7 @@ class _Known:
         self.first = np.searchsorted(words, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46))
         self.steps = int(np.diff(self.first, append=self.n).max())
 
-    def places(self, times: Counter) -> np.ndarray:
+    def places(self, times: dict) -> np.ndarray:
         """Each word's place, -1 for a word of no example."""
         own = hashes(times)
         at = self.first[(own >> np.uint64(46)).astype(np.int64)]
@@ -138,7 +154,7 @@ class _Known:
         return np.where((self.words[at] == own) & (at < self.n), at, -1)
 
 
-def associated(times: Counter, terms: _Terms) -> dict[int, int]:
+def associated(times: dict[str, int], terms: _Terms) -> dict[int, int]:
     """Vocabulary number -> occurrences; 1 for a beginning that several words share."""
     hit = terms.among(times)
     if not hit:
@@ -156,14 +172,14 @@ def associated(times: Counter, terms: _Terms) -> dict[int, int]:
     return out
 
 
-def hashes(words: list[str] | Counter) -> np.ndarray:
+def hashes(words: list[str] | dict) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def term_counts(text: str | None, known: _Known) -> tuple[np.ndarray, np.ndarray]:
+def term_counts(text: str | None, known: _Known, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Term numbers, ascending, and occurrences: the vocabulary's, then those of the
-    examples' other words."""
-    times = Counter(words_of(text))
+    examples' other words.  Not ``counted``: the numbers alone are right."""
+    times = Counter(words_of(text)) if counted else dict.fromkeys(words_of(text), 1)
     some = associated(times, known.terms)
     first = sorted(some)
     t, n = np.array(first, np.int64), np.array([some[i] for i in first], np.int64)
@@ -346,13 +362,42 @@ def _select_terms(examples: DataFrame, n: int, n_toxic: int, min_ratio: float, m
     return {r["term"]: i for i, r in enumerate(best)}
 
 
+def _with_held_out(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def _with_terms(docs: DataFrame, vocabulary: dict[str, int], words: np.ndarray) -> DataFrame:
+    """(doc_id, held_out, terms, counts): ``term_counts`` of every row, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(_Terms(vocabulary), words)
+        for batch in batches:
+            found = [term_counts(text, known) for text in batch.column("text").to_pylist()]
+            packed = [pa.array([x[i].astype(np.int32).tobytes() for x in found], pa.binary()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *packed], names=["doc_id", "held_out", "terms", "counts"])
+
+    return _with_held_out(docs).mapInArrow(run, "doc_id long, held_out boolean, terms binary, counts binary")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_ratio: float = MIN_RATIO) -> Index:
     """The index of the labelled examples with document frequencies over all ``docs``."""
+    return _fit(docs, labels, max_examples, max_terms, min_ratio, False)[0]
+
+
+def fit_score(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_ratio: float = MIN_RATIO, k: int = NEIGHBOURS) -> DataFrame:
+    """``score`` of ``docs`` by their own ``fit``; texts are read for their terms once, which
+    wait in a stage table."""
+    index, counted = _fit(docs, labels, max_examples, max_terms, min_ratio, True)
+    return score(docs, index, k) if counted is None else _scores(counted.select("doc_id", "held_out", "terms", "counts"), index, k)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, min_ratio: float, keep: bool) -> tuple[Index, DataFrame | None]:
+    """The index and, to ``keep``, a stage table of ``_with_terms`` (none without usable labels)."""
     examples, _ = storage.stage(_examples(docs, labels, max_examples), "toxic-examples")
     n, n_toxic = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     base = n_toxic / (n + 1)
     if not n_toxic or n_toxic == n:
-        return Index({}, np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), base, base)
+        return Index({}, np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), base, base), None
     vocabulary = _select_terms(examples, n, n_toxic, min_ratio, max_terms)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,17 +431,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     size = len(association)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df, rows = _Known(_Terms(vocabulary), words), np.zeros(size, np.int64), 0
+        known, df, rows = None if keep else _Known(_Terms(vocabulary), words), np.zeros(size, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                rows += 1
-                df[term_counts(text, known)[0]] += 1
+            rows += batch.num_rows
+            for x in batch.column(0).to_pylist():
+                df[np.frombuffer(x, np.int32) if keep else term_counts(x, known, counted=False)[0]] += 1
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(df[seen], rows), pa.int64())], names=["term", "n"])
 
-    counted = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the examples
+    counted = storage.stage(_with_terms(docs, vocabulary, words), "toxic-terms")[0] if keep else None
+    texts = docs.select("text") if counted is None else counted.select("terms")
+    counts = texts.mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the examples
     df = np.zeros(size + 1)  # the last place holds the documents
-    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
 
     index = Index(vocabulary, idf, ids, labelled, base, base, words, association)
@@ -411,17 +458,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     chosen.sort(key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), ids[i]))  # alike examples share blocks
     index.ids, index.labels = ids[chosen], labelled[chosen]
     index.build([vectors[i] for i in chosen])
-    return index
+    return index, counted
 
 
 class Scorer:
-    """Scores texts; remembers a bounded number of term vectors."""
+    """Scores term vectors; remembers a bounded number of them."""
 
     def __init__(self, index: Index, k: int = NEIGHBOURS):
-        self.index, self.k, self.words, self.known = index, k, _Known(_Terms(index.vocabulary), index.words), {}
+        self.index, self.k, self.known = index, k, {}
+
+    @cached_property
+    def words(self) -> _Known:
+        return _Known(_Terms(self.index.vocabulary), self.index.words)
 
     def __call__(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        t, n = term_counts(text, self.words)
+        return self.of(*term_counts(text, self.words))
+
+    def of(self, t: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         mark = xxhash.xxh3_128_digest(t.tobytes() + n.tobytes())
         if mark not in self.known:
             if len(self.known) > 5_000:
@@ -430,13 +483,16 @@ class Scorer:
         return self.known[mark]
 
 
-def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence) for every row of ``docs``."""
+def _scores(rows: DataFrame, index: Index, k: int) -> DataFrame:
+    """Scores of rows of (doc_id, held_out, text) or of ``_with_terms``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(index, k)
         for batch in batches:
-            found = [scorer(t) for t in batch.column("text").to_pylist()]
+            if batch.num_columns == 3:
+                found = [scorer(t) for t in batch.column("text").to_pylist()]
+            else:
+                found = [scorer.of(*(np.frombuffer(x, np.int32).astype(np.int64) for x in row)) for row in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
             values = [s for s, _, _ in found]
             place = np.concatenate([np.empty(0, np.int64), *(p for _, p, _ in found)])
             cosine = np.concatenate([np.empty(0), *(c for _, _, c in found)])
@@ -445,10 +501,14 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
             evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(values, pa.float64()), pa.array([int(s >= 0.5) for s in values], pa.int32()), evidence], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
     return rows.mapInArrow(run, SCORES)
 
 
+def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence) for every row of ``docs``."""
+    return _scores(_with_held_out(docs).select("doc_id", "held_out", "text"), index, k)
+
+
 def keep_clean(docs: DataFrame, index: Index, limit: float = 0.5, k: int = NEIGHBOURS) -> DataFrame:
     """Rows of ``docs`` that score below ``limit``, with all their columns."""
 

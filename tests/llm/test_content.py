@@ -349,3 +349,26 @@ def test_frequent_terms_as_rows():
         assert np.allclose([s for s, _ in got], [s for s, _ in expected], atol=2e-12)
         clear = [i for k, (s, i) in enumerate(expected) if not any(abs(s - u) < 1e-10 for j, (u, _) in enumerate(expected) if j != k)]
         assert set(clear[:10]) <= {i for _, i in got}
+
+
+def test_texts_are_read_for_their_terms_once(spark, monkeypatch):
+    """Scores by the kept terms are those of the texts, which one stage reads."""
+    rows = [(i, f"word{i % 7} {'vile' if i % 3 == 0 else 'kind'} tail{i} Ünï «quoted»\xa0naïve 東京") for i in range(90)] + [(None, None), (200, ""), (200, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    plain = toxicity.score(docs, toxicity.fit(docs, labels))
+    assert sorted(map(str, toxicity.fit_score(docs, labels).collect())) == sorted(map(str, plain.collect()))
+    assert toxicity.fit_score(docs, labels.limit(0)).count() == len(rows)
+    seen = []
+    monkeypatch.setattr(toxicity, "_scores", lambda rows, index, k: seen.append(rows.columns) or rows)
+    toxicity.fit_score(docs, labels)
+    assert seen == [["doc_id", "held_out", "terms", "counts"]]
+
+
+def test_latin_words_and_likely_terms():
+    every = " ".join(f"a{chr(i)}b" for i in range(256)) + " short x yy " + "z" * 70
+    assert toxicity.words_of(every) == toxicity._WORD.findall(every.lower())
+    terms = toxicity._Terms({"vil*": 0, "é": 1, "yy": 2, "kind": 3, "日本": 4})
+    words = {w: 1 for w in ["vilest", "é", "yy", "kind", "kinder", "other", "z" * 70, "of"]}
+    assert terms.among(words) == ["vilest", "é", "yy", "kind"]
+    assert terms.among({**words, "日本": 1}) == ["vilest", "é", "yy", "kind", "日本"] and terms.among({}) == []
