@@ -38,7 +38,8 @@ from tallyspark.llm.words import M1, mix, tidy
 BITS, CODE, GENERATOR = 23, 12, 0b110001110101  # x^11+x^10+x^6+x^5+x^4+x^2+1
 RADIUS = 3
 SEED = 42
-WIDE, TABLES = 4, 64  # 64-bit words of a wide fingerprint, tables it is looked up in
+WIDE, TABLES = 4, 64  # 64-bit words of a wide fingerprint, anchors it is at home at
+SHORT, CROWD = 7, 4  # bits of a short part of these, texts that share one of these anchors by chance at most
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -85,20 +86,6 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")
 
 
-def table_keys(wide: np.ndarray, bits: int) -> np.ndarray:
-    """A row of keys per table: hashes of ``bits`` bits of the wide fingerprints, chosen
-    anew for each table."""
-    ones = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little").T.astype(np.uint64)
-    out = np.empty((TABLES, len(wide)), np.uint64)
-    for t in range(TABLES):
-        chosen = np.argsort(mix(np.arange(64 * WIDE, dtype=np.uint64) + np.uint64((t + 1) << 20)))[:bits]
-        key = np.zeros(len(wide), np.uint64)
-        for b in chosen.tolist():
-            key = (key << np.uint64(1)) | ones[b]
-        out[t] = mix(key + np.uint64(t << 48))
-    return out
-
-
 @cache
 def _code() -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Syndromes of 23-bit words, and by excess weight 0.. (over RADIUS) the error
@@ -131,6 +118,44 @@ def _syndrome(part: np.ndarray) -> np.ndarray:
     return table[part & 4095] ^ table[4096 + (part >> 12)]
 
 
+def _home(part: np.ndarray) -> np.ndarray:
+    """The code word within RADIUS of each 23-bit word."""
+    at, near = _code()[1][0]
+    return part ^ near[at[_syndrome(part)]]
+
+
+@cache
+def _short() -> np.ndarray:
+    """The word of the Hamming code (7 bits, perfect, radius 1) within a bit of each word."""
+    word = np.arange(1 << SHORT)
+    syndrome = np.bitwise_xor.reduce([(word >> i & 1) * (i + 1) for i in range(SHORT)])
+    return np.where(syndrome > 0, word ^ (1 << np.maximum(syndrome, 1) - 1), word)
+
+
+def short_parts(n: int) -> int:
+    """Short parts of an anchor among ``n`` texts: each makes 16 times as many anchors."""
+    parts = 0
+    while parts < 5 and n > CROWD << CODE + 4 * parts:
+        parts += 1
+    return parts
+
+
+def wide_anchors(wide: np.ndarray, short: int) -> np.ndarray:
+    """A row of home anchors per table, hashed: a 23-bit part and ``short`` parts of 7 bits
+    of the wide fingerprints, their bits chosen anew for each table, each part moved to the
+    word of its perfect code that covers it."""
+    ones = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little").T.astype(np.int64)
+    out = np.empty((TABLES, len(wide)), np.uint64)
+    for t in range(TABLES):
+        chosen = np.argsort(mix(np.arange(64 * WIDE, dtype=np.uint64) + np.uint64((t + 1) << 20))).tolist()
+        word = lambda at, size: sum((ones[b] << i for i, b in enumerate(chosen[at : at + size])), np.zeros(len(wide), np.int64))
+        anchor = _home(word(0, BITS))
+        for k in range(short):
+            anchor = anchor << SHORT | _short()[word(BITS + SHORT * k, SHORT)]
+        out[t] = mix(anchor.astype(np.uint64) + np.uint64(t << 58))
+    return out
+
+
 def anchors(fp: np.ndarray, threshold: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Home anchor of each fingerprint, and all (anchor, index) it is replicated to."""
     if threshold > 2:
@@ -138,8 +163,7 @@ def anchors(fp: np.ndarray, threshold: int = 2) -> tuple[np.ndarray, np.ndarray,
     parts = [((fp >> np.uint64(BITS * i)) & np.uint64((1 << BITS) - 1)).astype(np.int64) for i in range(2)]
     syndromes = [_syndrome(p) for p in parts]
     _, by_excess = _code()
-    at, near = by_excess[0]
-    home = (parts[0] ^ near[at[syndromes[0]]]) | ((parts[1] ^ near[at[syndromes[1]]]) << BITS)
+    home = _home(parts[0]) | (_home(parts[1]) << BITS)
     places, owners = [], []
     for i in range(threshold + 1):
         for j in range(threshold + 1 - i):

@@ -1,14 +1,15 @@
 """Near-duplicates by SimHash, completed to an exact similarity, for the pipeline.
 
 Two texts are linked if their sets of five-word shingles reach a Jaccard similarity of
-0.8.  SimHash finds the links, in two steps.  Texts whose fingerprints ``simhash.links``
-finds within its radius of 2 bits come from anchors.  Most linked texts differ in more
-bits (about 15 % at 0.8), which anchors cannot carry (see the README): for these, wide
-fingerprints of the shingles are looked up in 64 tables, by as many bits as the number
-of texts has, and those that are near in their first 64 bits are a pair.  All pairs are
-verified on whole sets, and what they link is one component.
-
-Lookups may miss a link, so an exact way for the rest follows, by prefixes, between
+0.8.  SimHash and its anchors find the links, in two steps.  ``simhash.links`` finds the
+texts whose fingerprints lie within its radius of 2 bits, homes against replicas.  Most
+linked texts differ in more bits (about 15 % at 0.8), which would need too many replicas
+(see the README).  For these, wide fingerprints of the shingles are at home at 64 anchors,
+code words over bits chosen anew for each; those that meet at one and are near in their
+first 64 bits are a pair.  All pairs are verified on whole sets, and what they link is one
+component.
+
+Anchors may miss a link, so an exact way for the rest follows, by prefixes, between
 components only: with all shingles in one fixed order, two linked sets of a and b shingles
 share one among the first n - ceil(0.8 n) + 1 of each.  Any order finds every pair;
 here shingles that are frequent in a sample come last, the rest by hash.  A pair
@@ -262,18 +263,18 @@ def fingerprint_pairs(docs: DataFrame, threshold: int = 2) -> tuple[DataFrame, s
 
 
 def wide_pairs(heads: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of the ties of ``heads`` that share a key in a table of their wide
-    fingerprints, are near in its first 64 bits and whose sizes allow a link.  Under a
-    key that many have, each is paired with the first of them."""
+    """Distinct pairs (u, v) of the ties of ``heads`` whose wide fingerprints meet at an anchor,
+    are near in their first 64 bits and whose sizes allow a link.  At an anchor where many
+    are at home, each is paired with the first of them."""
     n = heads.count()
-    bits = min(max(12, n.bit_length()), 48)
+    short = simhash.short_parts(n)
     # About 32 MB of entries (24 bytes each) to a bucket at most.
     buckets = max(max(storage.partitions(heads.sparkSession), 64) * 4, n * simhash.TABLES * 24 >> 25)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, simhash.WIDE)
-            key = simhash.table_keys(wide, bits).ravel()
+            key = simhash.wide_anchors(wide, short).ravel()
             bucket = ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             own = order % max(1, len(wide))
@@ -336,7 +337,8 @@ def rooted(docs: DataFrame) -> DataFrame:
     known = graph.components(near).select(F.col("vertex").alias("tie"), "root")
     for first in [*[FIRST] * ROUNDS, None]:
         own = shared.join(known, "tie", "left").withColumn("root", F.coalesce("root", "tie"))
-        near = near.unionByName(_linked(texts, own, first))
+        # A component's star stands for its links: plans do not grow with the passes.
+        near = _linked(texts, own, first).unionByName(known.select(F.col("tie").alias("u"), F.col("root").alias("v")))
         known = graph.components(near).select(F.col("vertex").alias("tie"), "root")
     storage.drop(docs.sparkSession, s_path, f_path, p_path)
     return known

@@ -139,3 +139,25 @@ def test_wide_fingerprint():
             bits = np.hstack([np.unpackbits(mix(h + M1 * np.uint64(k)).view(np.uint8).reshape(n, 8), axis=1, bitorder="little") for k in range(1, 5)])
         assert np.array_equal(np.unpackbits(simhash.wide_fingerprint(h).view(np.uint8), bitorder="little"), bits.sum(axis=0, dtype=int) * 2 > n)
     assert not simhash.wide_fingerprint(np.empty(0, np.uint64)).any()
+
+
+def test_wide_anchors():
+    """Texts meet at an anchor of covering codes, not by equal bits: any error of up to 3
+    bits in its 23-bit part and of one bit in a short part leaves the code word; a part
+    covers all words by such balls, each once."""
+    import numpy as np
+
+    assert np.array_equal(np.unique(simhash._home(np.arange(1 << 23)), return_counts=True)[1], np.full(1 << 12, 1 << 11))
+    short, counts = np.unique(simhash._short(), return_counts=True)
+    assert len(short) == 16 and set(counts) == {8} and max(int(w ^ c).bit_count() for w, c in enumerate(simhash._short().tolist())) == 1
+    # Zero is a code word in all parts: one flipped bit meets it at all anchors.
+    bits = np.zeros((257, 256), np.uint8)
+    bits[np.arange(256), np.arange(256)] = 1
+    wide = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    for short in range(4):
+        keys = simhash.wide_anchors(wide, short)
+        assert keys.shape == (simhash.TABLES, 257) and (keys == keys[:, -1:]).all()
+        assert len(np.unique(keys[:, 0])) == simhash.TABLES
+    flipped = np.ones((1, 256), np.uint8)
+    assert not (simhash.wide_anchors(np.packbits(flipped, axis=1, bitorder="little").view("<u8") & np.uint64(0x5555555555555555), 3) == keys[:, -1:]).any()
+    assert [simhash.short_parts(n) for n in (0, 1 << 14, (1 << 14) + 1, 1 << 18, (1 << 18) + 1, 1 << 60)] == [0, 0, 1, 1, 2, 5]
