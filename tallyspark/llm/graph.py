@@ -1,9 +1,10 @@
 """Connected components of an edge table, distributed.
 
 Alternating large-star and small-star contraction: every vertex's neighbours are
-linked to the smallest label near it until each component is a star.  Each round is
-a min-aggregation and an equi-join; its result is a table in the shared folder, so
-no lineage grows and a lost executor repeats one round's tasks at most.  Rounds grow
+linked to the smallest label near it until each component is a star.  Each half of a
+round is a min-aggregation and an equi-join; its result is a table in the shared folder,
+so no lineage grows, plans stay small (one plan of both halves would read the edges 12
+times) and a lost executor repeats the tasks of half a round at most.  Rounds grow
 with the logarithm of a component's diameter.  Only a row count and a checksum reach
 the driver.
 """
@@ -38,8 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     paths: list[str] = []
     seen = None
     while True:
-        state, path = storage.stage(_star(_star(state, True), False), "components")
-        paths.append(path)
+        for large in (True, False):
+            state, path = storage.stage(_star(state, large), "components")
+            paths.append(path)
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == seen:
             break

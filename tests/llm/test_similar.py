@@ -161,3 +161,22 @@ def test_wide_anchors():
     flipped = np.ones((1, 256), np.uint8)
     assert not (simhash.wide_anchors(np.packbits(flipped, axis=1, bitorder="little").view("<u8") & np.uint64(0x5555555555555555), 3) == keys[:, -1:]).any()
     assert [simhash.short_parts(n) for n in (0, 1 << 14, (1 << 14) + 1, 1 << 18, (1 << 18) + 1, 1 << 60)] == [0, 0, 1, 1, 2, 5]
+
+
+def test_components_plans_stay_small(spark, monkeypatch):
+    """No plan of the components or of the stage reads its edges a dozen times: large plans
+    fill the driver's memory."""
+    from tallyspark.llm import storage
+
+    plans, write = [], storage.stage
+
+    def stage(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().collectLeaves().size()))
+        return write(df, name)
+
+    monkeypatch.setattr(storage, "stage", stage)
+    rows = edited()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert kept(df) == expected(rows)
+    sizes = [n for name, n in plans if name == "components"]
+    assert len(sizes) > 6 and max(sizes) <= 16
