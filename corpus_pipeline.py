@@ -36,8 +36,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with a five-word similarity of 0.8 stays: SimHash
-    finds the links at its anchors, within 2 bits and, by wider fingerprints, in more; they are
-    verified on whole sets, and an exact pass adds those that it missed."""
+    finds the links at its anchors, homes against replicas, within 2 bits and, by wider
+    fingerprints, in more; they are verified on whole sets, and an exact check follows."""
     return similar.keep_one(docs)
 
 

@@ -1,27 +1,29 @@
-"""Near-duplicates by SimHash, completed to an exact similarity, for the pipeline.
+"""Near-duplicates by SimHash, checked by an exact similarity, for the pipeline.
 
 Two texts are linked if their sets of five-word shingles reach a Jaccard similarity of
-0.8.  SimHash and its anchors find the links, in two steps.  ``simhash.links`` finds the
-texts whose fingerprints lie within its radius of 2 bits, homes against replicas.  Most
-linked texts differ in more bits (about 15 % at 0.8), which would need too many replicas
-(see the README).  For these, wide fingerprints of the shingles are at home at 64 anchors,
-code words over bits chosen anew for each; those that meet at one and are near in their
-first 64 bits are a pair.  All pairs are verified on whole sets, and what they link is one
-component.
-
-Anchors may miss a link, so an exact way for the rest follows, by prefixes, between
+0.8.  SimHash and its anchors find the links.  ``simhash.links`` finds the texts whose
+fingerprints lie within its radius of 2 bits, homes against replicas.  Most linked texts
+differ in more bits (about 15 % at 0.8), which would need too many replicas in one table
+(see the README).  For these, wide fingerprints of the shingles have anchors in many tables,
+code words over bits chosen anew for each, again homes against replicas: in a table two
+texts meet if they differ in at most one of its bits, and often if in more.  There are as
+many tables as bring together 99.9 % of pairs at a similarity of 0.8, more for more texts.
+Those that meet and are near in their first 128 bits are a pair.  All pairs are verified
+on whole sets, and what they link is one component.
+
+Groups of many copies: a first pass over homes alone compares a text with a few others of
+each anchor.  The pass over all homes and replicas, and the exact one, leave out pairs inside
+a component, which cannot change it.
+
+An exact check of what anchors may have missed follows, by prefixes, between
 components only: with all shingles in one fixed order, two linked sets of a and b shingles
 share one among the first n - ceil(0.8 n) + 1 of each.  Any order finds every pair;
 here shingles that are frequent in a sample come last, the rest by hash.  A pair
 becomes a candidate only where lengths and places still allow the overlap it needs, and
 parities of 512 classes of shingles (they differ in no more classes than the sets in
-shingles) the difference; it is then verified on the whole sets.
-
-Texts are read once for their prefixes and wide fingerprints; prefix shingles that no other text has go before
-anything is compared.  Groups of many copies: a text is compared with a few others under
-its key in a table, then in each of a few rounds with a few holders of its first few
-shingles, one of a component, and what this links is one component.  The pass over all
-prefixes then leaves out pairs inside a component, which cannot change it.
+shingles) the difference; it is then verified on the whole sets.  Texts are read once for
+their prefixes and wide fingerprints; prefix shingles that no other text has go before
+anything is compared.
 
 Words are split and lower-cased as by ``simhash.fingerprint``; a shorter text is one
 shingle.  Null and empty texts, and texts without words, are equal to each other.  Very
@@ -44,8 +46,9 @@ from tallyspark.llm import graph, simhash, storage, words
 from tallyspark.llm.substring import bucket_count, keyed, repeated_anchors
 
 SIZE = 5
-ROUNDS, FIRST, PIVOTS = 1, 8, 16  # before the full pass; shingles of a text, and holders it is compared with
-NEAR = 22  # of 64 bits: 4 standard deviations over what is expected at a similarity of 0.8
+PIVOTS = 16  # texts that each is compared with at an anchor, before all are
+NEAR, BOTH = 22, 38  # of 64 and of 128 bits: over 4 standard deviations above what is expected at a similarity of 0.8
+FULL, BLOCK = 16, 1 << 20  # times CROWD texts share an anchor with replicas by chance; comparisons at once
 CLASSES, FINE = 512, 4096  # of shingles, for parities
 SAMPLE, FREQUENT, LISTED = 20_000, 8, 100_000  # order of shingles only; results do not depend on them
 
@@ -146,16 +149,14 @@ def shared_prefixes(heads: DataFrame, buckets: int) -> DataFrame:
     return joined.mapInArrow(run, "tie long, size int, parities binary, tokens binary, places binary")
 
 
-def candidates(heads: DataFrame, first: int | None) -> DataFrame:
-    """Distinct pairs (u, v) of the ties of ``heads`` (with a column root) that may be
-    linked.  With ``first`` only that many tokens count, each holder paired with the first
-    of a few roots; else all pairs of different roots."""
-    buckets = max(storage.partitions(heads.sparkSession), 64) * 4
+def candidates(heads: DataFrame, buckets: int) -> DataFrame:
+    """Distinct pairs (u, v) of the ties of ``heads`` (with a column root) that share a token,
+    have different roots and may be linked."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [np.frombuffer(x, np.uint64)[:first] for x in batch.column("tokens").to_pylist()]
-            place = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(x, np.int32)[:first] for x in batch.column("places").to_pylist())])
+            held = [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
+            place = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(x, np.int32) for x in batch.column("places").to_pylist())])
             token, own = np.concatenate([np.empty(0, np.uint64), *held]), np.repeat(np.arange(len(held)), [len(x) for x in held])
             bucket = ((token >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
             parities = np.frombuffer(b"".join(batch.column("parities").to_pylist()), f"V{CLASSES // 8}")
@@ -176,9 +177,8 @@ def candidates(heads: DataFrame, first: int | None) -> DataFrame:
         order = np.lexsort((tie, root, token))
         new = np.concatenate(([True], (token[order][1:] != token[order][:-1]) | (tie[order][1:] != tie[order][:-1])))[: len(token)]
         token, tie, root, size, place, parities = (x[order[new]] for x in (token, tie, root, size, place, parities))
-        pairs = _partners(token, root) if first is None else _pivots(token, root)
         found = [np.empty((0, 2), np.int64)]
-        for i, j in pairs:
+        for i, j in _partners(token, root):
             reach = np.minimum(size[i] - place[i], size[j] - place[j])
             ok = np.flatnonzero((root[i] != root[j]) & enough(reach, size[i], size[j]))
             i, j = i[ok], j[ok]
@@ -265,7 +265,7 @@ def fingerprint_pairs(docs: DataFrame, threshold: int = 2) -> tuple[DataFrame, s
 def wide_pairs(heads: DataFrame) -> DataFrame:
     """Distinct pairs (u, v) of the ties of ``heads`` whose wide fingerprints meet at an anchor,
     are near in their first 64 bits and whose sizes allow a link.  At an anchor where many
-    are at home, each is paired with the first of them."""
+    are at home, each is paired with the first of them; ``replica_pairs`` pairs it with all."""
     n = heads.count()
     short = simhash.short_parts(n)
     # About 32 MB of entries (24 bytes each) to a bucket at most.
@@ -300,14 +300,90 @@ def wide_pairs(heads: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(compare, "u long, v long").distinct()
 
 
+def _meetings(key: np.ndarray, home: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (home, replica or home) that meet at an anchor and are near; sorted by
+    anchor, homes first."""
+    cut = words.groups(key)
+    first, second = (np.ascontiguousarray(fp[:, w]) for w in range(2))
+    at_home = np.add.reduceat(home, cut[:-1], dtype=np.int64) if len(key) else cut[:-1]
+    rows, columns, held = [], [], 0
+    for lo, hi, n in zip(cut[:-1].tolist(), cut[1:].tolist(), at_home.tolist()):
+        if hi - lo < 2:
+            continue
+        step = max(1, BLOCK // (hi - lo))
+        for a in range(lo, lo + n, step):
+            own = first[a : min(a + step, lo + n)]
+            near = np.flatnonzero(np.bitwise_count(own[:, None] ^ first[lo:hi]) <= NEAR)
+            rows.append(near // (hi - lo) + a)
+            columns.append(near % (hi - lo) + lo)
+            held += len(near)
+            if held >= BLOCK:
+                yield _both(rows, columns, first, second)
+                rows, columns, held = [], [], 0
+    if held:
+        yield _both(rows, columns, first, second)
+
+
+def _both(rows: list, columns: list, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    i, j = np.concatenate(rows), np.concatenate(columns)
+    apart = np.bitwise_count(first[i] ^ first[j]).astype(np.int64) + np.bitwise_count(second[i] ^ second[j])
+    ok = np.flatnonzero(apart <= BOTH)
+    return i[ok], j[ok]
+
+
+def replica_pairs(heads: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of the ties of ``heads`` (with a column root) of different roots
+    whose wide fingerprints are near in their first 128 bits and meet at an anchor where one
+    is at home: all homes of an anchor against all its homes and replicas."""
+    n = heads.count()
+    short = simhash.short_parts(n // FULL)
+    each = simhash.COVERED[short] * (6 + 3 * short)  # entries of a text, at least their mean
+    # About 32 MB of entries (33 bytes each) to a bucket at most.
+    buckets = max(max(storage.partitions(heads.sparkSession), 64) * 4, n * each * 33 >> 25)
+    names = ["bucket", "keys", "homes", "ties", "roots", "prints"]
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = max(1, BLOCK // each)
+            for at in range(0, batch.num_rows, part):
+                tie, root, wide = (batch.column(c).slice(at, part) for c in range(3))
+                wide = np.frombuffer(b"".join(wide.to_pylist()), np.uint64).reshape(-1, simhash.WIDE)
+                key, own, home = simhash.wide_places(wide, short)
+                bucket = ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                own = own[order]
+                # Half a hash tells roots apart; equal ones are left to the exact pass.
+                half = words.mix(root.to_numpy().view(np.uint64)).astype(np.uint32)
+                columns = [key.astype(np.uint32)[order], home[order], tie.to_numpy()[own], half[own], wide[own, :2]]
+                cut = words.groups(bucket[order])
+                packed = [(int(bucket[order[x]]), *(c[x:y].tobytes() for c in columns)) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*packed), (pa.int32(), *[pa.binary()] * 5))], names=names)
+
+    def compare(table: pa.Table) -> pa.Table:
+        words.tidy()
+        kinds = (np.uint32, np.bool_, np.int64, np.uint32, np.uint64)
+        key, home, tie, root, fp = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in zip(names[1:], kinds))
+        order = np.lexsort((~home, key))
+        key, home, tie, root, fp = (x[order] for x in (key, home, tie, root, fp.reshape(-1, 2)))
+        found = [np.empty((0, 2), np.int64)]
+        for i, j in _meetings(key, home, fp):
+            ok = np.flatnonzero((tie[i] != tie[j]) & (root[i] != root[j]))
+            found.append(np.unique(np.sort(np.column_stack((tie[i[ok]], tie[j[ok]])), axis=1), axis=0))
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"u": pa.array(both[:, 0]), "v": pa.array(both[:, 1])})
+
+    packed = heads.select("tie", "root", "wide").mapInArrow(post, "bucket int, keys binary, homes binary, ties binary, roots binary, prints binary")
+    return packed.groupBy("bucket").applyInArrow(compare, "u long, v long").distinct()
+
+
 def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """``pairs`` without those whose parities of few classes exclude a link."""
+    """``pairs`` without those whose sizes or parities of few classes exclude a link."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(f"parities_{x}").to_pylist()), np.uint64).reshape(-1, CLASSES // 64) for x in "uv")
-            n = batch.column("size_u").to_numpy().astype(np.int64) + batch.column("size_v").to_numpy()
-            good = pa.array(9 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= n)
+            m, n = (batch.column(f"size_{x}").to_numpy().astype(np.int64) for x in "uv")
+            good = pa.array(enough(np.minimum(m, n), m, n) & (9 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= m + n))
             yield pa.RecordBatch.from_arrays([batch.column(x).filter(good) for x in "uv"], names=["u", "v"])
 
     for x in "uv":
@@ -315,32 +391,33 @@ def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return pairs.mapInArrow(likely, "u long, v long")
 
 
-def _linked(texts: DataFrame, heads: DataFrame, first: int | None) -> DataFrame:
-    pairs, path = storage.stage(candidates(heads, first), "similar-candidates")
-    out = verified(texts, pairs)
-    storage.drop(heads.sparkSession, path)
-    return out
-
-
 def rooted(docs: DataFrame) -> DataFrame:
     """(tie, root) of the texts in components of several texts, but the roots."""
+    spark = docs.sparkSession
     rows = keyed(storage.bounded(docs))
     heads, h_path = storage.stage(prefixes(rows, frequent(rows)), "prefixes")
     shared, s_path = storage.stage(shared_prefixes(heads, bucket_count(docs)), "shared-prefixes")
     # The texts that share a token, one row each: whatever many rows repeat travels once.
     holders = rows.groupBy("tie").agg(F.min("key").alias("key")).join(shared.select("tie"), "tie")
     texts, f_path = storage.stage(rows.join(holders, ["key", "tie"]).select("key", "tie", "text").dropDuplicates(["key", "tie"]).select("tie", "text"), "shared-texts")
-    close, c_path = fingerprint_pairs(docs)
-    pairs, p_path = storage.stage(close.unionByName(possible(wide_pairs(heads), heads)).distinct(), "simhash-pairs")
-    storage.drop(docs.sparkSession, h_path, c_path)
-    near = verified(texts, pairs)
-    known = graph.components(near).select(F.col("vertex").alias("tie"), "root")
-    for first in [*[FIRST] * ROUNDS, None]:
-        own = shared.join(known, "tie", "left").withColumn("root", F.coalesce("root", "tie"))
+    known = spark.createDataFrame([], "tie long, root long")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The roots once these pairs are verified too."""
+        pairs, path = storage.stage(pairs, name)
         # A component's star stands for its links: plans do not grow with the passes.
-        near = _linked(texts, own, first).unionByName(known.select(F.col("tie").alias("u"), F.col("root").alias("v")))
-        known = graph.components(near).select(F.col("vertex").alias("tie"), "root")
-    storage.drop(docs.sparkSession, s_path, f_path, p_path)
+        near = verified(texts, pairs).unionByName(known.select(F.col("tie").alias("u"), F.col("root").alias("v")))
+        storage.drop(spark, path)
+        return graph.components(near).select(F.col("vertex").alias("tie"), "root")
+
+    def with_roots(of: DataFrame) -> DataFrame:
+        return of.join(known, "tie", "left").withColumn("root", F.coalesce("root", "tie"))
+
+    close, c_path = fingerprint_pairs(docs)
+    known = linked(close.unionByName(possible(wide_pairs(heads), heads)).distinct(), "simhash-pairs")
+    known = linked(possible(replica_pairs(with_roots(heads)), heads), "replica-pairs")
+    known = linked(candidates(with_roots(shared), max(storage.partitions(spark), 64) * 4), "missed-pairs")
+    storage.drop(spark, h_path, c_path, s_path, f_path)
     return known
 
 
