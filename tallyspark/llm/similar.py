@@ -46,7 +46,7 @@ from tallyspark.llm import graph, simhash, storage, words
 from tallyspark.llm.substring import bucket_count, keyed, repeated_anchors
 
 SIZE = 5
-PIVOTS = 16  # texts that each is compared with at an anchor, before all are
+PIVOTS, FEW = 16, 2  # texts that each is compared with at an anchor, before all are; near ones that make no crowd
 NEAR, BOTH = 22, 38  # of 64 and of 128 bits: over 4 standard deviations above what is expected at a similarity of 0.8
 FULL, BLOCK = 16, 1 << 20  # times CROWD texts share an anchor with replicas by chance; comparisons at once
 CLASSES, FINE = 512, 4096  # of shingles, for parities
@@ -332,9 +332,11 @@ def _both(rows: list, columns: list, first: np.ndarray, second: np.ndarray) -> t
 
 
 def replica_pairs(heads: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of the ties of ``heads`` (with a column root) of different roots
-    whose wide fingerprints are near in their first 128 bits and meet at an anchor where one
-    is at home: all homes of an anchor against all its homes and replicas."""
+    """Pairs (u, v) of the ties of ``heads`` (with a column root) of different roots whose wide
+    fingerprints are near in their first 128 bits and meet at an anchor where one is at home:
+    all homes of an anchor against all its homes and replicas.  A home that is near to many
+    there leaves no pairs but rows (tie, 1, anchor), and those it is near to (tie, 0, anchor);
+    ``crowd_pairs`` compares them."""
     n = heads.count()
     short = simhash.short_parts(n // FULL)
     each = simhash.COVERED[short] * (6 + 3 * short)  # entries of a text, at least their mean
@@ -366,14 +368,55 @@ def replica_pairs(heads: DataFrame) -> DataFrame:
         order = np.lexsort((~home, key))
         key, home, tie, root, fp = (x[order] for x in (key, home, tie, root, fp.reshape(-1, 2)))
         found = [np.empty((0, 2), np.int64)]
+        crowd = np.zeros(len(key), np.int8)  # 1: near to a home of many, 2: such a home
         for i, j in _meetings(key, home, fp):
             ok = np.flatnonzero((tie[i] != tie[j]) & (root[i] != root[j]))
-            found.append(np.unique(np.sort(np.column_stack((tie[i[ok]], tie[j[ok]])), axis=1), axis=0))
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"u": pa.array(both[:, 0]), "v": pa.array(both[:, 1])})
+            i, j = i[ok], j[ok]
+            many = np.bincount(i, minlength=len(key))[i] > FEW
+            crowd[j[many]] |= 1
+            crowd[i[many]] |= 2
+            i, j = i[~many], j[~many]
+            found.append(np.unique(np.sort(np.column_stack((tie[i], tie[j])), axis=1), axis=0))
+        both, at = np.unique(np.concatenate(found), axis=0), np.flatnonzero(crowd)
+        anchor = (int(table.column("bucket")[0].as_py()) << 32 if len(key) else 0) + key[at].astype(np.int64)
+        u, v = np.concatenate((both[:, 0], tie[at])), np.concatenate((both[:, 1], (crowd[at] > 1).astype(np.int64)))
+        return pa.table({"u": pa.array(u), "v": pa.array(v), "anchor": pa.concat_arrays([pa.nulls(len(both), pa.int64()), pa.array(anchor)])})
 
     packed = heads.select("tie", "root", "wide").mapInArrow(post, "bucket int, keys binary, homes binary, ties binary, roots binary, prints binary")
-    return packed.groupBy("bucket").applyInArrow(compare, "u long, v long").distinct()
+    return packed.groupBy("bucket").applyInArrow(compare, "u long, v long, anchor long")
+
+
+def crowd_pairs(crowds: DataFrame, heads: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of ties that meet in ``crowds`` (u, v, anchor), as left by
+    ``replica_pairs``, have different roots and whose sizes and parities allow a link.  Only
+    rows in proportion to the crowds travel; their pairs are compared in memory."""
+    buckets = max(storage.partitions(heads.sparkSession), 64) * 4
+
+    def compare(table: pa.Table) -> pa.Table:
+        words.tidy()
+        anchor, home, tie, root, size = (table.column(c).to_numpy() for c in ("anchor", "home", "tie", "root", "size"))
+        parities = np.frombuffer(b"".join(table.column("parities").to_pylist()), np.uint64).reshape(-1, CLASSES // 64)
+        order = np.lexsort((tie, -home, anchor))
+        anchor, home, tie, root, size, parities = (x[order] for x in (anchor, home, tie, root, size.astype(np.int64), parities))
+        cut, found, seen = words.groups(anchor), np.empty((0, 2), np.int64), []
+        at_home = np.add.reduceat(home, cut[:-1]) if len(home) else cut[:-1]
+        for lo, hi, n in zip(cut[:-1].tolist(), cut[1:].tolist(), at_home.tolist()):
+            step = max(1, BLOCK // (hi - lo) // 4)
+            for a in range(lo, lo + n, step):
+                b, all_ = min(a + step, lo + n), slice(lo, hi)
+                apart = sum(np.bitwise_count(parities[a:b, None, w] ^ parities[all_, w]).astype(np.int64) for w in range(CLASSES // 64))
+                total = size[a:b, None] + size[all_]
+                ok = (root[a:b, None] != root[all_]) & (9 * apart <= total) & enough(np.minimum(size[a:b, None], size[all_]), size[a:b, None], size[all_])
+                i, j = np.nonzero(ok)
+                seen.append(np.sort(np.column_stack((tie[a + i], tie[lo + j])), axis=1))
+            if sum(map(len, seen)) > BLOCK:
+                found, seen = np.unique(np.concatenate((found, *seen)), axis=0), []
+        both = np.unique(np.concatenate((found, *seen)), axis=0)
+        return pa.table({"u": pa.array(both[:, 0]), "v": pa.array(both[:, 1])})
+
+    members = crowds.select("anchor", F.col("v").alias("home"), F.col("u").alias("tie")).join(heads.select("tie", "root", "size", "parities"), "tie")
+    spread = members.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "anchor", "home", "tie", "root", "size", "parities")
+    return spread.groupBy("bucket").applyInArrow(compare, "u long, v long").distinct()
 
 
 def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -415,9 +458,12 @@ def rooted(docs: DataFrame) -> DataFrame:
 
     close, c_path = fingerprint_pairs(docs)
     known = linked(close.unionByName(possible(wide_pairs(heads), heads)).distinct(), "simhash-pairs")
-    known = linked(possible(replica_pairs(with_roots(heads)), heads), "replica-pairs")
+    own = with_roots(heads)
+    met, m_path = storage.stage(replica_pairs(own), "replica-meetings")
+    few = possible(met.where("anchor is null").select("u", "v").distinct(), heads)
+    known = linked(few.unionByName(crowd_pairs(met.where("anchor is not null"), own)).distinct(), "replica-pairs")
     known = linked(candidates(with_roots(shared), max(storage.partitions(spark), 64) * 4), "missed-pairs")
-    storage.drop(spark, h_path, c_path, s_path, f_path)
+    storage.drop(spark, h_path, c_path, m_path, s_path, f_path)
     return known
 
 

@@ -223,3 +223,34 @@ def test_anchors_carry_the_links_at_larger_sizes(spark, monkeypatch, short):
     monkeypatch.setattr(simhash, "short_parts", lambda n: short)
     left = kept(df)
     assert {2 * k for k in range(100)} <= set(left) and len(left) - 100 <= 1
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_crowds_at_anchors(spark, monkeypatch, few):
+    """Copies around 0.8, all near to each other in their fingerprints: as crowds and as pairs
+    anchors give the same links, and crowds leave no row for each pair."""
+    from tallyspark.llm import storage
+
+    r = random.Random(21)
+    base, rows, met, write = [f"w{r.randint(0, 5000)}" for _ in range(200)], [], [], storage.stage
+    for i in range(150):
+        w = list(base)
+        for at in range(5 + r.randint(0, 9), 200, 34):
+            w[at] = f"e{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+
+    def stage(df, name):
+        out = write(df, name)
+        if name == "replica-meetings":
+            met.append((out[0].where("anchor is null").count(), out[0].where("anchor is not null").count()))
+        return out
+
+    monkeypatch.setattr(storage, "stage", stage)
+    monkeypatch.setattr(similar, "candidates", lambda heads, buckets: spark.createDataFrame([], "u long, v long"))
+    monkeypatch.setattr(similar, "FEW", few)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = kept(df)
+    monkeypatch.undo()
+    assert left == expected(rows) and len(left) > 1
+    (pairs, members), each = met[0], simhash.COVERED[0] * 6
+    assert (pairs == 0 and 0 < members <= len(rows) * each) if few == 0 else (members == 0 and pairs > 0)
